@@ -121,9 +121,11 @@ def _cut(rows: DataFrame, last: dict) -> tuple[dict, dict]:
         if not short:
             break
         of = F.col("source")
-        after = rows.where((F.col("_place") >= _by_source({s: cut[s] for s in short}, of, "long")) & (F.col("_size") > 0) & (F.col("_size") <= _by_source(short, of, "double")))
+        after = rows.where((F.col("_place") >= _by_source({s: cut[s] for s in short}, of, "long")) & (F.col("_size") > 0) & (F.col("_size") < 2 * _by_source(short, of, "double")))
         after = after.where(~F.coalesce(F.array_contains(_by_source({s: fill[s] for s in short}, of, "array<long>"), F.col("_place")), F.lit(False)))
-        got = {s: m for s, m in after.groupBy("source").agg(F.max(F.struct(F.col("_size").alias("w"), "_place")).alias("m")).collect()}
+        fits = F.col("_size") <= _by_source(short, of, "double")  # the largest that fits, else the smallest that overshoots by less than is missing
+        best = F.max(F.struct(fits, F.when(fits, F.col("_size")).otherwise(-F.col("_size")), "_place", F.col("_size").alias("w")))
+        got = {s: m for s, m in after.groupBy("source").agg(best.alias("m")).collect()}
         for s in short:
             if s in got:
                 fill[s].append(got[s]["_place"])
