@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqlake.llm.sampling import labelled_sample
 from seqlake.llm.shared import ship
+from seqlake.llm.words import batches
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 STEP = WINDOW - max(WIDTHS) + 1
@@ -127,52 +128,76 @@ def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> t
     return names, fit(x, y, len(names))
 
 
+#: Bytes of a text that are taken at a time, and windows that are scored together.
+PART, TOGETHER = 1 << 22, 4096
+
+
+def classify(texts: list[str | None], names: list[str], model: dict | None) -> tuple[list[str], np.ndarray]:
+    """(language, score) of each whole text; texts without a letter are ``und``."""
+    pred: list = ["und"] * len(texts)
+    total = np.zeros((len(texts), max(1, len(names))))
+    held: list = []
+    rows = 0
+
+    def flush() -> None:
+        p, at = probabilities(model, np.concatenate([w for _, w, _ in held])), 0
+        for i, w, weight in held:
+            total[i] += (p[at : at + len(w)] * weight[:, None]).sum(0)
+            at += len(w)
+        held.clear()
+
+    for i, text in enumerate(texts):
+        if not names or text is None or not LETTER.search(text):
+            continue
+        data = text.encode("utf-8", "surrogatepass")
+        pred[i] = ""
+        for lo in range(0, len(data), PART):
+            w, weight = windows(data[lo : lo + PART])
+            held.append((i, w, weight))
+            rows += len(w)
+            if rows >= TOGETHER:
+                flush()
+                rows = 0
+    if held:
+        flush()
+    score = np.zeros(len(texts))
+    for i in [i for i, p in enumerate(pred) if p == ""]:
+        q = total[i] / total[i].sum()
+        pred[i], score[i] = names[int(q.argmax())], min(1.0, float(q.max()))
+    return pred, score
+
+
 def _apply(names: list[str], model: dict | None):
     def run(frames):
         import pyarrow as pa
 
         for b in frames:
-            pred: list = ["und"] * b.num_rows
-            score = np.zeros(b.num_rows)
-            held: list = []
-
-            def flush():
-                x = np.concatenate([h[1] for h in held])
-                p, at = probabilities(model, x), 0
-                for i, w, weight in held:
-                    q = (p[at : at + len(w)] * weight[:, None]).sum(0) / weight.sum()
-                    at += len(w)
-                    pred[i], score[i] = names[int(q.argmax())], min(1.0, float(q.max()))
-                held.clear()
-
-            rows = 0
-            for i in range(b.num_rows):
-                text = b.column(1)[i].as_py()
-                if not names or text is None or not LETTER.search(text):
-                    continue
-                data = text.encode()
-                for lo in range(0, len(data), 1 << 22) if len(data) > 1 << 22 else (0,):
-                    w, weight = windows(data[lo : lo + (1 << 22)] if lo or len(data) > 1 << 22 else data)
-                    if len(data) > 1 << 22:  # a very long text: probabilities of parts, then their mean
-                        held_p = probabilities(model, w)
-                        part = (held_p * weight[:, None]).sum(0)
-                        total = part if lo == 0 else total + part  # noqa: F821
-                        if lo + (1 << 22) >= len(data):
-                            q = total / total.sum()
-                            pred[i], score[i] = names[int(q.argmax())], min(1.0, float(q.max()))
-                    else:
-                        held.append((i, w, weight))
-                        rows += len(w)
-                if rows >= 4096:
-                    flush()
-                    rows = 0
-            if held:
-                flush()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            for lo, hi in batches(b.column(1)):
+                pred, score = classify(b.column(1).slice(lo, hi - lo).to_pylist(), names, model)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return run
+
+
+def _keep(at: int, names: list[str], model: dict | None, least: float):
+    def run(frames):
+        import pyarrow as pa
+
+        for b in frames:
+            for lo, hi in batches(b.column(at)):
+                part = b.slice(lo, hi - lo)
+                pred, score = classify(part.column(at).to_pylist(), names, model)
+                yield part.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
 
     return run
 
 
+def determined(rows: DataFrame, names: list[str], model: dict | None, least: float = 0.0) -> DataFrame:
+    """The rows whose language is determined with a score of at least ``least``; all columns as they were."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(_keep(rows.columns.index("text"), names, model, least), rows.schema)
+
+
 def predict(docs: DataFrame, names: list[str], model: dict | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row: ``und`` and 0 for a null text, one without a letter, or no languages.
 
