@@ -73,7 +73,7 @@ def feature(payload: bytes) -> str:
     total = np.concatenate((np.zeros((1, 8), np.int64), x.reshape(len(x), 8, 8).sum(2).cumsum(0)))
     area = (total[np.maximum(edge[1:], edge[:-1] + 1).clip(max=len(x))] - total[np.minimum(edge[:-1], len(x) - 1)]) / (8 * np.maximum(1, np.diff(edge)))[:, None]
     bits = (area > area.mean()).ravel()
-    return f"h{len(x)}:m{x.mean():.3f}:s{x.std():.3f}:{int(''.join('01'[b] for b in bits), 2):016x}"
+    return f"h{len(x)}:m{x.mean():.3f}:s{x.std():.3f}:{int("".join("1" if b else "0" for b in bits), 2):016x}"
 
 
 def _store(folder: str):
