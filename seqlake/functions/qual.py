@@ -36,8 +36,9 @@ def trims(qual: Column, least: int, phred: int = 33, width: int = 1) -> Column:
     bad = lambda x, i: (window_mean(q, i, width) < least) | (x < least) if width > 1 else x < least
     good = F.transform(q, lambda x, i: ~bad(x, i))
     n = F.size(q)
-    first = F.when(F.array_position(good, F.lit(True)) > 0, F.array_position(good, F.lit(True)).cast("int") - 1).otherwise(n)
-    last = F.when(F.array_position(good, F.lit(True)) > 0, F.array_position(F.reverse(good), F.lit(True)).cast("int") - 1).otherwise(F.lit(0))
+    at = F.array_position(good, F.lit(True)).cast("int")
+    first = F.when(at > 0, at - 1).otherwise(n)
+    last = F.when(at > 0, F.array_position(F.reverse(good), F.lit(True)).cast("int") - 1).otherwise(F.lit(0))
     return F.struct(first.alias("start"), last.alias("end"))
 
 

@@ -16,10 +16,21 @@ from seqlake.functions import qual as Q, seq as S
 from seqlake.functions.stats import clip_length
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row.
+
+    A generator of one row keeps the optimiser from writing an expression into every place that
+    uses it, which for chained trims would grow the plan without bound.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(c) for c, v in columns.items()]))))
+
+
 def cut(df: DataFrame, start: Column, end: Column) -> DataFrame:
     """Both strings without their first ``start`` and last ``end`` characters."""
     keep = F.greatest(F.length("seq") - start - end, F.lit(0))
-    return df.withColumns({c: F.substr(F.col(c), start + 1, keep) for c in ("seq", "qual")})
+    order = df.columns
+    return once(df, **{c: F.substr(F.col(c), start + 1, keep) for c in ("seq", "qual")}).select(*order)
 
 
 def trim_n(df: DataFrame) -> DataFrame:
@@ -29,7 +40,7 @@ def trim_n(df: DataFrame) -> DataFrame:
 
 
 def trim_quality(df: DataFrame, least: int = 7, phred: int = 33, width: int = 1) -> DataFrame:
-    d = df.withColumn("_t", Q.trims(F.col("qual"), least, phred, width))
+    d = once(df, _t=Q.trims(F.col("qual"), least, phred, width))
     return cut(d, F.col("_t.start"), F.col("_t.end")).drop("_t")
 
 
@@ -52,8 +63,10 @@ class Filters:
     phred: int = 33
 
 
-def reject_reason(f: Filters, seq: Column = F.col("seq"), qual: Column = F.col("qual"), name: Column | None = None) -> Column:
+def reject_reason(f: Filters, seq: Column | None = None, qual: Column | None = None, name: Column | None = None) -> Column:
     """The first limit that a read breaks, or null."""
+    seq = F.col("seq") if seq is None else seq
+    qual = F.col("qual") if qual is None else qual
     n = F.length(seq)
     ns = n - F.length(F.replace(seq, F.lit("N"), F.lit("")))
     out = F.when(n == 0, "empty").when(n < f.min_length, "short")
@@ -274,7 +287,7 @@ def clip_adapters(df: DataFrame, adapters: list[Adapter], percent: float = 10.0)
     if not adapters:
         return df.withColumn("clip_start", F.lit(0)).withColumn("clip_end", F.lit(0))
     d = df.withColumn("_c", clip_kernel(adapters, percent)("seq"))
-    d = d.withColumns({"clip_start": F.col("_c.start"), "clip_end": F.col("_c.end")}).drop("_c")
+    d = once(d, clip_start=F.col("_c.start"), clip_end=F.col("_c.end")).drop("_c")
     return cut(d, F.col("clip_start"), F.col("clip_end"))
 
 

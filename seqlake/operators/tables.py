@@ -126,7 +126,7 @@ def contig_stats(contigs: DataFrame, least: int = 0) -> DataFrame:
     w = Window.orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, 0)
     run = c.withColumn("run", F.sum(F.col("len") * F.col("n")).over(w)).crossJoin(F.broadcast(total))
     nx = run.agg(*[F.max(F.when(F.col("run") >= F.col("total") * p, F.col("len"))).alias(f"n{round(p * 100)}") for p in (0.5, 0.9)])
-    base = c.agg(F.sum("n").alias("n"), F.min("len").alias("len_min"), F.max("len").alias("len_max"), (F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("len_mean"), *[F.percentile("len", p, "n").alias(a) for p, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    base = c.agg(F.sum("n").alias("n"), F.min("len").alias("len_min"), F.max("len").alias("len_max"), (F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("len_mean"), *[F.percentile("len", p, F.col("n")).alias(a) for p, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     return base.crossJoin(nx)
 
 
