@@ -33,7 +33,7 @@ ROUNDS, RULES, LEAST = 4, 65536 - TERMINALS, 12
 KEPT, FILE_IDS = 600_000, 1 << 22
 
 _CACHE: dict = {}
-_TWO_SPACES = re.compile(r"\s \s?| \s|\0")
+_TWO_SPACES = re.compile(r"\s\s|\0")
 
 
 class _Known(dict):
@@ -53,7 +53,7 @@ class Encoder:
 
     The pre-tokeniser never joins a space that follows a non-space to what comes before it, and a
     single line break between non-spaces stands alone, so ids of the pieces cut there are the ids of
-    the text. A text with a space beside other white space is encoded whole.
+    the text. A text with white space beside white space is encoded whole.
     """
 
     def __init__(self, path: str):
