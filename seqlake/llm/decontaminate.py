@@ -90,7 +90,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
 
     docs: doc_id, text; benchmark: item_id, text; other columns are not read. Null and empty
     texts on either side match nothing. A tie goes to the first position. Rows that repeat a
-    doc_id or item_id give one result. An empty table on either side gives none.
+    doc_id or item_id give one result, whichever of their texts has the best window; a row
+    whose id is null has none. An empty table on either side gives none.
     """
     item = table(items(benchmark), "items")
     n_shingles, sizes = item.agg(F.sum(F.size("sh")), F.collect_set("k")).first()
@@ -112,8 +113,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
     # All common shingles of a window and an item put it within the bound, so their number is at most n.
     need = F.ceil((F.col("size") - F.col("k") + 1) * F.lit(2 * least / (1 + least)) - 1e-9)
     window = table(window.where((F.col("start") >= 0) & (F.col("n") >= need)), "windows")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).dropDuplicates(["doc_id"])
-    cut = texts.join(window.groupBy("doc_id").agg(F.collect_set(F.struct("size", "k", "start")).alias("of")), "doc_id").withColumn("w", words(F.col("text"))).select("doc_id", "w", F.explode("of").alias("x")).select("doc_id", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("w")).where(F.size("w") == F.col("size"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    cut = texts.join(window.groupBy("doc_id").agg(F.collect_set(F.struct("size", "k", "start")).alias("of")), "doc_id").dropDuplicates(["doc_id", "text"]).withColumn("w", words(F.col("text"))).select("doc_id", "w", F.explode("of").alias("x")).select("doc_id", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("w")).where(F.size("w") == F.col("size"))
     sh = None
     for k in range(1, SIZE + 1):
         sh = (F if sh is None else sh).when(F.col("k") == k, shingles(F.col("w"), k))
