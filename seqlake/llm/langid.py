@@ -59,8 +59,9 @@ def probabilities(model: dict, x: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def fit(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 7) -> dict:
-    """Adam on the cross-entropy of windows ``x`` with classes ``y``; classes weigh alike."""
+def fit(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 6, steps: int = 400, batch: int = 64, rate: float = 0.004, seed: int = 7) -> dict:
+    """Adam on the cross-entropy of windows ``x`` with classes ``y``; classes weigh alike. Few windows are gone over until there are ``steps`` steps."""
+    epochs = max(epochs, -(-steps // -(-len(x) // batch)))
     rng = np.random.default_rng(seed)
     model = _start(classes, rng)
     mask = (model["w1"] != 0).astype(np.float32)

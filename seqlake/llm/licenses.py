@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 FEATURES, GRAMS = 4096, (1, 2, 3)
 #: The bound of the unknown class's sample: paragraphs.
 UNKNOWN_SAMPLE = 2000
-CUES = r"licen[cs]e|copyright|public domain|warranty|creative commons|\bcc[ -]by|\bcc0|\bgpl|\bgnu\b|all rights reserved|redistribut"
+CUES = r"licen[cs]e|copyright|public domain|warranty|creative commons|\bcc[ -]by|\bcc0|\bl?gpl|\bgnu\b|all rights reserved|redistribut|hereby granted"
 
 NOTICES: dict[str, list[str]] = {
     "mit": ["Released under the MIT License.", "This project is licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction."],
