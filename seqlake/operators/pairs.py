@@ -59,12 +59,13 @@ def _best(a: np.ndarray, b: np.ndarray, least: int, percent: int, extend: bool)
     return at, ext
 
 
-def merge_kernel(least: int = 6, percent: int = 8, extend: bool = False, reverse: bool = True, compat: bool = False):
+def merge_kernel(least: int = 6, percent: int = 8, extend: bool = False, reverse: bool = True, compat: bool = True):
     """A pandas function (s1, q1, s2, q2) -> (joined, overlap, seq, qual).
 
     Where reads agree the better score stays, where not the better base does, with a score of
-    what it is better by, at least 3. ``compat`` slides an extension as far and from where the
-    classic program does: from shift 0 on, one base left for a longer first read.
+    what it is better by, at least 3. With ``extend`` the shorter read may lie inside the longer.
+    ``compat`` does that as the classic program does: shifts start at 0, a longer first read is
+    taken one base further left, and what a longer second read has after the overlap is kept.
     """
     swap = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
 
@@ -81,9 +82,11 @@ def merge_kernel(least: int = 6, percent: int = 8, extend: bool = False, reverse
             return False, 0, None, None
         qa, qb = np.frombuffer(q1.encode(), np.uint8).astype(int), np.frombuffer(q2.encode(), np.uint8).astype(int)
         if ext and len(a) > len(b):
-            a, qa = a[len(a) - o - ext : len(a) - ext], qa[len(qa) - o - ext : len(qa) - ext]
+            at = len(a) - o - ext - compat
+            a, qa = a[at : at + o], qa[at : at + o]
         elif ext:
-            b, qb = b[ext : ext + o], qb[ext : ext + o]
+            end = None if compat else ext + o
+            b, qb = b[ext:end], qb[ext:end]
         x, y, qx, qy = a[len(a) - o :], b[:o], qa[len(qa) - o :], qb[:o]
         same, left = x == y, qx > qy
         base = np.where(same | left, x, y)

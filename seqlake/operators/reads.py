@@ -236,13 +236,16 @@ def profile(df: DataFrame, adapters: DataFrame, sample: int = 300_000, min_perce
     return Profile(head.count(), phred_offset(df).first()["phred"] or 33, [Adapter(r["id"], r["seq"], r["end"], r["clip"]) for r in rows])
 
 
-def _offsets(reads: np.ndarray, n: np.ndarray, adapter: np.ndarray, a: Adapter, percent: float) -> tuple[np.ndarray, np.ndarray]:
+def _offsets(reads: np.ndarray, n: np.ndarray, adapter: np.ndarray, a: Adapter, percent: float, inside: int) -> tuple[np.ndarray, np.ndarray]:
     """(score, offset) of one adapter for reads of bytes, padded: score is 1000 (d^2 + 1) / compared, later offsets win ties, a whole exact match ends the search."""
+    most = int(n.max(initial=0)) if inside < 0 else len(adapter) + inside
     best, at = np.full(len(reads), np.iinfo(np.int64).max), np.zeros(len(reads), np.int64)
     done = np.zeros(len(reads), bool)
-    for off in range(max(1, a.least), len(adapter) + 1):
+    for off in range(max(1, a.least), most + 1):
         size = min(off, len(adapter))
         ok = (n >= off) & ~done
+        if not ok.any():
+            break
         if a.end == "e":
             place = np.maximum(n - off, 0)[:, None] + np.arange(size)
             other = adapter[:size]
@@ -258,8 +261,11 @@ def _offsets(reads: np.ndarray, n: np.ndarray, adapter: np.ndarray, a: Adapter,
     return best, at
 
 
-def clip_kernel(adapters: list[Adapter], percent: float = 10.0):
-    """A pandas function seq -> (start, end): bases to clip, over all adapters; of equal scores the later adapter's."""
+def clip_kernel(adapters: list[Adapter], percent: float = 10.0, inside: int = -1):
+    """A pandas function seq -> (start, end): bases to clip, over all adapters; of equal scores the later adapter's.
+
+    An adapter may lie up to ``inside`` bases away from the read's end, anywhere if that is negative.
+    """
     bytes_of = [np.frombuffer(a.seq.encode(), np.uint8) for a in adapters]
 
     def run(seqs: pd.Series) -> pd.DataFrame:
@@ -273,7 +279,7 @@ def clip_kernel(adapters: list[Adapter], percent: float = 10.0):
             best, at = np.full(len(raw), np.iinfo(np.int64).max), np.zeros(len(raw), np.int32)
             for a, b in zip(adapters, bytes_of):
                 if a.end == side:
-                    score, off = _offsets(grid, n, b, a, percent)
+                    score, off = _offsets(grid, n, b, a, percent, inside)
                     win = (score <= best) & (off > 0)
                     best[win], at[win] = score[win], off[win]
             out[name] = at
@@ -291,6 +297,23 @@ def clip_adapters(df: DataFrame, adapters: list[Adapter], percent: float = 10.0)
     return cut(d, F.col("clip_start"), F.col("clip_end"))
 
 
+def trim_reads(df: DataFrame, adapters: list[Adapter] | None = None, least: int = 7, phred: int = 33, width: int = 1, percent: float = 10.0) -> DataFrame:
+    """Reads without N runs, bad ends and adapters, and trim_start, trim_end: what went at either end.
+
+    Qualities are judged on what the N runs leave, adapters on the whole read, and of both the longer cut counts.
+    """
+    run = S.n_run_start(F.col("seq"))
+    d = once(df, _s=run, _e=F.when(run == F.length("seq"), 0).otherwise(S.n_run_end(F.col("seq"))))
+    inner = F.substr(F.col("qual"), F.col("_s") + 1, F.length("qual") - F.col("_s") - F.col("_e"))
+    d = once(d, _t=Q.trims(inner, least, phred, width))
+    start, end = F.col("_s") + F.col("_t.start"), F.col("_e") + F.col("_t.end")
+    if adapters:
+        d = d.withColumn("_c", clip_kernel(adapters, percent)("seq"))
+        start, end = F.greatest(start, F.col("_c.start")), F.greatest(end, F.col("_c.end"))
+    d = once(d, trim_start=start, trim_end=end).drop("_s", "_e", "_t", "_c")
+    return cut(d, F.col("trim_start"), F.col("trim_end"))
+
+
 def trim_summary(clipped: DataFrame) -> DataFrame:
     """One row: count, mean and deviation of what was clipped at either end."""
     out = []

@@ -205,8 +205,8 @@ _CLIP = ",".join(f"({i},'{a.seq}',{a.least})" for i, a in enumerate(MATCHED))
 
 
 @query(f"""{W}, o as (select rec_no, seq, k, aseq, off, least(off,length(aseq)) as n, hamming(substr(aseq,1,least(off,length(aseq))::int), substr(seq,(65-off)::int,least(off,length(aseq))::int)) as h
-  from reads, (values {_CLIP}) a(k,aseq,lo), unnest(range(lo,length(aseq)+1)) u(off)),
-s as (select *, (1000*(h*h+1))//n as score from o where h<=(20*n)//100),
+  from reads, (values {_CLIP}) a(k,aseq,lo), unnest(range(lo,65)) u(off)),
+s as (select *, (1000*(h*h+1))//n as score from (select *, min(case when h=0 and n=length(aseq) then off end) over (partition by rec_no,k) as stop from o) where h<=(20*n)//100 and off<=coalesce(stop,off)),
 b as (select rec_no, k, off, score from s qualify row_number() over (partition by rec_no order by score, k desc, off desc)=1)
 select rec_no, coalesce(off,0)::bigint as clip from reads left join b using (rec_no)""")
 def reads_adapter_clip(spark, d):
