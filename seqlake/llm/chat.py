@@ -8,12 +8,13 @@ Prefix sums of the turns' tokens choose the spans: a turn belongs to the span in
 tokens before it fall, so spans are aligned to turns and no turn is cut. A window is the
 conversation's opening system turn, the last few turns before the span (both repeated, and
 masked), and the span itself, whose assistant texts are the targets. Every turn is a target
-at most once. Everything is DataFrame expressions.
+at most once. Everything is DataFrame expressions: the sums and what a turn is history for
+come from window functions, so only a window's own turns are ever gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROLE, SEP, END = "### ", ": ", "</turn>\n"
 _TEXT = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
@@ -53,26 +54,31 @@ def windows(conversations: DataFrame, span: int = 384, history_turns: int = 2, h
         conversations["conv_id"].cast("long").alias("conv_id"), conversations["turn"].cast("long").alias("turn"),
         F.coalesce(conversations["role"].cast("string"), F.lit("")).alias("role"), F.coalesce(conversations["text"].cast("string"), F.lit("")).alias("text"),
     )
-    turn = F.struct("turn", "role", "text", tokens(F.col("text")).cast("long").alias("n"))
-    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    upto = lambda end: order.rowsBetween(Window.unboundedPreceding, end)
     zero = F.lit(0).cast("long")
-    # running sum of tokens before each turn, in one pass over the array
-    before = F.aggregate("t", F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("at")), lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), F.concat(a["at"], F.array(a["sum"])).alias("at")), lambda a: a["at"])
-    piece = lambda x, b, i: F.struct(
-        i.alias("i"), x["n"].alias("n"), b.alias("before"), F.floor(b / span).cast("long").alias("span"),
-        F.concat(F.lit(ROLE), _replaced(x["role"], _NAME), F.lit(SEP)).alias("head"), escape(x["text"]).alias("body"), (x["role"] == "assistant").alias("target"), (x["role"] == "system").alias("system"),
+    t = c.withColumn("n", tokens(F.col("text")).cast("long")).withColumn("before", F.coalesce(F.sum("n").over(upto(-1)), zero))
+    t = t.withColumn("span", F.floor(F.col("before") / span).cast("long")).withColumn("i", F.row_number().over(order) - 1)
+    ahead = [F.struct("span", "before")] + [F.lead(F.struct("span", "before"), k).over(order) for k in range(1, history_turns + 1)]
+    t = t.withColumn("ahead", F.array(*ahead)).withColumn("opens", F.coalesce(F.lag("span").over(order) != F.col("span"), F.lit(True)))
+    t = t.withColumn("opening", F.first(F.struct("role", "text")).over(upto(0)))
+    t = t.select(
+        "conv_id", "span", "i", "ahead", "opens", "before", (F.col("role") == "assistant").alias("target"), F.when(F.col("opening.role") == "system", F.col("opening.text")).alias("system"),
+        F.concat(F.lit(ROLE), _replaced(F.col("role"), _NAME), F.lit(SEP)).alias("head"), escape(F.col("text")).alias("body"),
     )
-    turns = turns.withColumn("before", before)
-    turns = turns.withColumn("p", F.transform("t", lambda x, i: piece(x, F.get(F.col("before"), i), i))).drop("t", "before")
-    turns = turns.withColumn("span", F.explode(F.array_distinct(F.transform("p", lambda x: x["span"]))))
-    own = F.filter("p", lambda x: x["span"] == F.col("span"))
-    rows = turns.withColumn("own", own).withColumn("first", F.get(F.col("own"), 0))
-    system = F.filter(F.slice("p", 1, 1), lambda x: x["system"] & (x["i"] < F.col("first.i")))
-    past = F.filter("p", lambda x: (x["i"] < F.col("first.i")) & (x["i"] >= F.col("first.i") - history_turns) & (F.col("first.before") - x["before"] <= history_tokens) & ~((x["i"] == 0) & x["system"]))
-    rows = rows.withColumn("again", F.concat(system, past)).withColumn("all", F.concat("again", "own"))
+    # The windows that a turn is history for: those that a turn a few places on opens.
+    item = lambda w, again, i, head, body, target: F.struct(w.alias("window"), i.alias("i"), F.lit(again).alias("again"), head.alias("head"), body.alias("body"), target.alias("target"))
+    own = F.array(item(F.col("span"), False, F.col("i"), F.col("head"), F.col("body"), F.col("target")))
+    later = [F.when((F.get("ahead", k)["span"] != F.get("ahead", k - 1)["span"]) & (F.get("ahead", k)["before"] - F.col("before") <= history_tokens), F.get("ahead", k)["span"]) for k in range(1, history_turns + 1)]
+    later = F.when((F.col("i") == 0) & F.col("system").isNotNull(), F.array().cast("array<bigint>")).otherwise(F.filter(F.array(*later, F.lit(None).cast("long")), lambda w: w.isNotNull()))
+    past = F.transform(later, lambda w: item(w, True, F.col("i"), F.col("head"), F.col("body"), F.lit(False)))
+    again = F.when(F.col("opens") & (F.col("i") > 0) & F.col("system").isNotNull(), F.array(item(F.col("span"), True, F.lit(-1), F.lit(f"{ROLE}system{SEP}"), escape(F.col("system")), F.lit(False))))
+    rows = t.select("conv_id", F.inline(F.concat(own, past, F.coalesce(again, F.array().cast("array<struct<window:bigint,i:int,again:boolean,head:string,body:string,target:boolean>>")))))
+    rows = rows.groupBy("conv_id", F.col("window").alias("span")).agg(F.sort_array(F.collect_list(F.struct("i", "again", "head", "body", "target"))).alias("all"))
+    rows = rows.withColumn("repeated", F.size(F.filter("all", lambda x: x["again"])))
     size = lambda x: F.length(x["head"]) + F.length(x["body"]) + len(END)
     start = F.aggregate("all", F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("at")), lambda a, x: F.struct((a["sum"] + size(x)).alias("sum"), F.concat(a["at"], F.array(a["sum"])).alias("at")), lambda a: a["at"])
-    rows = rows.withColumn("at", start).withColumn("repeated", F.size("again"))
+    rows = rows.withColumn("at", start)
     spans = F.transform("all", lambda x, i: F.struct((F.get(F.col("at"), i) + F.length(x["head"])).alias("begin"), F.length(x["body"]).alias("length"), ((i >= F.col("repeated")) & x["target"]).alias("target")))
     loss = F.transform(F.filter(spans, lambda x: x["target"]), lambda x: F.struct(x["begin"].alias("begin"), x["length"].alias("length")))
     text = F.array_join(F.transform("all", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
