@@ -8,10 +8,14 @@
    estimate is not far below the threshold is kept. A larger bucket is linked whole to its
    smallest member, so nothing is lost there either. Components of these links are
    candidate groups: every link within reach of the banding lies inside one.
-3. Candidate groups are verified on full shingle sets with an exact prefix filter. Groups
-   of more than ``BLOCK`` members are cut into blocks, and each pair of blocks is a task of
-   its own, so no task grows with the group.
-4. Components of the confirmed links are the result.
+3. The candidate links themselves are checked on full shingle sets, a hub's text meeting its
+   neighbours' in parts of ``HUB``. In a group of copies of one text that links nearly all, at
+   a cost in proportion to the group. Components of these links are classes.
+4. In a candidate group of several classes the pairs of different classes are compared by an
+   exact prefix filter. Groups of more than ``BLOCK`` members are cut into blocks of the
+   largest class and blocks of all others; each pair of blocks that holds a minor one is a
+   task of its own, so no task grows with the group.
+5. Components of all confirmed links are the result.
 
 A pair at the threshold of 0.85 is missed by all bands with probability (1 - 0.85**6)**24,
 about 1e-5, if no third text connects it.
@@ -26,7 +30,7 @@ from seqlake.llm.graph import components
 from seqlake.llm.shared import ship, table
 from seqlake.llm.words import batches, mix, shingle_sets
 
-BANDS, ROWS, BUCKET, BLOCK = 24, 6, 1024, 128
+BANDS, ROWS, BUCKET, HUB, BLOCK = 24, 6, 1024, 256, 256
 #: Standard deviations of the estimate that a pair may lie below the threshold before the signature check drops it.
 SLACK = 4.5
 SIGNED = "doc_id long, digest binary, n_shingles long, bands array<long>, sketch binary"
@@ -191,28 +195,96 @@ def confirm(sets: list, ids: list, percent: int, forest: Forest, left: set | Non
     return found
 
 
+def _check(percent: int):
+    def run(frames):
+        """(hub, part, side, id, text), sorted, a hub's own text before its part's neighbours: the links that hold."""
+        import pyarrow as pa
+
+        own = None
+        for b in frames:
+            text = b.column(4).cast(pa.large_binary())
+            side, hubs, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 0, 3))
+            found: list = []
+            for lo, hi in batches(text):
+                values, n, _, _ = shingle_sets(text.slice(lo, hi - lo).to_pylist())
+                ends = np.cumsum(n)
+                for i in range(lo, hi):
+                    other = values[ends[i - lo] - n[i - lo] : ends[i - lo]]
+                    if side[i] == 0:
+                        own = other.copy()
+                        continue
+                    both = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        found.append((hubs[i], ids[i]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def direct(links: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the links (a, b) that hold on the full sets of ``texts`` (doc_id, text), a row for each."""
+    edges = table(links.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("id")).distinct(), "spokes")
+    parts = table(edges.groupBy("hub").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")), "hubs")
+    spokes = edges.join(parts, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id")
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("id"))
+    wanted = table(spokes.union(hubs), "wanted")
+    rows = wanted.join(texts.withColumnRenamed("doc_id", "id"), "id").select("hub", "part", "side", "id", "text")
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "side").mapInArrow(_check(percent), "a long, b long")
+
+
 def _verify(percent: int):
     def run(frames):
-        """(part, one, two, component, block, id, text) by the first three: confirmed links."""
+        """(part, one, two, component, left, class, id, text) by the first three: links between classes, of which pairs on one side of ``left`` are left out where it is set."""
         import pyarrow as pa
 
-        for (_, one, two), t in groups(frames, 3):
-            comp, block, ids = (t.column(i).to_pylist() for i in (3, 4, 5))
-            values, n, _, _ = shingle_sets(t.column(6).cast(pa.large_binary()).to_pylist())
+        for _, t in groups(frames, 3):
+            comp, left, kind, ids = (t.column(i).to_pylist() for i in (3, 4, 5, 6))
+            values, n, _, _ = shingle_sets(t.column(7).cast(pa.large_binary()).to_pylist())
             parts = np.split(values, np.cumsum(n)[:-1])
             by: dict = {}
             for i, c in enumerate(comp):
                 by.setdefault(c, []).append(i)
             links = []
-            for c, rows in by.items():
-                side = {ids[i] for i in rows if block[i] == one} if one != two else None
-                links += confirm([parts[i] for i in rows], [ids[i] for i in rows], percent, Forest(), side)
+            for rows in by.values():
+                forest, first = Forest(), {}
+                for i in rows:
+                    forest.join(first.setdefault(kind[i], ids[i]), ids[i])
+                side = {ids[i] for i in rows if left[i]} if left[rows[0]] is not None else None
+                links += confirm([parts[i] for i in rows], [ids[i] for i in rows], percent, forest, side)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def between(comp: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between different classes (id, component) of the same group of ``comp`` (id, component)."""
+    spark = comp.sparkSession
+    placed = table(comp.join(classes.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id")), "classes")
+    count = placed.groupBy("component", "class").agg(F.count("*").alias("n"))
+    stats = table(count.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("of"), F.max_by("class", F.struct("n", "class")).alias("major"), F.max("n").alias("most")).where("of > 1"), "several")
+    d = table(placed.join(stats, "component"), "placed")
+    here = lambda n: F.ceil(F.col(n) / block).cast("int")
+    minors, majors = F.greatest(F.ceil((F.col("size") - F.col("most")) / block).cast("int"), F.lit(1)), here("most")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    task = lambda kind, one, two, left: F.struct(F.lit(kind).alias("kind"), one.cast("int").alias("one"), two.cast("int").alias("two"), left.cast("boolean").alias("left"))
+    o = own(minors)
+    among = F.transform(upto(minors), lambda j: task(0, F.least(o, j), F.greatest(o, j), F.when(j != o, o < j)))
+    across = F.transform(upto(majors), lambda j: task(1, j, o, F.lit(False)))
+    facing = F.transform(upto(minors), lambda j: task(1, own(majors), j, F.lit(True)))
+    small = F.array(task(2, F.lit(0), F.lit(0), F.lit(None)))
+    tasks = F.when(F.col("size") <= block, small).when(F.col("class") == F.col("major"), facing).otherwise(F.concat(among, across))
+    bins = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
+    rows = d.select("id", "component", "class", F.explode(tasks).alias("t"))
+    part = F.when(F.col("t.kind") == 2, -1 - F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component"))
+    one = F.col("t.one") * 2 + (F.col("t.kind") == 1).cast("int")
+    rows = table(rows.select(part.alias("part"), one.alias("one"), F.col("t.two").alias("two"), "component", F.col("t.left").alias("left"), "class", "id"), "tasks")
+    full = rows.join(texts.withColumnRenamed("doc_id", "id"), "id").select("part", "one", "two", "component", "left", "class", "id", "text")
+    return full.repartition("part", "one", "two").sortWithinPartitions("part", "one", "two").mapInArrow(_verify(percent), "a long, b long")
+
+
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between representatives whose components are the candidate groups."""
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "hash"))
@@ -242,25 +314,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     reps = table(signed.where("digest is not null").join(alike.select(F.col("rep").alias("doc_id"), F.col("digest").alias("of")), "doc_id").where("digest = of").drop("of").dropDuplicates(["doc_id", "digest"]), "reps")
     links = table(candidates(reps, percent), "candidates")
     comp = table(components(links), "groups")
-    sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
-    placed = table(comp.join(table(sizes, "sizes"), "component"), "placed").withColumnRenamed("id", "doc_id")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.when(F.col("size") > block, F.pmod(F.xxhash64("doc_id"), blocks)).otherwise(F.lit(0)).cast("int")
-    bins = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = (
-        texts.join(placed, "doc_id")
-        .dropDuplicates(["doc_id"])
-        .withColumn("block", own)
-        .withColumn("other", F.explode(F.when(F.col("size") > block, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))))
-        .select(
-            F.when(F.col("size") > block, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(bins))).alias("part"),
-            F.least("block", "other").alias("one"),
-            F.greatest("block", "other").alias("two"),
-            "component", "block", "doc_id", "text",
-        )
-    )
-    confirmed = table(rows.repartition("part", "one", "two").sortWithinPartitions("part", "one", "two").mapInArrow(_verify(percent), "a long, b long"), "links")
+    texts = table(texts.join(comp.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    held = table(direct(links, texts, percent), "held")
+    more = table(between(comp, table(components(held), "sure"), texts, percent, block), "more")
+    confirmed = held.union(more)
     label = table(components(confirmed), "labels")
     of = table(alike.join(label, alike["rep"] == label["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
     out = signed.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
