@@ -171,11 +171,13 @@ def _headers(frames):
 
 def metadata(index: DataFrame) -> DataFrame:
     """(digest, width, height, bits) of every stored image, from reads of HEADER bytes each."""
+    ship(index.sparkSession)
     return index.select("digest", "path", "offset").repartition("path").sortWithinPartitions("path", "offset").mapInArrow(_headers, "digest binary, width int, height int, bits int")
 
 
 def features(rows: DataFrame, index: DataFrame) -> DataFrame:
     """Every row with the digest and features of its media as read back."""
+    ship(index.sparkSession)
     spread = index.select("digest", "path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
     got = table(spread.mapInArrow(_read, "digest binary, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"), "media-features")
     return rows.join(got, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")

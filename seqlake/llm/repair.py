@@ -332,5 +332,6 @@ def _read(frames):
 
 def decode(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files that a manifest names."""
+    ship(manifest.sparkSession)
     rows = manifest.select("path", "start").repartition(max(1, manifest.count()))
     return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
