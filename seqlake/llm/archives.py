@@ -7,7 +7,8 @@ the second line of the file's first record, ``filedesc://``. URLs may hold space
 are counted from the line's end.
 
 The converter reads records by their declared lengths and never looks for a marker inside a
-payload. Of each it makes a WARC record: an id that is a name-based UUID of the file and
+payload. Files are written as one gzip member for each record, as archives of both formats
+commonly are; offsets are those of the uncompressed file, and plain files are read too. Of each it makes a WARC record: an id that is a name-based UUID of the file and
 offset, the date in ISO 8601, a type (``warcinfo`` for the file description, ``response``
 where the block starts with a status line, else ``resource``), and SHA-256 digests of block
 and payload. Payloads that occur before become ``revisit`` records.
@@ -15,6 +16,7 @@ and payload. Payloads that occur before become ``revisit`` records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqlake.llm.shared import new_path, open_fs, ship, table
 
-#: Bytes of records after which an archive file ends and the next begins, and the least payload that is a revisit.
-FILE_BYTES, LEAST_REVISIT = 16 << 20, 100
+#: Compressed bytes after which an archive file ends and the next begins, the compression's level, and the least payload that is a revisit.
+FILE_BYTES, LEVEL, LEAST_REVISIT = 8 << 20, 3, 100
 STATUS = re.compile(rb"HTTP/\d\.\d \d{3}")
 
 
@@ -119,18 +121,17 @@ def read_warc(f):
         yield head, block
 
 
-class _Buffered:
-    """readline and read over a pyarrow input stream."""
+def _opened(uri: str):
+    """A buffered binary reader of an archive file, compressed or plain."""
+    import io
 
-    def __init__(self, stream):
-        import io
-
-        self.f = io.BufferedReader(stream, 1 << 20)
-        self.readline, self.read = self.f.readline, self.f.read
+    fs, name = open_fs(uri)
+    f = io.BufferedReader(fs.open_input_stream(name, compression=None), 1 << 20)
+    return io.BufferedReader(gzip.GzipFile(fileobj=f), 1 << 20) if name.endswith(".gz") else f
 
 
 def _files(folder: str, suffix: str):
-    """Makes new files in ``folder``; write(bytes) gives (path, offset)."""
+    """Makes new files in ``folder``; write(record) compresses it and gives (path, offset)."""
     fs, base = open_fs(folder)
     fs.create_dir(base, recursive=True)
     held: list = []
@@ -139,12 +140,12 @@ def _files(folder: str, suffix: str):
         if not held or held[1] > FILE_BYTES:
             close()
             name = f"{uuid.uuid4().hex}{suffix}"
-            held.extend([fs.open_output_stream(f"{base}/{name}"), 0, name])
+            held.extend([fs.open_output_stream(f"{base}/{name}", compression=None), 0, name])
             if head:
-                first = head(name)
+                first = gzip.compress(head(name), LEVEL, mtime=0)
                 held[0].write(first)
                 held[1] += len(first)
-        at = held[1]
+        at, data = held[1], gzip.compress(data, LEVEL, mtime=0)
         held[0].write(data)
         held[1] += len(data)
         return f"{folder}/{held[2]}", at
@@ -162,7 +163,7 @@ def _to_arc(folder: str, version: int):
         """(page_id, url, html) to ARC files; each file once."""
         import pyarrow as pa
 
-        write, close = _files(folder, ".arc")
+        write, close = _files(folder, ".arc.gz")
         seen: dict = {}
         for b in frames:
             for page, url, html in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -197,10 +198,9 @@ def _index(frames):
     names = ("path", "offset", "digest", "bytes", "page_id")
     for b in frames:
         for path in b.column(0).to_pylist():
-            fs, name = open_fs(path)
             rows: list = []
-            with fs.open_input_stream(name) as f:
-                for offset, fields, block in read_arc(_Buffered(f)):
+            with _opened(path) as f:
+                for offset, fields, block in read_arc(f):
                     if fields["url"].startswith("filedesc://"):
                         continue
                     head, payload = split_http(block)
@@ -216,13 +216,12 @@ def _convert(folder: str):
 
         from seqlake.llm.minhash import groups
 
-        write, close = _files(folder, ".warc")
+        write, close = _files(folder, ".warc.gz")
         made: dict = {}
         for (path,), t in groups(frames, 1):
             of = {r[0]: r[1:] for r in zip(*(t.column(i).to_pylist() for i in range(1, 6)))}
-            fs, name = open_fs(path)
-            with fs.open_input_stream(name) as f:
-                for offset, fields, block in read_arc(_Buffered(f)):
+            with _opened(path) as f:
+                for offset, fields, block in read_arc(f):
                     short = path.rsplit("/", 1)[-1]
                     rid, date = record_id(short, offset), iso(fields["date"])
                     if fields["url"].startswith("filedesc://"):
@@ -278,10 +277,9 @@ def _read(frames):
 
     for b in frames:
         for path in b.column(0).to_pylist():
-            fs, name = open_fs(path)
             rows: list = []
-            with fs.open_input_stream(name) as f:
-                for head, block in read_warc(_Buffered(f)):
+            with _opened(path) as f:
+                for head, block in read_warc(f):
                     if head["warc-type"] == "warcinfo":
                         continue
                     if head["warc-block-digest"] != "sha256:" + hashlib.sha256(block).hexdigest():
@@ -299,4 +297,5 @@ def _read(frames):
 
 def read(warcs: DataFrame) -> DataFrame:
     """READ columns of every record but file descriptions, from the files that a manifest names."""
+    ship(warcs.sparkSession)
     return warcs.select("path").repartition(max(1, warcs.count())).mapInArrow(_read, READ)
