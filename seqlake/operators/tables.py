@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from seqlake.operators import chunks
+
 INNER, LEFT, RIGHT, OUTER, ONLY_LEFT, ONLY_RIGHT, EXCEPT = "in", "le", "ri", "ou", "xl", "xr", "ex"
 
 
@@ -80,16 +82,16 @@ def overlaps(a: DataFrame, b: DataFrame, width: int | None = None) -> DataFrame:
     return x.join(y, ["chr", "_bin"]).where(f"beg <= b_en and en >= b_beg and _bin = greatest(beg, b_beg) div {w}").drop("_bin")
 
 
-def fragments(intervals: DataFrame) -> DataFrame:
+def fragments(intervals: DataFrame, width: int = chunks.WIDTH) -> DataFrame:
     """(chr, beg, en, n): disjoint tiles between all bounds, with how many intervals cover each.
 
-    A running sum of +1 and -1 at the bounds, so covering intervals are counted without a join.
+    A running sum of +1 and -1 at the bounds, in chunks of ``width`` positions, so covering intervals are
+    counted without a join and a long contig is many tasks.
     """
     edge = intervals.select("chr", F.col("beg").alias("x"), F.lit(1).alias("d")).union(intervals.select("chr", F.col("en") + 1, F.lit(-1)))
     g = edge.groupBy("chr", "x").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("chr").orderBy("x")
-    f = g.select("chr", F.col("x").alias("beg"), (F.lead("x").over(w) - 1).alias("en"), F.sum("d").over(w).alias("n"))
-    return f.where("n > 0")
+    f = chunks.running_sum(g, "chr", "x", "d", width)
+    return f.select("chr", F.col("x").alias("beg"), (F.col("next") - 1).alias("en"), F.col("sum").alias("n")).where("n > 0")
 
 
 def fragment_rows(intervals: DataFrame, key: str) -> DataFrame:
