@@ -21,15 +21,17 @@ def haloed(df: DataFrame, at: str, halo: int, width: int = WIDTH) -> DataFrame:
     return df.withColumn("_chunk", F.explode(near)).withColumn("_own", F.col("_chunk") == chunk_of(at, width))
 
 
-def running_sum(df: DataFrame, part: str, at: str, value: str, width: int = WIDTH) -> DataFrame:
-    """``df`` (one row for each part and position) with sum, the running sum of ``value``, and next, the position that follows."""
+def running_sum(df: DataFrame, part: str, at: str, *values: str, width: int = WIDTH) -> DataFrame:
+    """``df`` (one row for each part and position) with the running sum of each value, <value>_sum, and next, the position that follows."""
     d = df.withColumn("_chunk", chunk_of(at, width))
     w = Window.partitionBy(part, "_chunk").orderBy(at)
-    c = d.groupBy(part, "_chunk").agg(F.sum(value).alias("_s"), F.min(at).alias("_first"))
+    c = d.groupBy(part, "_chunk").agg(*[F.sum(v).alias(f"_{v}_s") for v in values], F.min(at).alias("_first"))
     along = Window.partitionBy(part).orderBy("_chunk")
-    c = c.select(part, "_chunk", F.coalesce(F.sum("_s").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(along).alias("_then"))
-    d = d.withColumn("_sum", F.sum(value).over(w)).withColumn("_next", F.lead(at).over(w)).join(c, [part, "_chunk"])
-    return d.withColumn("sum", F.col("_sum") + F.col("_before")).withColumn("next", F.coalesce("_next", "_then")).drop("_chunk", "_sum", "_next", "_before", "_then")
+    before = [F.coalesce(F.sum(f"_{v}_s").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_{v}_before") for v in values]
+    c = c.select(part, "_chunk", *before, F.lead("_first").over(along).alias("_then"))
+    d = d.withColumns({f"{v}_sum": F.sum(v).over(w) for v in values}).withColumn("_next", F.lead(at).over(w)).join(c, [part, "_chunk"])
+    d = d.withColumns({f"{v}_sum": F.coalesce(f"{v}_sum", F.lit(0)) + F.col(f"_{v}_before") for v in values}).withColumn("next", F.coalesce("_next", "_then"))
+    return d.drop("_chunk", "_next", "_then", *[f"_{v}_before" for v in values])
 
 
 def runs(df: DataFrame, part: str, at: str, value: str, width: int = WIDTH) -> DataFrame:

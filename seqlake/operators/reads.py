@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqlake.functions import qual as Q, seq as S
 from seqlake.functions.stats import clip_length
+from seqlake.operators import chunks
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -332,19 +333,20 @@ def sample(df: DataFrame, count: int | None = None, percent: float | None = None
     return d.where(h < int((percent or 0) / 100 * (1 << 40)))
 
 
-def running_quality(df: DataFrame, first_bases: int = 20_000, least: float = 18.0) -> DataFrame:
+def running_quality(df: DataFrame, first_bases: int = 20_000, least: float = 18.0, width: int = 1 << 16) -> DataFrame:
     """Flags junk while a sample is taken: below ``least`` or more than one N at first, later below mean - 3 deviations too.
 
-    The running moments are those of the rows before, by file (column ``file``) and rec_no.
+    The running moments are those of the rows before, by file (column ``file``) and rec_no, summed in chunks of ``width`` records.
     """
-    w = Window.partitionBy("file").orderBy("rec_no").rowsBetween(Window.unboundedPreceding, -1)
-    m = Q.mean(F.col("qual"))
-    d = df.withColumn("_m", m).withColumn("_n", F.coalesce(F.count("*").over(w), F.lit(0)))
-    d = d.withColumn("_b", F.coalesce(F.sum(F.length("seq")).over(w), F.lit(0))).withColumn("_avg", F.avg("_m").over(w)).withColumn("_sd", F.stddev_samp("_m").over(w))
+    d = df.withColumns({"_m": Q.mean(F.col("qual")), "_len": F.length("seq")}).withColumns({"_one": F.col("_m").isNotNull().cast("int"), "_mm": F.col("_m") * F.col("_m")})
+    d = chunks.running_sum(d, "file", "rec_no", "_one", "_len", "_m", "_mm", width=width)
+    n, b, s, ss = (F.col(f"{c}_sum") - F.coalesce(c, F.lit(0)) for c in ("_one", "_len", "_m", "_mm"))
+    sd = F.sqrt(F.greatest(F.try_divide(ss - F.try_divide(s * s, n), n - 1), F.lit(0.0)))
     ns = F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))
     early = (F.col("_m") < least) | (ns > 1)
-    late = F.col("_m") < F.least(F.lit(least), F.col("_avg") - 3 * F.coalesce("_sd", F.lit(0.0)))
-    return d.withColumn("junk", F.when(F.col("_b") < first_bases, early).otherwise(late)).drop("_m", "_n", "_b", "_avg", "_sd")
+    late = F.col("_m") < F.least(F.lit(least), F.try_divide(s, n) - 3 * F.coalesce(sd, F.lit(0.0)))
+    d = d.withColumn("junk", F.when(b < first_bases, early).otherwise(late))
+    return d.select(*df.columns, "junk")
 
 
 def kmer_counts(df: DataFrame, k: int) -> DataFrame:

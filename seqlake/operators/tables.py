@@ -90,8 +90,8 @@ def fragments(intervals: DataFrame, width: int = chunks.WIDTH) -> DataFrame:
     """
     edge = intervals.select("chr", F.col("beg").alias("x"), F.lit(1).alias("d")).union(intervals.select("chr", F.col("en") + 1, F.lit(-1)))
     g = edge.groupBy("chr", "x").agg(F.sum("d").alias("d"))
-    f = chunks.running_sum(g, "chr", "x", "d", width)
-    return f.select("chr", F.col("x").alias("beg"), (F.col("next") - 1).alias("en"), F.col("sum").alias("n")).where("n > 0")
+    f = chunks.running_sum(g, "chr", "x", "d", width=width)
+    return f.select("chr", F.col("x").alias("beg"), (F.col("next") - 1).alias("en"), F.col("d_sum").alias("n")).where("n > 0")
 
 
 def fragment_rows(intervals: DataFrame, key: str) -> DataFrame:

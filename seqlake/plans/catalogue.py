@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqlake.functions import cigar as C, qual as Q, seq as S, stats
-from seqlake.operators import alignments, pairs as P, reads as R, tables as T
+from seqlake.operators import alignments, chunks, pairs as P, reads as R, tables as T, variants
 from seqlake.plans.derived import ALIGNMENTS, ALLELES, BARCODES, INTERVALS, PAIRS, POINTS, READS, view
 from seqlake.streaming import streams
 
@@ -418,5 +418,69 @@ def reads_head(spark, d):
 
 @query(f"{W}, x as (select rec_no, round(avg(list_sum({Q33})/64.0) over (order by rec_no rows between unbounded preceding and 1 preceding),6)::double as before from reads) select rec_no, before from x")
 def reads_running_quality(spark, d):
-    w = Window.partitionBy(F.lit(1)).orderBy("rec_no").rowsBetween(Window.unboundedPreceding, -1)
-    return _reads(spark, d).select("rec_no", R6(F.avg(Q.mean(F.col("qual"))).over(w)).alias("before"))
+    m = _reads(spark, d).select("rec_no", F.lit(0).alias("part"), F.lit(1).alias("n"), Q.mean(F.col("qual")).alias("m"))
+    r = chunks.running_sum(m, "part", "rec_no", "n", "m", width=1 << 16)
+    return r.select("rec_no", R6(F.try_divide(F.col("m_sum") - F.col("m"), F.col("n_sum") - 1)).alias("before"))
+
+
+@query(f"""{W}, s as (select *, length(regexp_extract(seq,'^N*')) as a, length(regexp_extract(seq,'N*$')) as b from reads), i as (select *, substr(qual,a+1,64-a-b) as q from s),
+g as (select *, list_filter(range(1,length(q)+1), lambda i: ascii(substr(q,i::int,1))-33>=15) as good from i)
+select rec_no, (a+case when len(good)>0 then good[1]-1 else length(q) end)::bigint as trim_start, (b+case when len(good)>0 then length(q)-good[-1] else 0 end)::bigint as trim_end from g""")
+def reads_trim(spark, d):
+    t = R.trim_reads(_reads(spark, d), least=15)
+    return t.select("rec_no", F.col("trim_start").cast("bigint").alias("trim_start"), F.col("trim_end").cast("bigint").alias("trim_end"))
+
+
+@query(f"""{_AL} select count(*)::bigint as total, count(*) filter (where flag&256<>0)::bigint as secondary, 0::bigint as duplicates, count(*) filter (where flag&4=0)::bigint as mapped, 0::bigint as paired,
+  0::bigint as read1, 0::bigint as read2, 0::bigint as proper, 0::bigint as singletons from a""")
+def alignment_flagstat(spark, d):
+    return alignments.flagstat(view(spark, d, ALIGNMENTS))
+
+
+@query(f"{_AL}, n as (select rname, count(*) over (partition by qname) as n from a where flag&4=0) select rname, count(*) filter (where n=1)::bigint as \"unique\", count(*) filter (where n>1)::bigint as ambiguous from n group by 1")
+def alignment_ambiguity(spark, d):
+    return alignments.ambiguity(view(spark, d, ALIGNMENTS))
+
+
+def _contigs(spark):
+    return spark.range(10).select(F.concat(F.lit("c"), "id").alias("name"), F.lit(6000).alias("length"))
+
+
+@query(f"""{_AL}, b as (select rname, least(((pos-1)*30)//6000,29) as bin, count(*) as n, sum(length(seq)) as bases from a where flag&4=0 group by all), c as (select distinct rname from b),
+s as (select c.rname, string_agg(chr(48+floor(log2(1+coalesce(n,0)))::int),'' order by u.bin) as signature from c cross join range(30) u(bin) left join b on b.rname=c.rname and b.bin=u.bin group by 1)
+select rname, sum(bases)::bigint as bases, round(100.0*sum(bases)::double/(select sum(bases) from b)::double,6) as share, any_value(signature) as signature from b join s using (rname) group by 1""")
+def alignment_coverage(spark, d):
+    return alignments.coverage(view(spark, d, ALIGNMENTS), _contigs(spark)).withColumn("share", R6(F.col("share")))
+
+
+@query(f"""{_AL}, m as (select rname, pos from a where flag&4=0), p as (select rname, pos::double as pos from m union all select 'c'||i, x::double from range(10) r(i), (values (1),(6000)) v(x)),
+k as (select rname, avg(pos) as u from p group by 1), s as (select rname, avg(pow(pos-u,3))/pow(avg(pow(pos-u,2)),1.5) as skewness from p join k using (rname) group by 1),
+d as (select rname, pos, count(*) as n from m group by all), v as (select rname, count(*) as positions, stddev_pop(n)/avg(n) as cv from d group by 1)
+select rname, round(skewness,6) as skewness, round(coalesce(positions,0)*100.0/6000,6)::double as covered, round(cv,6) as cv from s left join v using (rname)""")
+def alignment_skew(spark, d):
+    return alignments.position_skew(view(spark, d, ALIGNMENTS), _contigs(spark)).select("rname", R6(F.col("skewness")).alias("skewness"), R6(F.col("covered").cast("double")).alias("covered"), R6(F.col("cv")).alias("cv"))
+
+
+@query(f"""with a as (select *, substr('ANR',(pos%3+1)::int,1) as ref from ({ALLELES})), g as (select ref, base, sum(n) as n from a group by all), t as (select ref, sum(n) as t from g group by 1)
+select ref, base, round(n::double/t::double,9) as rate from g join t using (ref) where ref<>base and n>20""")
+def noise_error_rates(spark, d):
+    a = view(spark, d, ALLELES).withColumn("ref", F.substr(F.lit("ANR"), (F.col("pos") % 3 + 1).cast("int"), F.lit(1))).withColumn("rev", F.col("n") - F.col("fwd"))
+    return variants.error_rates(a).withColumn("rate", F.round("rate", 9))
+
+
+@query(f"""{W}, s as (select substr(seq,1,8+(rec_no%3)::int) as seq, count(*) as n from reads group by 1), k as (select distinct substr(seq,1,8) as seq from reads where rec_no%4=0),
+h as (select s.seq, n, k.seq as key from s cross join range(4) c(c) join k on k.seq=substr(s.seq,1,(length(s.seq)-c)::int) qualify row_number() over (partition by s.seq order by c)=1) select key as seq, sum(n)::bigint as n from h group by 1""")
+def species_known(spark, d):
+    r = _reads(spark, d)
+    s = r.groupBy(F.substr(F.col("seq"), F.lit(1), (8 + F.col("rec_no") % 3).cast("int")).alias("seq")).agg(F.count("*").alias("n"))
+    return P.match_known(s, r.where("rec_no % 4 = 0").select(F.substring("seq", 1, 8).alias("seq")).distinct())
+
+
+_GTF = "select 't'||cast(l_orderkey as string) as transcript_id, 'c' as chr, '+' as strand, case when l_linenumber%2=1 then 'exon' else 'CDS' end as feature, l_partkey*10 as beg, l_partkey*10+cast(l_quantity as bigint) as en from lineitem"
+
+
+@query(f"""with g as ({_GTF}), x as (select transcript_id, min(beg) as b, max(en) as e, string_agg((en-beg+1)::varchar,',' order by beg,en) as sizes, list(beg order by beg,en) as begs, count(*) as blocks from g where feature='exon' group by 1),
+c as (select transcript_id, min(beg) as tb, max(en) as te from g where feature='CDS' group by 1)
+select transcript_id as name, b-1 as start, e as "end", coalesce(tb-1,b-1) as thick_start, coalesce(te,b-1) as thick_end, blocks::bigint as blocks, sizes, array_to_string(list_transform(begs, lambda y: (y-b)::varchar),',') as starts from x left join c using (transcript_id)""")
+def gene_bed(spark, d):
+    return _long(T.to_bed(view(spark, d, _GTF)).select("name", "start", "end", "thick_start", "thick_end", "blocks", "sizes", "starts"))
