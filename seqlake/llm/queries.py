@@ -22,7 +22,8 @@ def tokenizer() -> str:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to legacy archives, those to WARC, and the WARC files read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return archives.read(archives.convert(archives.write_arc(pages)))
+    back = archives.read(archives.convert(archives.write_arc(pages)))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_repair, op3_chat, op4_decontaminate, op5_quality, op6_licenses, op7_langid, op8_minhash, op9_mixing, op10_media)}
-ORACLES: dict[str, str] = {}
+#: Queries whose columns SQL gives too; those of models, token and media files are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op1_warc": """with p as (select page_id, coalesce(html,'') as t, min(page_id) over (partition by coalesce(html,'')) as f from pages)
+select page_id, strlen(t)::bigint as payload_bytes, sha256(t) as payload_digest, case when strlen(t)>=100 and f<>page_id then 'revisit' else 'response' end as record_type,
+  case when strlen(t)>=100 and f<>page_id then f end as refers_to from p""",
+    "op8_minhash": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w)>=5 then list_transform(range(1,len(w)-3), lambda i: w[i]||' '||w[i+1]||' '||w[i+2]||' '||w[i+3]||' '||w[i+4]) when len(w)>0 then [array_to_string(w,' ')] else [] end) as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as x from s), c as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as k from e a join e b on a.x=b.x and a.doc_id<>b.doc_id group by 1,2),
+l as (select a, b from c where 100*k>=85*(n+m-k)), r(id, seen) as (select doc_id, doc_id from documents union select r.id, l.b from r join l on r.seen=l.a)
+select s.doc_id, len(s.s)::bigint as n_shingles, min(r.seen) as component_id, min(r.seen)=s.doc_id as kept from s join r on r.id=s.doc_id group by s.doc_id, s.s""",
+}
