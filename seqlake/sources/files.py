@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import struct
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -46,11 +47,15 @@ def records(f, fake_quality: str = "h"):
 
 
 def _open(content: bytes):
+    """A reader of a plain, gzip or zip file (its first member)."""
+    if content[:4] == b"PK\x03\x04":
+        z = zipfile.ZipFile(io.BytesIO(content))
+        return z.open(z.namelist()[0])
     return gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
 
 def read_reads(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """FASTQ or FASTA files, plain or gzip, as FASTQ rows; rec_no counts a file's records from 0.
+    """FASTQ or FASTA files, plain, gzip or zip, as FASTQ rows; rec_no counts a file's records from 0.
 
     A file is a partition, as its records can only be numbered in order; land large files as
     Parquet once. PERMISSIVE keeps malformed records with ``corrupt`` set, DROPMALFORMED drops

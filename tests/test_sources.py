@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqlake.operators import alignments as A, tables as T, variants as V
 from seqlake.sources import files, sinks
@@ -23,7 +25,9 @@ def test_fastq_and_fasta(spark, tmp_path):
         f.write(FQ.encode())
     (tmp_path / "b.fa").write_text(">one x\nAC GT\nAA\n>two\n\n>three\nUU\n")
     want = [(0, "@a 1", "ACGT", "+", "III@", None), (1, "@b 1", "AC", "+x", "@I", None)]
-    for name in ("a.fq", "a.fq.gz"):
+    with zipfile.ZipFile(tmp_path / "a.fq.zip", "w") as z:
+        z.writestr("a.fq", FQ)
+    for name in ("a.fq", "a.fq.gz", "a.fq.zip"):
         assert rows(files.read_reads(spark, str(tmp_path / name)), "rec_no", "id", "seq", "com", "qual", "corrupt") == want
     assert rows(files.read_reads(spark, str(tmp_path / "b.fa")), "id", "seq", "qual") == [("@one x", "ACGTAA", "hhhhhh"), ("@two", "", ""), ("@three", "UU", "hh")]
     assert [tuple(r) for r in files.read_adapters(spark, str(tmp_path / "b.fa")).where("id = 'three'").collect()] == [("three", "TT")]
@@ -97,13 +101,27 @@ def test_pileup_calls(spark, tmp_path):
             (5, "A"): (2, 2, 4, 240, []), (5, "T"): (2, 1, 3, 180, []), (5, "*"): (1, 0, 1, 60, []),
             (6, "C"): (5, 2, 0, 420, []), (6, "*"): (1, 0, 0, 60, []), (6, "+"): (0 + 1, 0, 0, 60, ["AG"]), (6, "-"): (0, 1, 0, 60, ["T"]), (7, "C"): (3, 1, 1, 190, []),
         }
-    g = V.genotypes(V.call(c, V.Limits(min_depth=2, loci=1))).collect()
+    g = V.genotypes(V.call(c, V.Limits(min_depth=2, loci=1, min_diversity=0.0))).collect()
     assert [(r["pos"], r["genotype"]) for r in g] == [(5, "het")]
-    assert V.to_vcf(V.genotypes(V.call(c, V.Limits(min_depth=2, loci=1)))).first()["alt"] == "T"
+    assert V.to_vcf(V.genotypes(V.call(c, V.Limits(min_depth=2, loci=1, min_diversity=0.0)))).first()["alt"] == "T"
     few = V.calls(files.read_pileup(spark, str(tmp_path / "p.txt")), least_mapq=20).where("pos = 7").first()
     assert (few["fwd"], few["rev"]) == (2, 1)
 
 
+def test_limits_of_calls(spark):
+    base = {"chr": "c", "pos": 1, "ref": "A", "depth": 100, "base": "T", "fwd": 20, "rev": 20, "qual": 1200, "qual_ssq": 36000, "mq_sum": 2400, "mq_ssq": 144000, "starts": 0, "diversity": 1.0, "agreement": 1.0, "seqs": [""][:0], "is_ref": False, "run": 1}
+    cases = [{}, {"diversity": 0.1}, {"agreement": 0.1}, {"fwd": 1, "rev": 0}, {"fwd": 40, "rev": 0}, {"fwd": 3, "rev": 0, "qual": 120}, {"qual": 40, "fwd": 20}, {"base": "+", "seqs": ["AG", "AG", "AC"]}, {"base": "+", "seqs": ["AG"] * 3}, {"base": "-", "seqs": ["A"] * 9, "run": 7}, {"mq_sum": 10}]
+    d = spark.createDataFrame([tuple((base | c | {"pos": i}).values()) for i, c in enumerate(cases)], "chr string, pos int, ref string, depth int, base string, fwd int, rev int, qual long, qual_ssq long, mq_sum long, mq_ssq long, starts int, diversity double, agreement double, seqs array<string>, is_ref boolean, run int")
+    out = {r["pos"]: r for r in V.call(d).collect()}
+    # three of a hundred reads at score 40: a mass of 1.65e-7, too much over a million loci, not over a thousand; no balance is asked of them.
+    # Forty of a hundred at score 1, where 79 errors are expected: the mass there is 4e-7, which a tail would not be.
+    assert {r["pos"] for r in V.call(d, V.Limits(loci=1000)).collect()} == {0, 5, 6, 8, 10}
+    assert sorted(out) == [0, 8, 10] and out[10]["padj"] == 1.0 and out[0]["padj"] < 1e-20
+    # 95 to 1 reads: the full strand is cut to the 19 that one in twenty allows
+    r = V.rebalanced(d.where("pos = 0").selectExpr("* except (fwd, rev)", "95 as fwd", "1 as rev"), 0.05, F.lit(True)).first()
+    assert (r["fwd"], r["rev"], r["qual"]) == (19, 1, 1200 - 76 * 12)
+
+
 def test_spread_of_offsets():
     from collections import Counter
 
