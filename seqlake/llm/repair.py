@@ -30,7 +30,7 @@ TERMINALS, END = 50257, 0
 #: Rounds of replacement, rules of a shard (with the terminals they fit 16 bits), and occurrences that a pair needs.
 ROUNDS, RULES, LEAST = 4, 65536 - TERMINALS, 12
 #: Chunks whose ids a worker keeps, and ids that one file holds before the next begins.
-KEPT, FILE_IDS = 600_000, 1 << 22
+KEPT, FILE_IDS = 400_000, 1 << 21
 
 _CACHE: dict = {}
 _TWO_SPACES = re.compile(r"\s\s|\0")
