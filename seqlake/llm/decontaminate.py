@@ -3,11 +3,11 @@
 Everything here is DataFrame expressions. Words are runs of letters and digits of the
 lower-cased text; shingles are five words (an item of fewer words is one shingle).
 
-1. A window can only be similar to an item if most shingles are common, so positions whose
-   shingle occurs in the benchmark are found first, and only windows of an item's size that
-   such positions allow are made. With similarity s at least, at most a share (1 - s) / (1 + s)
-   of either side's shingles differs, which bounds how far a window's start may be from where
-   the common shingle puts it; all starts within the bound are taken, so none is lost.
+1. A window can only be similar to an item if most shingles are common. Of an item's i and a
+   window's m shingles, similarity s needs (i + m) s / (1 + s) common ones, whatever their
+   order. Positions whose shingle occurs in an item of that size are found first, and every
+   start whose window has so many of them is taken, so none is lost. A document shorter than
+   the item is one window, the whole document.
 2. Each window gets a 64-bit SimHash of its shingles with multiplicity. Cut into 12 blocks, two
    fingerprints within distance 23 differ by at most one bit in some block; items are entered
    under every value within one bit of each block, so an equi-join on (size, block, value)
@@ -88,6 +88,7 @@ def items(benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, item_id, position, similarity) of every document and item with a window of at least ``least``, the best window of each.
 
+    A window has as many words as the item, or all words of a document that has fewer.
     docs: doc_id, text; benchmark: item_id, text; other columns are not read. Null and empty
     texts on either side match nothing. A tie goes to the first position. Rows that repeat a
     doc_id or item_id give one result, whichever of their texts has the best window; a row
@@ -101,20 +102,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
     known = item.select("k", F.explode("sh").alias("h")).distinct()
     hits = None
     for k in sorted(sizes or [SIZE]):
-        at = d.select("doc_id", F.posexplode(shingles(F.col("w"), k)).alias("p", "h")).join(hint(known.where(F.col("k") == k).select("h")), "h", "left_semi").withColumn("k", F.lit(k))
+        at = d.select("doc_id", F.size("w").alias("words"), F.posexplode(shingles(F.col("w"), k)).alias("p", "h")).join(hint(known.where(F.col("k") == k).select("h")), "h", "left_semi").withColumn("k", F.lit(k))
         hits = at if hits is None else hits.union(at)
-    hits = table(hits.select("doc_id", "p", "h", "k"), "hits")
-    # Where each common shingle puts an item of each size: distinct starts, then all starts within the bound.
-    slack = F.floor((F.col("size") - F.col("k") + 1) * F.lit((1 - least) / (1 + least)) + 1e-9).cast("int")
-    place = item.select("size", "k", F.posexplode("sh").alias("o", "h")).select("size", "k", "o", "h").distinct()
-    starts = hits.join(hint(place), ["k", "h"]).select("doc_id", "size", "k", (F.col("p") - F.col("o")).alias("s")).groupBy("doc_id", "size", "k", "s").agg(F.count("*").alias("n"))
-    starts = starts.withColumn("start", F.explode(F.sequence(F.col("s") - slack, F.col("s") + slack)))
-    window = starts.groupBy("doc_id", "size", "k", "start").agg(F.sum("n").alias("n"))
-    # All common shingles of a window and an item put it within the bound, so their number is at most n.
-    need = F.ceil((F.col("size") - F.col("k") + 1) * F.lit(2 * least / (1 + least)) - 1e-9)
-    window = table(window.where((F.col("start") >= 0) & (F.col("n") >= need)), "windows")
+    hits = table(hits.select("doc_id", "words", "p", "h", "k"), "hits")
+    # Positions of shingles that any item of a size has, by document and number of its words: repeated rows add none.
+    place = item.select("size", "k", F.explode("sh").alias("h")).distinct()
+    near = hits.join(hint(place), ["k", "h"]).groupBy("doc_id", "words", "size", "k").agg(F.array_sort(F.collect_set("p")).alias("at"))
+    full = F.col("size") - F.col("k") + 1
+    near = near.withColumn("need", F.ceil((full + F.least(full, F.col("words") - F.col("k") + 1)) * F.lit(least / (1 + least)) - 1e-9).cast("int"))
+    near = near.where(F.size("at") >= F.col("need")).withColumn("full", full).withColumn("last", F.greatest(F.col("words") - F.col("size"), F.lit(0)))
+    # The starts of windows with positions i to i + need - 1 in them that have not position i - 1.
+    runs = F.transform(F.slice("at", 1, F.size("at") - F.col("need") + 1), lambda p, i: F.struct(
+        F.greatest(F.get("at", i + F.col("need") - 1) - F.col("full") + 1, F.coalesce(F.get("at", i - 1) + 1, F.lit(0)), F.lit(0)).alias("lo"),
+        F.least(p, F.col("last")).alias("hi"),
+    ))
+    window = near.select("doc_id", "words", "size", "k", F.explode(F.filter(runs, lambda r: r["lo"] <= r["hi"])).alias("r"))
+    window = table(window.select("doc_id", "words", "size", "k", F.explode(F.sequence("r.lo", "r.hi")).alias("start")), "windows")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    cut = texts.join(window.groupBy("doc_id").agg(F.collect_set(F.struct("size", "k", "start")).alias("of")), "doc_id").dropDuplicates(["doc_id", "text"]).withColumn("w", words(F.col("text"))).select("doc_id", "w", F.explode("of").alias("x")).select("doc_id", "x.*", F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("w")).where(F.size("w") == F.col("size"))
+    cut = texts.join(window.groupBy("doc_id").agg(F.collect_set(F.struct("words", "size", "k", "start")).alias("of")), "doc_id").dropDuplicates(["doc_id", "text"]).withColumn("w", words(F.col("text"))).select("doc_id", "w", F.explode("of").alias("x")).select("doc_id", "x.*", "w")
+    cut = cut.where(F.size("w") == F.col("words")).withColumn("w", F.slice("w", F.col("start") + 1, F.col("size")))
     sh = None
     for k in range(1, SIZE + 1):
         sh = (F if sh is None else sh).when(F.col("k") == k, shingles(F.col("w"), k))

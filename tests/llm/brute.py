@@ -69,3 +69,20 @@ def leaks(docs, items, least: float = 0.8) -> dict:
                 if sim >= least and sim > out.get((i, j), 0):
                     out[i, j] = sim
     return out
+
+
+def short_leaks(docs, items, least: float = 0.8) -> dict:
+    """(doc_id, item_id) to the similarity of a document that has fewer words than the item, as one window."""
+    out = {}
+    for i, t in docs:
+        w = WORD.findall((t or "").lower())
+        for j, u in items:
+            v = WORD.findall((u or "").lower())
+            k = min(5, len(v))
+            if not v or not k <= len(w) < len(v):
+                continue
+            want, have = (Counter(tuple(x[y : y + k]) for y in range(len(x) - k + 1)) for x in (v, w))
+            sim = sum((want & have).values()) / sum((want | have).values())
+            if sim >= least:
+                out[i, j] = sim
+    return out

@@ -65,3 +65,25 @@ def test_empty_tables(spark):
         d, i = frames(spark, docs, items)
         assert decontaminate.leaks(d, i).count() == 0
         assert decontaminate.clean(d, i).count() == len(docs)
+
+
+def test_reordered_and_shortened_passages(spark):
+    """Halves, sentences and lines in another order, and documents that are shorter than the item."""
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    items = [(n, text(n)) for n in (40, 60, 100, 150)]
+    docs = []
+    for n, w in items:
+        for parts in (2, 2, 3, 4):
+            cuts = [0, *sorted(rng.sample(range(1, n), parts - 1)), n]
+            pieces = [w[a:b] for a, b in zip(cuts, cuts[1:])]
+            rng.shuffle(pieces)
+            docs.append([*text(rng.randrange(30)), *sum(pieces, []), *text(rng.randrange(30))])
+        docs.append(w[n // 2 :] + w[: n // 2])
+        docs += [w[lost // 2 : n - lost + lost // 2] for lost in (1, 3, n // 10, n // 5, n // 4)]
+        docs += [w[:7] + w[9:], w[n // 2 + 3 :] + w[: n // 2]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    items = [(i, " ".join(w)) for i, w in items]
+    long, short = brute.leaks(docs, items), brute.short_leaks(docs, items)
+    d, i = frames(spark, docs, items)
+    assert len(long) > 5 and len(short) > 10 and result(decontaminate.leaks(d, i)) == rounded(long | short)
