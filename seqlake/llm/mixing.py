@@ -4,7 +4,8 @@ A document's place in its source is a hash of its id, so the source's documents,
 order, are a random permutation. The words a source must give are whole passes over it and
 a last, partial one: the documents whose place is below a cut. The cut is found by
 histograms of words by place, each refining the bin that the one before ended in, so no
-source, however large, is sorted or gathered.
+source, however large, is sorted or gathered. A document at the cut that is too long for
+what is missing is left out, and the places after it are cut in the same way.
 
 Sources are cut into blocks of places. The blocks each source gives are dealt among output
 shards by recursive halving: at each node the left half's share of every source's blocks is
@@ -22,8 +23,8 @@ from seqlake.llm.shared import table
 
 #: Places are integers below 2**PLACE_BITS; each histogram refines LEVEL_BITS of them.
 PLACE_BITS, LEVEL_BITS = 40, 10
-#: At most so many documents fill what a cut leaves, while that is above this share of the partial pass.
-FILLS, FILL_ABOVE = 12, 0.002
+#: What a cut leaves is filled while it is above this share of the partial pass.
+FILL_ABOVE = 0.002
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -90,10 +91,8 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
     return docs.withColumn("_size", size_of(docs["text"])).withColumn("_place", place)
 
 
-def _cut(rows: DataFrame, last: dict) -> tuple[dict, dict]:
-    """Of each source of ``last`` (words of its partial pass): the highest place below which its
-    documents hold no more than that, and the places of a few further documents that fill the rest.
-    """
+def _below(rows: DataFrame, last: dict) -> dict:
+    """Of each source of ``last`` (words): the highest place below which its rows hold no more than that, and their words."""
     state = {s: (0, 0.0) for s, w in last.items() if w > 0}  # source: prefix of the place, words below it
     for depth in range(1, PLACE_BITS // LEVEL_BITS + 1):
         shift = PLACE_BITS - depth * LEVEL_BITS
@@ -101,7 +100,7 @@ def _cut(rows: DataFrame, last: dict) -> tuple[dict, dict]:
         for s, (prefix, _) in state.items():
             inside = inside | (F.col("source").eqNullSafe(F.lit(s)) & (F.shiftright("_place", shift + LEVEL_BITS) == prefix))
         if not state:
-            return {}, {}
+            return {}
         hist: dict = {}
         for s, b, w in rows.where(inside).groupBy("source", F.shiftright("_place", shift).alias("b")).agg(F.sum("_size").alias("w")).collect():
             hist.setdefault(s, []).append((b, w))
@@ -113,30 +112,59 @@ def _cut(rows: DataFrame, last: dict) -> tuple[dict, dict]:
                     break
                 got += w
             state[s] = (at, got)
-    fill: dict = {s: [] for s in state}  # places of documents at or after the cut that fill what is still missing
+    return state
+
+
+def _cut(rows: DataFrame, last: dict) -> tuple[dict, dict, list]:
+    """Of each source of ``last`` (words of its partial pass): the cut, the places of single
+    documents that fill the rest, and further runs of places, {source: (from, to, most words of a document)}.
+
+    Each round at least halves what is missing: by the largest document that fits, if it is
+    half of that, else by a cut over the places that follow, among all documents that fit.
+    """
+    state = _below(rows, last)
+    fill: dict = {s: [] for s in state}
+    runs: list[dict] = []
     need = {s: last[s] - got for s, (_, got) in state.items()}
     cut = {s: p for s, (p, _) in state.items()}
-    for _ in range(FILLS):
-        short = {s: n for s, n in need.items() if n >= 1 and n > FILL_ABOVE * last[s]}
-        if not short:
-            break
-        of = F.col("source")
-        after = rows.where((F.col("_place") >= _by_source({s: cut[s] for s in short}, of, "long")) & (F.col("_size") > 0) & (F.col("_size") < 2 * _by_source(short, of, "double")))
-        after = after.where(~F.coalesce(F.array_contains(_by_source({s: fill[s] for s in short}, of, "array<long>"), F.col("_place")), F.lit(False)))
+    after = {s: p + 1 for s, p in cut.items()}  # the document at a cut is longer than what is missing
+    of = F.col("source")
+    while short := {s: n for s, n in need.items() if n >= 1 and n > FILL_ABOVE * last[s]}:
+        free = rows.where((F.col("_place") >= _by_source({s: cut[s] for s in short}, of, "long")) & (F.col("_size") > 0) & (F.col("_size") < 2 * _by_source(short, of, "double")))
+        free = free.where(~_filled(of, fill, runs))
         fits = F.col("_size") <= _by_source(short, of, "double")  # the largest that fits, else the smallest that overshoots by less than is missing
         best = F.max(F.struct(fits, F.when(fits, F.col("_size")).otherwise(-F.col("_size")), "_place", F.col("_size").alias("w")))
-        got = {s: m for s, m in after.groupBy("source").agg(best.alias("m")).collect()}
+        got = {s: m for s, m in free.groupBy("source").agg(best.alias("m")).collect()}
+        many = {}
         for s in short:
-            if s in got:
+            if s not in got:
+                need[s] = 0
+            elif 2 * got[s]["w"] >= need[s]:
                 fill[s].append(got[s]["_place"])
                 need[s] -= got[s]["w"]
             else:
-                need[s] = 0
-    return cut, {s: x for s, x in fill.items() if x}
+                many[s] = got[s]["w"]
+        if many:
+            rest = rows.where((F.col("_place") >= _by_source({s: after[s] for s in many}, of, "long")) & (F.col("_size") <= _by_source(many, of, "long")))
+            found = _below(rest, {s: need[s] for s in many})
+            runs.append({s: (after[s], p, many[s]) for s, (p, _) in found.items()})
+            for s, (p, w) in found.items():
+                need[s] = need[s] - w if w else 0
+                after[s] = p + 1
+    return cut, {s: x for s, x in fill.items() if x}, runs
+
+
+def _filled(of: Column, fill: dict, runs: list) -> Column:
+    """Whether a row is one of those that fill what the first cut leaves."""
+    out = F.coalesce(F.array_contains(_by_source({s: x for s, x in fill.items() if x}, of, "array<long>"), F.col("_place")), F.lit(False))
+    for run in runs:
+        lo, hi, most = (_by_source({s: x[i] for s, x in run.items()}, of, "long") for i in range(3))
+        out = out | F.coalesce((F.col("_place") >= lo) & (F.col("_place") < hi) & (F.col("_size") <= most), F.lit(False))
+    return out
 
 
-def plan(docs: DataFrame, seed: int = 11) -> tuple[dict, dict, dict, dict, dict]:
-    """(words, target, whole passes, cut of the partial pass, places of documents that fill it) by source.
+def plan(docs: DataFrame, seed: int = 11) -> tuple[dict, dict, dict, dict, dict, list]:
+    """(words, target, whole passes, cut of the partial pass, places and runs of places that fill it) by source.
 
     Texts are read once; the other scans are of a table of (source, words, place).
 
@@ -166,10 +194,10 @@ def _by_source(values: dict, of: Column, kind: str) -> Column:
 
 def copies(docs: DataFrame, made: tuple, seed: int = 11) -> DataFrame:
     """``docs`` with _size, _place, _copies: how often the mix takes each document."""
-    _, _, passes, cut, fill = made
+    _, _, passes, cut, fill, runs = made
     d = sized(docs, seed)
     within = F.col("_place") < _by_source(cut, d["source"], "long")
-    extra = F.coalesce(within, F.lit(False)) | F.coalesce(F.array_contains(_by_source(fill, d["source"], "array<long>"), F.col("_place")), F.lit(False))
+    extra = F.coalesce(within, F.lit(False)) | _filled(d["source"], fill, runs)
     extra = extra.cast("int")
     return d.withColumn("_copies", F.coalesce(_by_source(passes, d["source"], "int"), F.lit(0)) + extra)
 
@@ -179,13 +207,13 @@ def mix(docs: DataFrame, shards: int = 64, blocks: int = 256, seed: int = 11) ->
 
     A document appears as often as the mix takes it. Equal inputs give equal mixes. Documents
     without words follow their place like any other; a source without words gives none. A
-    null source is one source, the last. Rows that repeat a doc_id are taken together.
+    null source is one source, the last. Rows that repeat a doc_id and text are taken together.
     Write by ``_shard``, sorted by ``_order``, for shuffled shards.
     """
     made = plan(docs, seed)
-    _, _, passes, cut, fill = made
+    _, _, passes, cut, fill, runs = made
     names = sorted(made[0], key=lambda s: (s is None, s or ""))
-    high = {s: max(cut.get(s, 0), max(fill.get(s, [-1])) + 1) for s in names}
+    high = {s: max(cut.get(s, 0), max(fill.get(s, [-1])) + 1, *(r[s][1] for r in runs if s in r)) for s in names}
     have = np.array([passes[s] * blocks + -(-high[s] * blocks >> PLACE_BITS) for s in names], np.int64)
     quota = split_quotas(have, shards, seed) if names else np.zeros((0, shards), np.int64)
     owner = {}  # source: shard of each of its blocks, blocks of one pass after another

@@ -85,3 +85,10 @@ def test_empty_and_wordless_tables(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     out = mixing.taken(spark.createDataFrame([(1, None, None, None, None), (2, "", "a", None, None)], SCHEMA)).collect()
     assert sorted((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in out) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_a_long_document_at_the_cut_is_left_out(spark):
+    """Sources of short documents and one that is longer than what the cut leaves, wherever it lies."""
+    docs = [(1000 * k + i, "w " * (6000 if i == 0 else 20 + i % 7), f"s{k}") for k in range(9) for i in range(600)]
+    df = spark.createDataFrame([(*d, "en", 7) for d in docs], SCHEMA)
+    check(docs, mixing.taken(df).collect(), 0.005)
