@@ -86,3 +86,15 @@ def short_leaks(docs, items, least: float = 0.8) -> dict:
             if sim >= least:
                 out[i, j] = sim
     return out
+
+
+def targets(sizes: dict, most: float = 3.0) -> dict:
+    """Shares of all words by weights 1, 2, 3, repeating, stopped at ``most`` times a size: the level is found by bisection."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in sizes)
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    total = sum(sizes.values())
+    lo, hi = 0.0, most * total + 1.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most * sizes[s], weight[s] * mid) for s in order) < total else (lo, mid)
+    return {s: min(most * sizes[s], weight[s] * hi) for s in order}
