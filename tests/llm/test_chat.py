@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pytest
+
 from seqlake.llm import chat
 from seqlake.llm.queries import op3_chat
 from tests.conftest import MEDIUM
@@ -48,20 +50,38 @@ def hard_rows():
     return rows
 
 
-def test_odd_rows_and_masks(spark):
+def formatted(role, text) -> str:
+    for old, new in (("\\", "\\b"), ("<", "\\l"), ("#", "\\h")):
+        role, text = (role or "").replace(old, new), (text or "").replace(old, new)
+    return f"### {role.replace(':', chr(92) + 'c')}: {text}</turn>\n"
+
+
+@pytest.mark.parametrize("budget", [200, 4096])
+def test_odd_rows_masks_and_budgets(spark, monkeypatch, budget):
+    """No window is over its budget; every turn stands once outside the contexts; every assistant's text is a target once."""
+    monkeypatch.setattr(chat, "BLOCK", 7)
     rows = hard_rows()
-    df = spark.createDataFrame([(*r, "x", 0) for r in rows], SCHEMA)
-    w = chat.windows(df)
+    w = chat.windows(spark.createDataFrame([(*r, "x", 0) for r in rows], SCHEMA), budget)
     assert result(chat.read(w)) == expected(rows)
-    for r in w.where("conv_id = 100").collect():
-        turns = r["text"].split("</turn>\n")[:-1]
-        own = turns[r["repeated"] :]
-        assert own and turns[0].startswith("### system: ")
-        assert r["repeated"] <= 1 + 2 and len(own) * 74 < 384 + 74 + 74
-        assert len(r["loss"]) == sum(t.startswith("### assistant: ") for t in own)
-        for x in r["loss"]:
-            assert r["text"][x["begin"] : x["begin"] + x["length"]] == "long " * 70
-    assert w.where("conv_id = 100").count() > 10
+    by: dict = {}
+    for r in w.orderBy("window").collect():
+        by.setdefault(r["conv_id"], []).append(r)
+        assert len(r["text"].encode()) <= budget
+    turns: dict = {}
+    for c, t, role, x in sorted(rows, key=lambda r: (r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        turns.setdefault(c, []).append((role, x))
+    for c, found in by.items():
+        assert "".join(r["text"][r["context"] :] for r in found) == "".join(formatted(*t) for t in turns[c])
+        told, at = "".join(r["text"][x["begin"] : x["begin"] + x["length"]] for r in found for x in r["loss"]), 0
+        assert told == "".join(formatted("", x)[len("### : ") : -len("</turn>\n")] for role, x in turns[c] if role == "assistant")
+        assert all(x["begin"] >= r["context"] for r in found for x in r["loss"])
+    if budget == 4096:
+        whole = by[100]
+        assert len(whole) > 5 and all(r["text"].startswith("### system: ") for r in whole)
+        for r in whole[1:]:
+            own = r["text"][r["context"] :].split("</turn>\n")[:-1]
+            assert 1 <= len(own) <= 2048 // 366 and 1 <= r["text"][: r["context"]].count("</turn>") <= 3 and len(r["loss"]) == sum(x.startswith("### assistant: ") for x in own)
+        assert [len(r["text"][r["context"] :]) for r in by[101]][:-1] == [2048] * (len(by[101]) - 1)
 
 
 def test_empty_table(spark):
