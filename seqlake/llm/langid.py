@@ -21,7 +21,13 @@ WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 STEP = WINDOW - max(WIDTHS) + 1
 #: The bound of the training sample: rows of each language, and windows, spread evenly, of each row.
 PER_LANGUAGE, PER_ROW = 300, 5
-LETTER = re.compile(r"[^\W\d_]")
+#: A word character that is neither digit nor underscore: a letter, or a numeral of another kind.
+_LETTERLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of a letter category (L*); numerals such as a half or a Roman eight are none."""
+    return any(m[0].isalpha() for m in _LETTERLIKE.finditer(text))
 
 
 def windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +155,7 @@ def classify(texts: list[str | None], names: list[str], model: dict | None) -> t
         held.clear()
 
     for i, text in enumerate(texts):
-        if not names or text is None or not LETTER.search(text):
+        if not names or text is None or not has_letter(text):
             continue
         data = text.encode("utf-8", "surrogatepass")
         pred[i] = ""
@@ -188,14 +194,22 @@ def _keep(at: int, names: list[str], model: dict | None, least: float):
         for b in frames:
             for lo, hi in batches(b.column(at)):
                 part = b.slice(lo, hi - lo)
-                pred, score = classify(part.column(at).to_pylist(), names, model)
-                yield part.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
+                texts = part.column(at).to_pylist()
+                if names:
+                    stays = [p != "und" and s >= least for p, s in zip(*classify(texts, names, model))]
+                else:
+                    stays = [t is not None and has_letter(t) for t in texts]
+                yield part.filter(pa.array(stays, pa.bool_()))
 
     return run
 
 
 def determined(rows: DataFrame, names: list[str], model: dict | None, least: float = 0.0) -> DataFrame:
-    """The rows whose language is determined with a score of at least ``least``; all columns as they were."""
+    """The rows whose language is determined with a score of at least ``least``; all columns as they were.
+
+    Without a model (no labelled rows to learn from) no text can be told from another, so all
+    rows with a letter stay.
+    """
     ship(rows.sparkSession)
     return rows.mapInArrow(_keep(rows.columns.index("text"), names, model, least), rows.schema)
 

@@ -45,6 +45,7 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {*got} - {100, 101, 102}
     names, model = langid.train(df.limit(0), F.lit(True))
     assert (names, model) == ([], None)
+    assert {r["doc_id"] for r in langid.determined(df, names, model).collect()} == {*got} - {100, 101, 102}
     assert {r["lang_pred"] for r in langid.predict(df, names, model).collect()} == {"und"}
     assert langid.predict(df.limit(0), ["de"], None).count() == 0
 
@@ -57,6 +58,34 @@ def test_windows_cover_every_byte():
         assert back.rstrip(b"\0") == data.rstrip(b"\0") and weight.sum() == max(1, n)
 
 
+def test_letters():
+    """Letters are the categories L*; numerals and marks are none."""
+    assert not any(map(langid.has_letter, ("", "12 _", "\u00bd", "\u00b2  3", "\u2167", "\u0301", "\U0001f600")))
+    assert all(map(langid.has_letter, ("a", "1\u00e9", "\u2167x", "\u4e2d", "\u00aa")))
+    names, model = ["aa", "bb"], langid._start(2, np.random.default_rng(0))
+    pred, score = langid.classify(["\u00bd", "\u00b2  3", "\u2167", None, "a"], names, model)
+    assert pred[:4] == ["und"] * 4 and score[:4].tolist() == [0.0] * 4 and pred[4] in names
+
+
+def test_probabilities_are_a_plain_convolution():
+    """Every filter at every position of a window, its maximum, rectifier and softmax, by loops; a text's is its windows' mean by bytes."""
+    model = langid._start(3, np.random.default_rng(1))
+    text = "\u00e9 plain text, " * 60
+    x, weight = langid.windows(text.encode())
+    total = np.zeros(3)
+    for w, k in zip(x, weight):
+        act = []
+        for f in range(langid.FILTERS * len(langid.WIDTHS)):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            at = [sum(float(model["emb"][w[p + j]] @ model["w1"][j * langid.DIM : (j + 1) * langid.DIM, f]) for j in range(width)) for p in range(langid.STEP)]
+            act.append(max(0.0, max(at) + float(model["b1"][f])))
+        z = np.array(act) @ model["w2"] + model["b2"]
+        total += k * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    pred, score = langid.classify([text], ["a", "b", "c"], model)
+    want = total / weight.sum()
+    assert pred == ["abc"[int(want.argmax())]] and abs(score[0] - want.max()) < 1e-5
+
+
 def auc(score: list, label: list) -> float:
     order = np.argsort(score, kind="stable")
     y = np.array(label)[order]
