@@ -131,26 +131,36 @@ def test_scores_equal_the_model():
 
 @pytest.fixture(scope="module")
 def model():
-    return licenses.fit(["The weather was fine and the children played outside.", "Prices rose by two percent in the last quarter."] * 700)
+    prose = ["The weather was fine and the children played outside.", "Prices rose by two percent in the last quarter."]
+    return licenses.fit([sorted(licenses.grams_of(licenses.words_of(t)) & {*licenses.vocabulary()}) for t in prose] * 700)
 
 
 def plain_scan(docs, m) -> dict:
-    """Family and probability of every cued paragraph, by dense arithmetic."""
+    """Family and probability of every paragraph and line of a known family, by dense arithmetic; a paragraph of several lines where a template agrees better with it than with its lines."""
     out = {}
     k = len(m["names"]) - 1
+    listed = licenses.templates()
     for i, t in docs:
-        for p, line in enumerate((t or "").split("\n")):
-            if not re.search(licenses.CUES, line.lower()):
-                continue
-            x = [m["vocab"][g] for g in licenses.grams_of(licenses.words_of(line)) if g in m["vocab"]]
-            if not x:
-                continue
-            z = (m["w"][x].sum(0) / len(x) ** 0.5 + m["b"]) / m["temperature"]
-            e = np.exp(z - z.max())
-            e /= e.sum()
-            j = int(e[:k].argmax())
-            if e[j] >= m["least"] and e[j] >= e[k]:
-                out[i, p] = (m["names"][j], round(float(e[j]), 5))
+        for p, text in enumerate(re.split(r"\n[^\S\n]*\n", t or "")):
+            lines = text.split("\n")
+            found = {}
+            for at, u in [(None, text), *(enumerate(lines) if len(lines) > 1 else ())]:
+                w = licenses.words_of(u)
+                x = [m["vocab"][g] for g in licenses.grams_of(w) if g in m["vocab"]]
+                if not x:
+                    continue
+                z = (m["w"][x].sum(0) / len(x) ** 0.5 + m["b"]) / m["temperature"]
+                e = np.exp(z - z.max())
+                e /= e.sum()
+                j = int(e[:k].argmax())
+                if e[j] >= m["least"] and e[j] >= e[k]:
+                    have = {" ".join(w[n : n + 3]) for n in range(len(w) - 2)}
+                    overlap = max((len(tri & have) / len(tri) for f, tri in listed if f == m["names"][j]), default=0.0)
+                    found[at] = (m["names"][j], float(e[j]), overlap)
+            whole = found.pop(None, None)
+            if whole and whole[2] > max((v[2] for v in found.values()), default=-1):
+                found = {None: whole}
+            out |= {(i, p, at): v for at, v in found.items()}
     return out
 
 
@@ -160,15 +170,32 @@ def test_licences_against_dense_arithmetic(spark, model):
     df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, family string, row int")
     rows = licenses.scan(df, model).collect()
     want = plain_scan(docs, model)
-    assert {(r["doc_id"], r["paragraph"]): r["family"] for r in rows} == {k: f for k, (f, _) in want.items()}
-    assert all(abs(r["probability"] - want[r["doc_id"], r["paragraph"]][1]) < 1e-4 for r in rows)
+    assert {(r["doc_id"], r["paragraph"], r["line"]): r["family"] for r in rows} == {k: v[0] for k, v in want.items()}
+    for r in rows:
+        _, p, overlap = want[r["doc_id"], r["paragraph"], r["line"]]
+        assert abs(r["probability"] - p) < 1e-4 and abs(r["overlap"] - overlap) < 1e-5 and r["confirmed"] == (overlap >= licenses.CONFIRMS)
     truth = [f for f, _ in licenses.variants()]
     known = [r for r in rows if r["doc_id"] < 5000]
-    assert len(known) > 0.95 * len(truth) and all(truth[r["doc_id"]] == r["family"] for r in known)
+    assert len({r["doc_id"] for r in known}) > 0.95 * len(truth) and sum(truth[r["doc_id"]] == r["family"] for r in known) > 0.98 * len(known)
     assert sum(r["confirmed"] for r in known) > 0.8 * len(known) and not [r for r in rows if r["doc_id"] >= 6000]
     assert licenses.scan(df.limit(0), model).count() == 0
     assert licenses.unknown_sample(df.limit(0)) == []
-    assert licenses.scan(df.limit(3).union(df.limit(3)), model).count() == 2 * licenses.scan(df.limit(3), model).count()
+    some = df.where("doc_id in (3, 4, 5)")
+    assert licenses.scan(some.union(some), model).count() == 2 * licenses.scan(some, model).count() > 0
+
+
+LINES = ["Distributed under the MIT terms.", "Provided under the 3-Clause BSD terms.", "Released under the Apache 2.0 terms.", "Distributed under Apache 2.0.", "BSD 3-Clause", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in\nthe software without restriction."]
+PLAIN = ["She took her degree at MIT last year.", "The license plate of the car was gone.", "Copyright was explained to the class.", "mit", "Apache was a nation of the plains, and the terms of peace were hard."]
+
+
+def test_licences_need_no_cue_word(spark):
+    """Short statements, notices wrapped over lines, and paragraphs between others are found; sentences that mention licences are not."""
+    model = licenses.fit(licenses.unknown_sample(spark.read.parquet(f"{MEDIUM}/documents.parquet")))
+    docs = [(i, t) for i, t in enumerate(LINES)] + [(100 + i, f"Plain words come first,\nthen more of them.\n \n{t}\n\nAnd the rest.") for i, t in enumerate(LINES)] + [(200 + i, t) for i, t in enumerate(PLAIN)]
+    rows = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()
+    family = ["mit", "bsd", "apache-2.0", "apache-2.0", "bsd", "mit"]
+    assert {(r["doc_id"], r["family"]) for r in rows} == {(i + k, f) for i, f in enumerate(family) for k in (0, 100)}
+    assert all(r["paragraph"] == (r["doc_id"] >= 100) and r["line"] is None and r["confirmed"] for r in rows)
 
 
 def test_licence_query_finds_the_lines(spark):
