@@ -87,3 +87,52 @@ def test_reordered_and_shortened_passages(spark):
     long, short = brute.leaks(docs, items), brute.short_leaks(docs, items)
     d, i = frames(spark, docs, items)
     assert len(long) > 5 and len(short) > 10 and result(decontaminate.leaks(d, i)) == rounded(long | short)
+
+
+def test_the_index_selects(spark):
+    """Of 1,000 items and 300 windows of one size, unlike each other, few pairs meet and none is within the radius; every pair within it meets."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(50)]
+    items = [text() for _ in range(1000)]
+    near = [[w if i % 25 != k % 25 else "x" for i, w in enumerate(t)] for k, t in enumerate(items[:40])]
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], f"{name} long, text string")
+    b = decontaminate.items(frame(items, "item_id")).select("item_id", "size", decontaminate.fingerprint(F.col("sh")).alias("ifp"))
+    w = decontaminate.items(frame([text() for _ in range(300)], "item_id")).select(F.col("item_id").alias("doc_id"), "size", decontaminate.fingerprint(F.col("sh")).alias("fp"))
+    met = decontaminate.meetings(w, b).withColumn("d", decontaminate.distance(F.col("fp"), F.col("ifp")))
+    n, within, pairs = met.agg(F.count("*"), F.count_if(F.col("d") <= decontaminate.RADIUS), F.count_distinct("doc_id", "item_id")).first()
+    assert pairs <= n < 0.33 * 300 * 1000 and within == 0
+    w = decontaminate.items(frame(near, "item_id")).select(F.col("item_id").alias("doc_id"), "size", decontaminate.fingerprint(F.col("sh")).alias("fp"))
+    all_pairs = w.join(b, "size").where(decontaminate.distance(F.col("fp"), F.col("ifp")) <= decontaminate.RADIUS)
+    found = decontaminate.meetings(w, b).where(decontaminate.distance(F.col("fp"), F.col("ifp")) <= decontaminate.RADIUS).select("doc_id", "item_id").distinct()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, all_pairs.select("doc_id", "item_id").collect())) and found.where("doc_id = item_id").count() >= 20
+
+
+def test_fingerprints_are_majorities(spark):
+    """Bit by bit against counting, for shingles that repeat."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([([5, 7, 7, 9, -3],), ([1],), ([2, 2, 3, 3],), ([*range(300)],)], "s array<bigint>")
+    word = lambda k: F.transform("s", lambda h: F.xxhash64(h, F.lit(k)))
+    for r in d.select("s", decontaminate.fingerprint(F.col("s")).alias("fp"), F.array(*[word(k) for k in range(decontaminate.WORDS)]).alias("h")).collect():
+        for fp, h in zip(r["fp"], r["h"]):
+            assert fp == sum(1 << j for j in range(decontaminate.BITS) if 2 * sum(x >> j & 1 for x in h) > len(h))
+
+
+def test_recall_at_the_threshold(spark):
+    """Windows of similarity just above 0.8, all of which brute force finds."""
+    rng = random.Random(12)
+    items = [(i, [f"v{rng.randrange(3000)}" for _ in range(90)]) for i in range(20)]
+    docs = []
+    for n in range(300):
+        w = list(items[n % 20][1])
+        w[rng.randrange(5, 85)] = "zz"
+        w[3 if n % 2 else -4] = "yy"
+        docs.append((n, " ".join(["pre"] * (n % 9) + w + ["post"] * (n % 7))))
+    items = [(i, " ".join(w)) for i, w in items]
+    d, i = frames(spark, docs, items)
+    want, got = rounded(brute.leaks(docs, items)), result(decontaminate.leaks(d, i))
+    assert len(want) >= 250 and min(want.values()) < 0.84 and len(got) >= len(want) - 1
+    # A document's best window can be lost where another one of its windows is found.
+    assert got.keys() <= want.keys() and sum(got[k] != want[k] for k in got) <= 1
