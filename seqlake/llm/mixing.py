@@ -220,8 +220,14 @@ def mix(docs: DataFrame, shards: int | None = None, blocks: int | None = None, s
 
 
 def shuffled(mixed: DataFrame, shards: int) -> DataFrame:
-    """Mixed rows with every shard in one partition, in its own random order: written as they are, files are shuffled shards."""
-    return mixed.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order", "doc_id", "_copy")
+    """Mixed rows with every shard in a partition of its own, in its own random order: written as they are, files are shuffled shards.
+
+    Rows are dealt by a number whose hash is the shard's partition, so that no two shards share one.
+    """
+    home = F.pmod(F.hash(F.col("id").cast("int")), F.lit(shards))
+    key = mixed.sparkSession.range(shards * 20).select(home.alias("_home"), F.col("id").cast("int").alias("_id")).groupBy("_home").agg(F.min("_id").alias("_key"))
+    rows = mixed.join(F.broadcast(key), mixed["_shard"] == key["_home"], "left").withColumn("_key", F.coalesce("_key", "_shard"))
+    return rows.repartition(shards, "_key").sortWithinPartitions("_shard", "_order", "doc_id", "_copy").drop("_key", "_home")
 
 
 def taken(docs: DataFrame, shards: int | None = None, blocks: int | None = None, seed: int = 11) -> DataFrame:
