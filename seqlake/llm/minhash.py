@@ -5,26 +5,28 @@
    become one representative.
 2. Representatives that agree on a band's minima share a bucket. In a bucket of at most
    ``BUCKET`` members, signatures are compared and a spanning forest of the pairs whose
-   estimate is not far below the threshold is kept. A larger bucket is linked whole to its
-   smallest member, so nothing is lost there either. Components of these links are
-   candidate groups: every link within reach of the banding lies inside one.
+   estimate is not far below the threshold is kept. In a larger one the members whose signature
+   agrees with the first member's are linked to it. Where others are left over, the bucket is
+   dealt again by its band and each other band, as pairs of similar texts agree on a second
+   band too; what is still larger then is linked whole. So texts that share a band and little
+   else fall apart at once, and copies stay together, at a cost in proportion to the bucket.
 3. The candidate links themselves are checked on full shingle sets, a hub's text meeting its
-   neighbours' in parts of ``HUB``. In a group of copies of one text that links nearly all, at
-   a cost in proportion to the group. Components of these links are classes.
+   neighbours' in parts of ``HUB``. Components of these links are classes.
 4. In a candidate group of several classes the pairs of different classes are compared by an
-   exact prefix filter. Groups of more than ``BLOCK`` members are cut into blocks of the
-   largest class and blocks of all others; each pair of blocks that holds a minor one is a
-   task of its own, so no task grows with the group.
+   exact prefix filter: of a pair at the threshold, the rarest shingles of both sets have one
+   in common. Groups of at most ``BLOCK`` members are filtered in memory, many to a task; of
+   larger ones each shingle is a row, and those whose rare shingles meet are checked as in 3.
 5. Components of all confirmed links are the result.
 
 A pair at the threshold of 0.85 is missed by all bands with probability (1 - 0.85**6)**24,
-about 1e-5, if no third text connects it.
+about 1e-5, if no third text connects it, and with about 2e-4 where one of its bands is a
+larger bucket that is dealt again.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seqlake.llm.graph import components
 from seqlake.llm.shared import ship, table
@@ -33,7 +35,7 @@ from seqlake.llm.words import batches, mix, shingle_sets
 BANDS, ROWS, BUCKET, HUB, BLOCK = 24, 6, 1024, 256, 256
 #: Standard deviations of the estimate that a pair may lie below the threshold before the signature check drops it.
 SLACK = 4.5
-SIGNED = "doc_id long, digest binary, n_shingles long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, hash long, digest binary, n_shingles long, bands array<long>, sketch binary"
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -54,11 +56,11 @@ def minima(values: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def sign(frames):
-    """Arrow batches of (doc_id, text) to SIGNED."""
+    """Arrow batches of (doc_id, hash of the text, text) to SIGNED."""
     import pyarrow as pa
 
     for b in frames:
-        ids, text = b.column(0), b.column(1).cast(pa.large_binary())
+        ids, hashed, text = b.column(0), b.column(1), b.column(2).cast(pa.large_binary())
         for lo, hi in batches(text):
             values, n, h, words = shingle_sets(text.slice(lo, hi - lo).to_pylist())
             has = np.flatnonzero(n)
@@ -80,8 +82,8 @@ def sign(frames):
                 bands[i] = band[j]
                 sketch[i] = small[j].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "digest", "n_shingles", "bands", "sketch"],
+                [ids.slice(lo, hi - lo).cast(pa.int64()), hashed.slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "hash", "digest", "n_shingles", "bands", "sketch"],
             )
 
 
@@ -158,12 +160,11 @@ def _bucket_links(least: float):
     return run
 
 
-def confirm(sets: list, ids: list, percent: int, forest: Forest, left: set | None = None) -> list[tuple[int, int]]:
+def confirm(sets: list, ids: list, percent: int, forest: Forest) -> list[tuple[int, int]]:
     """Links (a, b) with 100 * intersection >= percent * union that join what was apart, by an exact prefix filter.
 
     Of a pair, the ``percent`` share of the larger set must be common, so among the rarest
     ``size - ceil(percent * size / 100) + 1`` shingles of each there is a common one.
-    With ``left``, pairs on one side of it are another task's.
     """
     if len(sets) < 2:
         return []
@@ -184,7 +185,7 @@ def confirm(sets: list, ids: list, percent: int, forest: Forest, left: set | Non
                     continue
                 seen.add(j)
                 m = int(counts[j])
-                if m * 100 < percent * n or left is not None and (ids[i] in left) == (ids[j] in left) or forest.find(ids[i]) == forest.find(ids[j]):
+                if m * 100 < percent * n or forest.find(ids[i]) == forest.find(ids[j]):
                     continue
                 other = inverse[ends[j] - m : ends[j]]
                 both = m + n - len(np.unique(np.concatenate((own, other))))
@@ -235,12 +236,12 @@ def direct(links: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _verify(percent: int):
     def run(frames):
-        """(part, one, two, component, left, class, id, text) by the first three: links between classes, of which pairs on one side of ``left`` are left out where it is set."""
+        """(part, component, class, id, text) by part: links between the classes of each component."""
         import pyarrow as pa
 
-        for _, t in groups(frames, 3):
-            comp, left, kind, ids = (t.column(i).to_pylist() for i in (3, 4, 5, 6))
-            values, n, _, _ = shingle_sets(t.column(7).cast(pa.large_binary()).to_pylist())
+        for _, t in groups(frames, 1):
+            comp, kind, ids = (t.column(i).to_pylist() for i in (1, 2, 3))
+            values, n, _, _ = shingle_sets(t.column(4).cast(pa.large_binary()).to_pylist())
             parts = np.split(values, np.cumsum(n)[:-1])
             by: dict = {}
             for i, c in enumerate(comp):
@@ -250,52 +251,127 @@ def _verify(percent: int):
                 forest, first = Forest(), {}
                 for i in rows:
                     forest.join(first.setdefault(kind[i], ids[i]), ids[i])
-                side = {ids[i] for i in rows if left[i]} if left[rows[0]] is not None else None
-                links += confirm([parts[i] for i in rows], [ids[i] for i in rows], percent, forest, side)
+                links += confirm([parts[i] for i in rows], [ids[i] for i in rows], percent, forest)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _exploded(frames):
+    """(component, class, id, text) to a row for each distinct shingle: component, class, id, n of the set, shingle."""
+    import pyarrow as pa
+
+    for b in frames:
+        text = b.column(3).cast(pa.large_binary())
+        for lo, hi in batches(text):
+            values, n, _, _ = shingle_sets(text.slice(lo, hi - lo).to_pylist())
+            of = np.repeat(np.arange(lo, hi), n)
+            for at in range(0, len(values), 1 << 18):
+                i = of[at : at + (1 << 18)]
+                take = pa.array(i)
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in range(3)], pa.array(n[i - lo]), pa.array(values[at : at + (1 << 18)].view(np.int64))], ["component", "class", "id", "n", "shingle"])
+
+
+def rare_meetings(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different classes of a component (id, component, class) whose sets of rarest shingles meet.
+
+    No pair that holds is left out: ``confirm`` says why. Shingles are ordered by how many
+    members of the component have them, so what a component has in common comes last.
+    """
+    rows = placed.join(texts.withColumnRenamed("doc_id", "id"), "id").select("component", "class", "id", "text")
+    e = table(rows.mapInArrow(_exploded, "component long, class long, id long, n long, shingle long"), "shingles")
+    often = e.groupBy("component", "shingle").agg(F.count("*").alias("often"), F.min("class").alias("c0"), F.max("class").alias("c1"))
+    order = Window.partitionBy("component", "id").orderBy("often", "shingle")
+    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = e.join(often, ["component", "shingle"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    rare = table(rare.where("c0 <> c1").select("component", "shingle", "id", "class", "n"), "rare")
+    other = rare.select("component", "shingle", F.col("id").alias("b"), F.col("class").alias("other"), F.col("n").alias("m"))
+    met = rare.join(other, ["component", "shingle"]).where((F.col("id") < F.col("b")) & (F.col("class") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    return met.select(F.col("id").alias("a"), "b").distinct()
+
+
 def between(comp: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
     """Links between different classes (id, component) of the same group of ``comp`` (id, component)."""
     spark = comp.sparkSession
     placed = table(comp.join(classes.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id")), "classes")
-    count = placed.groupBy("component", "class").agg(F.count("*").alias("n"))
-    stats = table(count.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("of"), F.max_by("class", F.struct("n", "class")).alias("major"), F.max("n").alias("most")).where("of > 1"), "several")
+    stats = placed.groupBy("component").agg(F.count("*").alias("size"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("component", "size")
     d = table(placed.join(stats, "component"), "placed")
-    here = lambda n: F.ceil(F.col(n) / block).cast("int")
-    minors, majors = F.greatest(F.ceil((F.col("size") - F.col("most")) / block).cast("int"), F.lit(1)), here("most")
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    task = lambda kind, one, two, left: F.struct(F.lit(kind).alias("kind"), one.cast("int").alias("one"), two.cast("int").alias("two"), left.cast("boolean").alias("left"))
-    o = own(minors)
-    among = F.transform(upto(minors), lambda j: task(0, F.least(o, j), F.greatest(o, j), F.when(j != o, o < j)))
-    across = F.transform(upto(majors), lambda j: task(1, j, o, F.lit(False)))
-    facing = F.transform(upto(minors), lambda j: task(1, own(majors), j, F.lit(True)))
-    small = F.array(task(2, F.lit(0), F.lit(0), F.lit(None)))
-    tasks = F.when(F.col("size") <= block, small).when(F.col("class") == F.col("major"), facing).otherwise(F.concat(among, across))
     bins = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    rows = d.select("id", "component", "class", F.explode(tasks).alias("t"))
-    part = F.when(F.col("t.kind") == 2, -1 - F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component"))
-    one = F.col("t.one") * 2 + (F.col("t.kind") == 1).cast("int")
-    rows = table(rows.select(part.alias("part"), one.alias("one"), F.col("t.two").alias("two"), "component", F.col("t.left").alias("left"), "class", "id"), "tasks")
-    full = rows.join(texts.withColumnRenamed("doc_id", "id"), "id").select("part", "one", "two", "component", "left", "class", "id", "text")
-    return full.repartition("part", "one", "two").sortWithinPartitions("part", "one", "two").mapInArrow(_verify(percent), "a long, b long")
+    part = F.pmod(F.xxhash64("component"), F.lit(bins))
+    small = d.where(F.col("size") <= block).join(texts.withColumnRenamed("doc_id", "id"), "id").select(part.alias("part"), "component", "class", "id", "text")
+    found = small.repartition("part").sortWithinPartitions("part").mapInArrow(_verify(percent), "a long, b long")
+    large = d.where(F.col("size") > block).select("id", "component", "class")
+    if large.isEmpty():
+        return found
+    return found.union(direct(table(rare_meetings(large, texts, percent), "meetings"), texts, percent))
+
+
+def _agree(least: float):
+    def run(frames):
+        """(band, hash, hub, id, sketch of the hub, own sketch) with agree: whether the signatures agree enough."""
+        import pyarrow as pa
+
+        for b in frames:
+            if b.num_rows:
+                one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (4, 5))
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array((one == two).mean(1) >= least)], ["band", "hash", "hub", "id", "agree"])
+
+    return run
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between representatives whose components are the candidate groups."""
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "hash"))
-    shared = table(rows.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1"), "buckets")
-    member = table(rows.join(shared, ["band", "hash"]), "members")
-    star = member.where(f"n > {BUCKET} and doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    small = member.where(f"n <= {BUCKET}").select("band", "hash", "doc_id").join(reps.select("doc_id", "sketch"), "doc_id")
+    """Links (a, b) between representatives (doc_id, bands, sketch) whose components are the candidate groups."""
     p = percent / 100
     least = p - SLACK * (p * (1 - p) / (BANDS * ROWS)) ** 0.5
-    found = small.select("band", "hash", "doc_id", "sketch").repartition("band", "hash").sortWithinPartitions("band", "hash", "doc_id").mapInArrow(_bucket_links(least), "a long, b long")
-    return star.union(found)
+    sketch = reps.select(F.col("doc_id").alias("id"), "sketch")
+
+    def shared(rows: DataFrame, name: str) -> DataFrame:
+        found = table(rows.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "buckets")
+        return table(rows.join(found, ["band", "hash"]), name)
+
+    def forest(member: DataFrame) -> DataFrame:
+        small = member.where(f"n <= {BUCKET}").select("band", "hash", "id").join(sketch, "id")
+        return small.select("band", "hash", "id", "sketch").repartition("band", "hash").sortWithinPartitions("band", "hash", "id").mapInArrow(_bucket_links(least), "a long, b long")
+
+    member = shared(reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "hash")), "members")
+    large = member.where(f"n > {BUCKET}").select("band", "hash", "hub", "id")
+    if large.isEmpty():
+        return forest(member)
+    of_hub = large.select("hub").distinct().join(sketch.withColumnRenamed("id", "hub"), "hub").withColumnRenamed("sketch", "hub_sketch")
+    judged = large.join(of_hub, "hub").join(sketch, "id").select("band", "hash", "hub", "id", "hub_sketch", "sketch")
+    judged = table(judged.mapInArrow(_agree(least), "band int, hash long, hub long, id long, agree boolean"), "judged")
+    links = forest(member).union(judged.where("agree and id <> hub").select("hub", "id"))
+    # Buckets that have others: pairs with one of these agree on a second band too.
+    mixed = judged.where("not agree").select("band", "hash").distinct()
+    again = judged.join(mixed, ["band", "hash"], "left_semi").join(reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band2", "hash2")), "id").where("band <> band2")
+    again = shared(again.select("id", (F.lit(-1) - F.col("band") * BANDS - F.col("band2")).alias("band"), F.xxhash64("hash", "hash2").alias("hash")), "again")
+    return links.union(forest(again)).union(again.where(f"n > {BUCKET} and id <> hub").select("hub", "id"))
+
+
+def grouped(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """``near_duplicates`` with ``hash``, of the text: it tells rows of one doc_id with different texts apart."""
+    ship(docs.sparkSession)
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    signed = table(d.select("doc_id", "hash", "text").mapInArrow(sign, SIGNED), "signed")
+    named = signed.where("digest is not null and doc_id is not null")
+    # A text's node is a hash of its digest; its representative row is the first of those with equal words.
+    alike = table(named.groupBy("digest").agg(F.min(F.struct("doc_id", "hash")).alias("rep")).select("digest", F.xxhash64("digest").alias("node"), "rep.doc_id", "rep.hash"), "alike")
+    reps = named.join(alike.select("digest", "node", "doc_id", "hash"), ["doc_id", "hash", "digest"])
+    reps = table(reps.dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "bands", "sketch"), "reps")
+    links = table(candidates(reps, percent), "candidates")
+    comp = table(components(links), "groups")
+    wanted = comp.join(alike.withColumnRenamed("node", "id"), "id").select("id", "doc_id", "hash")
+    texts = table(d.join(wanted, ["doc_id", "hash"]).select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
+    held = table(direct(links, texts, percent), "held")
+    more = table(between(comp, table(components(held), "sure"), texts, percent, block), "more")
+    label = table(components(held.union(more)), "labels")
+    joined = alike.join(label.withColumnsRenamed({"id": "node", "component": "label"}), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = table(joined.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+    of = table(joined.join(least, "label").select("digest", "component_id"), "named")
+    out = signed.select("doc_id", "hash", "n_shingles", "digest").join(of, "digest", "left")
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "hash", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
@@ -305,22 +381,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     five-word shingles (fewer words: the whole sequence; none: empty, linked with nothing).
     component_id is the smallest doc_id reachable over links. Null and empty texts stand
     alone. Rows that repeat a doc_id with one text are one document, given once for each
-    row; a null doc_id is kept as a row with null component. An empty table gives an empty one.
+    row; rows of one doc_id with different texts are each in their own text's group. A row
+    without a doc_id stands alone: its component is null, and it is kept. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    signed = table(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(sign, SIGNED), "signed")
-    alike = table(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "alike")
-    reps = table(signed.where("digest is not null").join(alike.select(F.col("rep").alias("doc_id"), F.col("digest").alias("of")), "doc_id").where("digest = of").drop("of").dropDuplicates(["doc_id", "digest"]), "reps")
-    links = table(candidates(reps, percent), "candidates")
-    comp = table(components(links), "groups")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    texts = table(texts.join(comp.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    held = table(direct(links, texts, percent), "held")
-    more = table(between(comp, table(components(held), "sure"), texts, percent, block), "more")
-    confirmed = held.union(more)
-    label = table(components(confirmed), "labels")
-    of = table(alike.join(label, alike["rep"] == label["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
-    out = signed.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    found = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id") == found).alias("kept"))
+    return grouped(docs, percent, block).drop("hash")
+
+
+def unique(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that stay when each group keeps its document of the smallest doc_id; all columns as they were.
+
+    Rows without a doc_id stay. Of rows that repeat a doc_id and text one stays.
+    """
+    kept = table(grouped(docs, percent).where("kept and doc_id is not null").groupBy("doc_id", "hash").agg(F.count("*").alias("n")), "kept")
+    d = docs.withColumns({"_id": docs["doc_id"].cast("long"), "_hash": F.xxhash64(docs["text"].cast("string"))})
+    k = kept.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "n")
+    once = d.join(k.where("n = 1"), ["_id", "_hash"], "left_semi").select(*docs.columns)
+    once = once.unionByName(docs.where("doc_id is null"))
+    several = k.where("n > 1")
+    if several.isEmpty():
+        return once
+    return once.unionByName(d.join(several, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns))

@@ -57,7 +57,78 @@ def test_odd_rows(spark):
     out = minhash.near_duplicates(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA))
     assert result(out) == brute.near(rows)
     twice = minhash.near_duplicates(spark.createDataFrame([(i, t, "x", 1) for i, t in (rows[3], rows[3], rows[4], (None, "one two"))], SCHEMA)).collect()
-    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in twice) == [(0, 4), (4, 4), (4, 4), (5, 4)]
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in twice) == [(0, 0, True), (4, 4, True), (4, 4, True), (5, 4, False)]
+    both = minhash.near_duplicates(spark.createDataFrame([(7, "a b c", "x", 1), (7, "d e f", "x", 1), (3, "A b c", "x", 1), (9, "d e F", "x", 1)], SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in both) == [(3, 3), (7, 3), (7, 7), (9, 7)]
+
+
+def test_unique_rows(spark):
+    """One row of each group; rows without an id stay, repeated rows stay once, whatever the other columns are called."""
+    rows = [(4, "One two", "x", 1), (4, "One two", "x", 1), (5, "one TWO", "x", 1), (None, "one two", "x", 1), (None, "one two", "y", 2), (6, None, "x", 1), (6, None, "x", 1), (8, "other words", "x", 1)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    out = minhash.unique(d)
+    assert out.columns == d.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [rows[0], rows[3], rows[4], rows[5], rows[7]]))
+    assert minhash.unique(d.limit(0)).count() == 0
+
+
+def signatures(spark, rng, n: int, same_bands: int, near: bool):
+    """Representatives that share ``same_bands`` bands; with ``near`` most of their signature too."""
+    base = rng.integers(0, 256, 144, dtype=np.uint8)
+    rows = []
+    for i in range(n):
+        sketch = rng.integers(0, 256, 144, dtype=np.uint8)
+        if near:
+            sketch = np.where(rng.random(144) < 0.95, base, sketch)
+        bands = [b if b < same_bands else int(rng.integers(1, 1 << 60)) for b in range(24)]
+        rows.append((i, bands, bytearray(sketch.astype(np.uint8).tobytes())))
+    return spark.createDataFrame(rows, "doc_id long, bands array<long>, sketch binary")
+
+
+def test_a_band_that_unlike_texts_share(spark):
+    """10,000 representatives in one bucket: unlike ones give no link, like ones a link each, and a pair among unlike ones is found."""
+    rng = np.random.default_rng(3)
+    unlike = signatures(spark, rng, 10_000, 1, False)
+    assert minhash.candidates(unlike, 85).count() == 0
+    like = signatures(spark, rng, 3000, 24, True)
+    n = {tuple(sorted(r)) for r in minhash.candidates(like, 85).collect()}
+    assert brute.components(n, range(3000)) == dict.fromkeys(range(3000), 0) and len(n) < 10_000
+    pair = unlike.where("doc_id = 77").selectExpr("cast(20000 as long) as doc_id", "transform(bands, (b, i) -> if(i % 3 = 0, b, b + 1)) as bands", "sketch")
+    assert [tuple(sorted(r)) for r in minhash.candidates(unlike.union(pair), 85).distinct().collect()] == [(77, 20000)]
+
+
+def test_a_template_gives_few_meetings(spark):
+    """A component of texts that share most of a template but no pair of which holds: as many meetings as there are members at most; those that hold are found."""
+    rng = random.Random(5)
+    frame = [f"t{i}" for i in range(80)]
+    texts = [" ".join(frame[:40] + [f"x{i}y{j}" for j in range(12)] + frame[40:]) for i in range(400)]
+    texts += [texts[0] + " more", texts[7].replace("t79", "end")]
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = spark.createDataFrame([(i, 0, i) for i, _ in rows], "id long, component long, class long")
+    met = {tuple(r) for r in minhash.rare_meetings(placed, d, 85).collect()}
+    assert {(0, 400), (7, 401)} <= met and len(met) < 410
+    held = {tuple(r) for r in minhash.direct(spark.createDataFrame(sorted(met), "a long, b long"), d, 85).collect()}
+    assert held == {(0, 400), (7, 401)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=12, unique=True), min_size=2, max_size=8), st.sampled_from([50, 85]))
+def test_rarest_shingles_meet(sets, percent):
+    """The rule of the prefix filter, for any order of the shingles."""
+    count: dict = {}
+    for s in sets:
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    rare = [set(sorted(s, key=lambda x: (count[x], x))[: len(s) - -(-len(s) * percent // 100) + 1]) for s in sets]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len({*a} & {*sets[j]}) >= percent * len({*a} | {*sets[j]}):
+                assert rare[i] & rare[j]
+
+
+def test_odd_ids(spark):
+    assert minhash.near_duplicates(spark.createDataFrame([(None, "a b", "x", 1), (None, None, "x", 1)], SCHEMA)).where("kept and component_id is null").count() == 2
 
 
 def test_empty_table(spark):
