@@ -84,6 +84,28 @@ def header_barcode(name: Column) -> Column:
     return F.regexp_extract(name, " .*:([^:]*)$", 1)
 
 
+def header_barcodes(name: Column) -> Column:
+    """(bc, bc2, qual, qual2) of a read name: its barcode, of two joined by + both, with made-up qualities."""
+    b = F.split(header_barcode(name), r"\+")
+    one, two = F.get(b, 0), F.get(b, 1)
+    return F.struct(one.alias("bc"), two.alias("bc2"), F.repeat(F.lit("h"), F.length(one)).alias("qual"), F.repeat(F.lit("h"), F.length(two)).alias("qual2"))
+
+
+def unpack2(code: Column, k: int) -> Column:
+    """The k-mer that ``pack2`` gave a number."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
+def pack2_revcomp(code: Column, k: int) -> Column:
+    """The packed number of the reverse complement of a packed k-mer."""
+    return pack2(revcomp(unpack2(code, k)))
+
+
+def instrument_name(machine: Column, run: Column, lane: Column, tile: Column, x: Column, y: Column, mate: Column, passed: Column) -> Column:
+    """A read name of the fields that a sequencer gives: machine:run:lane:tile:x:y mate:filter."""
+    return F.concat(F.lit("@"), F.concat_ws(":", machine, run, lane, tile, x, y), F.lit(" "), mate.cast("string"), F.lit(":"), F.when(passed, "N").otherwise("Y"))
+
+
 def replace_field(row: Column, n: int, value: Column, sep: str = "\t") -> Column:
     """The n-th (from 1) field of a delimited row replaced."""
     return F.array_join(F.transform(F.split(row, sep), lambda x, i: F.when(i == n - 1, value).otherwise(x)), sep)

@@ -42,7 +42,7 @@ def multi_mapping(a: DataFrame) -> DataFrame:
 
 def coverage(a: DataFrame, contigs: DataFrame, bins: int = 30) -> DataFrame:
     """(rname, bases, share, signature) by contig (name, length): a character a bin, '0' + log2(1 + reads)."""
-    d = a.where(~FLAG(4) & (F.col("pos") > 0)).join(F.broadcast(contigs.withColumnRenamed("name", "rname")), "rname")
+    d = a.where(~FLAG(4) & (F.col("pos") > 0)).join(contigs.withColumnRenamed("name", "rname"), "rname")
     b = F.least(F.floor((F.col("pos") - 1) * bins / F.col("length")), F.lit(bins - 1)).cast("int")
     g = d.groupBy("rname", b.alias("bin")).agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases"))
     g = g.groupBy("rname").agg(F.sum("bases").alias("bases"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
@@ -57,7 +57,7 @@ def position_skew(a: DataFrame, contigs: DataFrame) -> DataFrame:
     d = a.where(~FLAG(4) & (F.col("pos") > 0))
     skew = d.select("rname", "pos").union(ends).groupBy("rname").agg(F.skewness("pos").alias("skewness"))
     depth = d.groupBy("rname", "pos").agg(F.count("*").alias("n")).groupBy("rname").agg(F.count("*").alias("positions"), F.try_divide(F.stddev_pop("n"), F.avg("n")).alias("cv"))
-    return skew.join(depth, "rname", "left").join(F.broadcast(contigs.withColumnRenamed("name", "rname")), "rname").select("rname", "skewness", (F.coalesce("positions", F.lit(0)) * 100.0 / F.col("length")).alias("covered"), "cv")
+    return skew.join(depth, "rname", "left").join(contigs.withColumnRenamed("name", "rname"), "rname").select("rname", "skewness", (F.coalesce("positions", F.lit(0)) * 100.0 / F.col("length")).alias("covered"), "cv")
 
 
 def discordant(a: DataFrame, far: int = 1000) -> DataFrame:

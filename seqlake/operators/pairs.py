@@ -10,12 +10,20 @@ from seqlake.functions import qual as Q, seq as S
 
 
 def zip_mates(*files: DataFrame, fields: tuple[str, ...] = ("id", "seq", "qual")) -> DataFrame:
-    """Record N of every file in one row: rec_no and a struct r1, r2, ... of each; a missing mate fails the run."""
-    out = None
+    """Record N of every side in one row: rec_no and a struct r1, r2, ... of each; a missing mate fails the run.
+
+    Where a side has several files (column ``file``), the n-th file by name of one side meets
+    the n-th of the others, and ``lane`` is n.
+    """
+    out, on = None, ["rec_no"]
+    if all("file" in f.columns for f in files):
+        on = ["lane", "rec_no"]
+        lanes = [f.select("file").distinct().withColumn("lane", F.row_number().over(Window.orderBy("file"))) for f in files]  # a row a file
+        files = tuple(f.join(n, "file") for f, n in zip(files, lanes))
     for i, f in enumerate(files, 1):
-        d = f.select("rec_no", F.struct(*[c for c in fields if c in f.columns]).alias(f"r{i}"))
-        out = d if out is None else out.join(d, "rec_no", "full")
-    whole = F.assert_true(F.col("r1").isNotNull() if len(files) == 1 else F.expr(" and ".join(f"r{i} is not null" for i in range(1, len(files) + 1))), "files have different numbers of records")
+        d = f.select(*on, F.struct(*[c for c in fields if c in f.columns]).alias(f"r{i}"))
+        out = d if out is None else out.join(d, on, "full")
+    whole = F.assert_true(F.expr(" and ".join(f"r{i} is not null" for i in range(1, len(files) + 1))), "files have different numbers of records")
     return out.where(whole.isNull())
 
 
@@ -25,97 +33,111 @@ def verify_ids(pairs: DataFrame, upto: str, every: int = 100) -> DataFrame:
     return pairs.where(F.assert_true((F.col("rec_no") % every != 0) | (a == b), "mates out of step").isNull())
 
 
+_REVERSED = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
+_NONE = np.int64(1 << 60)
+
+
+def _grid(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of bytes from the left, their lengths)."""
+    n = np.array([len(r) for r in raw], np.int64)
+    grid = np.zeros((len(raw), max(1, int(n.max(initial=1)))), np.uint8)
+    grid[np.arange(grid.shape[1]) < n[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+    return grid, n
+
+
+def _window(grid: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """``width`` bytes of each row from its own start."""
+    return np.take_along_axis(grid, np.clip(start[:, None] + np.arange(width), 0, grid.shape[1] - 1), 1)
+
+
+def best_overlaps(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, least: int, percent: int, extend: bool = False, compat: bool = True):
+    """(score, overlap, shift) for rows of two grids: a's end on b's start, mismatches at most ``percent``.
+
+    The score is 1000 (d^2 + 1) / compared, the lowest wins, and of equal ones the shortest.
+    With ``extend`` the shorter read, if not wholly overlapped, is tried inside the longer one at
+    every shift; ``compat`` counts shifts from 0 and has a longer a's part begin one base before it.
+    """
+    n = np.minimum(la, lb)
+    score, at, shift = np.full(len(n), _NONE), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+
+    def offer(rows: np.ndarray, d: np.ndarray, size: np.ndarray, by: int) -> None:
+        s = 1000 * (d * d + 1) // np.maximum(size, 1)
+        win = rows & (d <= percent * size // 100) & (s < score)
+        score[win], at[win], shift[win] = s[win], size[win], by
+
+    for o in range(least, int(n.max(initial=0)) + 1):
+        rows = n >= o
+        offer(rows, (_window(a, la - o, o) != b[:, :o]).sum(1), np.full(len(n), o), 0)
+    if extend:
+        longer, open_ = la > lb, (at < n) & (la != lb)
+        for i in range(int(np.abs(la - lb)[open_].max(initial=0))):
+            rows = open_ & (i < np.abs(la - lb))
+            by = i if compat else i + 1
+            width = int(n[rows].max(initial=0))
+            x = _window(a, np.where(longer, la - n - i - 1, 0), width)  # shift i of compat and i + 1 of the other begin at one base
+            y = _window(b, np.where(longer, 0, by), width)
+            offer(rows, ((x != y) & (np.arange(width) < n[:, None])).sum(1), n, by)
+    return score, at, shift
+
+
+def overlap_kernel(least: int = 6, percent: int = 8):
+    """A pandas function (s1, s2) -> (score, len) of the best overlap, a batch of pairs at a time; nulls where there is none."""
+
+    def run(s1: pd.Series, s2: pd.Series) -> pd.DataFrame:
+        a, la = _grid([x.encode() for x in s1.fillna("")])
+        b, lb = _grid([x.encode().translate(_REVERSED)[::-1] for x in s2.fillna("")])
+        score, at, _ = best_overlaps(a, la, b, lb, least, percent)
+        none = at == 0
+        return pd.DataFrame({"score": pd.array(np.where(none, 0, score), "Int64"), "len": pd.array(at, "Int32")}).mask(none[:, None].repeat(2, 1), pd.NA)
+
+    return F.pandas_udf(run, "score long, len int")
+
+
 def overlap(s1: Column, s2: Column, least: int = 6, percent: int = 8) -> Column:
-    """(score, len) of the best overlap of s1's end with the start of reversed s2, or null; of equal scores the shortest."""
-    rc = S.revcomp(s2)
-    n = F.least(F.length(s1), F.length(rc))
-
-    def one(o):
-        d = S.hamming(F.right(s1, o), rc, o)
-        return F.when(d <= F.floor(o * percent / 100), F.struct(F.expr("0").cast("long").alias("pad"), F.floor(1000 * (d * d + 1) / o).cast("long").alias("score"), o.alias("len")))
-
-    best = F.array_min(F.filter(F.transform(S.upto(n, least), one), lambda x: x.isNotNull()))
-    return F.when(best.isNotNull(), F.struct(best["score"].alias("score"), best["len"].alias("len")))
-
-
-def _best(a: np.ndarray, b: np.ndarray, least: int, percent: int, extend: bool) -> tuple[int, int]:
-    """(overlap, extension) of reads as bytes; extension is how far a shorter read slides inside the longer one."""
-    n = min(len(a), len(b))
-    best, at, ext = 1 << 60, -1, 0
-    for o in range(least, n + 1):
-        d = int((a[len(a) - o :] != b[:o]).sum())
-        if d <= percent * o // 100:
-            score = 1000 * (d * d + 1) // o
-            if score < best:
-                best, at = score, o
-    if extend and at < n and len(a) != len(b):
-        for i in range(1, abs(len(a) - len(b)) + 1):
-            x, y = (a[len(a) - n - i : len(a) - i], b) if len(a) > len(b) else (a, b[i : i + n])
-            d = int((x != y).sum())
-            if d <= percent * n // 100:
-                score = 1000 * (d * d + 1) // max(n, 1)
-                if score < best:
-                    best, at, ext = score, n, i
-    return at, ext
+    """(score, len) of the best overlap of s1's end with the start of reversed s2, of nulls where there is none; of equal scores the shortest."""
+    return overlap_kernel(least, percent)(s1, s2)
 
 
 def merge_kernel(least: int = 6, percent: int = 8, extend: bool = False, reverse: bool = True, compat: bool = True):
-    """A pandas function (s1, q1, s2, q2) -> (joined, overlap, seq, qual).
+    """A pandas function (s1, q1, s2, q2) -> (joined, overlap, seq, qual), a batch of pairs at a time.
 
     Where reads agree the better score stays, where not the better base does, with a score of
     what it is better by, at least 3. With ``extend`` the shorter read may lie inside the longer.
     ``compat`` does that as the classic program does: shifts start at 0, a longer first read is
     taken one base further left, and what a longer second read has after the overlap is kept.
     """
-    swap = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
-
-    def one(s1: str, q1: str, s2: str, q2: str):
-        b1, b2 = s1.encode(), s2.encode()
-        if reverse:
-            b2, q2 = b2.translate(swap)[::-1], q2[::-1]
-        a, b = np.frombuffer(b1, np.uint8), np.frombuffer(b2, np.uint8)
-        if compat:
-            o, ext = _best_compat(a, b, least, percent, extend)
-        else:
-            o, ext = _best(a, b, least, percent, extend)
-        if o <= 0:
-            return False, 0, None, None
-        qa, qb = np.frombuffer(q1.encode(), np.uint8).astype(int), np.frombuffer(q2.encode(), np.uint8).astype(int)
-        if ext and len(a) > len(b):
-            at = len(a) - o - ext - compat
-            a, qa = a[at : at + o], qa[at : at + o]
-        elif ext:
-            end = None if compat else ext + o
-            b, qb = b[ext:end], qb[ext:end]
-        x, y, qx, qy = a[len(a) - o :], b[:o], qa[len(qa) - o :], qb[:o]
-        same, left = x == y, qx > qy
-        base = np.where(same | left, x, y)
-        hi, lo = np.maximum(qx, qy), np.minimum(qx, qy)
-        q = np.where(same, hi, 33 + np.minimum(hi, np.maximum(hi - lo, 3)))
-        seq = a[: len(a) - o].tobytes() + base.astype(np.uint8).tobytes() + b[o:].tobytes()
-        qual = np.concatenate((qa[: len(qa) - o], q, qb[o:])).astype(np.uint8).tobytes()
-        return True, o + ext, seq.decode(), qual.decode("latin-1")
 
     def run(s1: pd.Series, q1: pd.Series, s2: pd.Series, q2: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(*x) for x in zip(s1.fillna(""), q1.fillna(""), s2.fillna(""), q2.fillna(""))], columns=["joined", "overlap", "seq", "qual"])
+        turn = (lambda x, table: x.translate(table)[::-1]) if reverse else (lambda x, table: x)
+        identity = bytes(range(256))
+        a, la = _grid([x.encode() for x in s1.fillna("")])
+        b, lb = _grid([turn(x.encode(), _REVERSED) for x in s2.fillna("")])
+        qa, _ = _grid([x.encode("latin-1") for x in q1.fillna("")])
+        qb, _ = _grid([turn(x.encode("latin-1"), identity) for x in q2.fillna("")])
+        _, o, ext = best_overlaps(a, la, b, lb, least, percent, extend, compat)
+        joined = o > 0
+        # The parts of both reads that are put together: their starts and lengths.
+        inside, longer = ext > 0, la > lb
+        a0 = np.where(inside & longer, la - o - ext - compat, 0)
+        na = np.where(inside & longer, o, la)
+        b0 = np.where(inside & ~longer, ext, 0)
+        nb = np.where(inside & ~longer, lb - ext if compat else o, lb)
+        size = np.where(joined, na - o + nb, 0)
+        p = np.arange(int(size.max(initial=0)))[None, :]
+        in_a, k = p < na[:, None], p - (na - o)[:, None]
+        in_b = (k >= 0) & (k < nb[:, None])
+        pick = lambda grid, at: np.take_along_axis(grid, np.clip(at, 0, grid.shape[1] - 1), 1)
+        x, y = pick(a, a0[:, None] + p), pick(b, b0[:, None] + k)
+        u, v = pick(qa, a0[:, None] + p).astype(np.int64), pick(qb, b0[:, None] + k).astype(np.int64)
+        both, same, best = in_a & in_b, x == y, np.maximum(u, v)
+        base = np.where(both, np.where(same | (u > v), x, y), np.where(in_a, x, y)).astype(np.uint8)
+        qual = np.where(both, np.where(same, best, 33 + np.minimum(best, np.maximum(np.abs(u - v), 3))), np.where(in_a, u, v)).astype(np.uint8)
+        text = lambda grid, code: [grid[i, :n].tobytes().decode(code) if j else None for i, (n, j) in enumerate(zip(size.tolist(), joined.tolist()))]
+        return pd.DataFrame({"joined": joined, "overlap": np.where(joined, o + ext, 0), "seq": text(base, "utf-8"), "qual": text(qual, "latin-1")})
 
     return F.pandas_udf(run, "joined boolean, overlap int, seq string, qual string")
 
 
-def _best_compat(a, b, least, percent, extend):
-    at, ext = _best(a, b, least, percent, False)
-    n = min(len(a), len(b))
-    d0 = int((a[len(a) - at :] != b[:at]).sum()) if at > 0 else 0
-    best = 1000 * (d0 * d0 + 1) // at if at > 0 else 1 << 60
-    if extend and at < n and len(a) != len(b):
-        for i in range(abs(len(a) - len(b))):
-            x, y = (a[len(a) - len(b) - i - 1 : len(a) - i - 1], b) if len(a) > len(b) else (a, b[i : i + n])
-            d = int((x != y).sum())
-            if d <= percent * n // 100 and 1000 * (d * d + 1) // n < best:
-                best, at, ext = 1000 * (d * d + 1) // n, n, i
-    return at, ext
-
-
 def join_pairs(pairs: DataFrame, **options) -> DataFrame:
     """Pairs (s1, q1, s2, q2) with joined, overlap, seq, qual."""
     d = pairs.withColumn("_m", merge_kernel(**options)("s1", "q1", "s2", "q2"))
@@ -167,7 +189,7 @@ def assign_dual(reads: DataFrame, barcodes: DataFrame, mismatch: int = 1, distan
 def trim_barcode(assigned: DataFrame, barcodes: DataFrame, end: str = "b") -> DataFrame:
     """The barcode's bases cut off where one was found."""
     n = F.coalesce(F.length("bc"), F.lit(0))
-    d = assigned.join(F.broadcast(barcodes.select(F.col("bid").alias("barcode"), "bc")), "barcode", "left")
+    d = assigned.join(barcodes.select(F.col("bid").alias("barcode"), "bc"), "barcode", "left")
     keep = F.greatest(F.length("seq") - n, F.lit(0))
     first = n + 1 if end == "b" else F.lit(1)
     return d.withColumns({c: F.substr(F.col(c), first, keep) for c in ("seq", "qual")}).drop("bc")
@@ -192,7 +214,7 @@ def barcode_profile(reads: DataFrame, barcodes: DataFrame, sample: int = 200_000
     b = barcodes.select("grp", F.upper("bc").alias("bc"))
     starts = head.withColumn("len", F.explode(F.array(*[F.lit(r[0]) for r in b.select(F.length("bc")).distinct().collect()])))
     counts = starts.groupBy(F.substr(F.col("seq"), F.lit(1), F.col("len")).alias("s")).agg(F.count("*").alias("n")), starts.groupBy(F.right(F.col("seq"), F.col("len")).alias("s")).agg(F.count("*").alias("n"))
-    at = [c.join(F.broadcast(b), c["s"] == b["bc"]).groupBy("grp", "bc").agg(F.sum("n").alias(x)) for c, x in zip(counts, ("at_start", "at_end"))]
+    at = [c.join(b, c["s"] == b["bc"]).groupBy("grp", "bc").agg(F.sum("n").alias(x)) for c, x in zip(counts, ("at_start", "at_end"))]
     x = at[0].join(at[1], ["grp", "bc"], "full").na.fill(0)
     g = x.groupBy("grp").agg(F.sum("at_start").alias("at_start"), F.sum("at_end").alias("at_end"), F.sum(F.greatest("at_start", "at_end") * F.log(F.length("bc"))).alias("score"))
     return g.orderBy(F.desc("score"), "grp")
@@ -211,10 +233,46 @@ def species_summary(reads: DataFrame) -> DataFrame:
     return c.crossJoin(F.broadcast(c.agg(F.percentile("n", 0.75).alias("uq")))).select("seq", "n", F.log10("n").alias("log10"), (F.col("n") / F.col("uq")).alias("normal"))
 
 
-def running_counts(reads: DataFrame, key: str) -> DataFrame:
-    return reads.groupBy(key).agg(F.count("*").alias("n"))
+def barcode_counts(reads: DataFrame, barcodes: DataFrame, sample: int = 200_000) -> DataFrame:
+    """(bid, bc, grp, at_start, at_end, shift_start, shift_end, dual) among the first reads, in any case of letters.
 
-
-def runner_up(candidates: DataFrame, key: str, distance: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(distance)
-    return candidates.withColumn("next", F.lead(distance).over(w)).withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    At a start or an end the barcode's bases stand first or last, shifted: one base further in. ``dual``
+    counts reads that begin with bc and end with bc2, where barcodes have one. The lengths of
+    the list, of which there are few, decide what is cut from a read.
+    """
+    head = reads.where(F.col("rec_no") < sample).select(F.upper("seq").alias("seq"))
+    b = barcodes.select("bid", F.upper("bc").alias("bc"), *[F.upper(c).alias(c) if c == "bc2" else F.col(c) for c in ("bc2", "grp") if c in barcodes.columns])
+    lengths = [r[0] for r in b.select(F.length("bc")).distinct().collect()]
+    places = {"at_start": lambda n: F.substring("seq", 1, n), "at_end": lambda n: F.right("seq", F.lit(n)), "shift_start": lambda n: F.substring("seq", 2, n), "shift_end": lambda n: F.when(F.length("seq") > n, F.substr("seq", F.length("seq") - n, F.lit(n)))}
+    cuts = F.array(*[F.struct(F.lit(p).alias("place"), f(n).alias("s")) for p, f in places.items() for n in lengths])
+    seen = head.select(F.inline(cuts)).groupBy("place", "s").agg(F.count("*").alias("n"))
+    x = b.join(seen, b["bc"] == seen["s"], "left").groupBy(*b.columns).agg(*[F.coalesce(F.sum(F.when(F.col("place") == p, F.col("n"))), F.lit(0)).alias(p) for p in places])
+    if "bc2" not in b.columns:
+        return x.withColumn("dual", F.lit(0).cast("long"))
+    pairs = b.select("bc", "bc2").where("bc2 is not null").select(F.length("bc").alias("n"), F.length("bc2").alias("m")).distinct().collect()
+    if not pairs:
+        return x.withColumn("dual", F.lit(0).cast("long"))
+    both = head.select(F.inline(F.array(*[F.struct(F.substring("seq", 1, r["n"]).alias("bc"), F.right("seq", F.lit(r["m"])).alias("bc2")) for r in pairs]))).groupBy("bc", "bc2").agg(F.count("*").alias("dual"))
+    return x.join(both, ["bc", "bc2"], "left").withColumn("dual", F.coalesce("dual", F.lit(0)))
+
+
+def select_barcodes(counts: DataFrame, factor: float = 20.0) -> DataFrame:
+    """(bid, bc, grp, end, shifted, n) of the best group's barcodes that are seen at least 1 / ``factor`` as often as its mean.
+
+    Groups are compared by the sums of max(start, end) ln(length). The side with more counts
+    over the group is the end; barcodes are read shifted where counts one base further in are at least
+    1.2 times those at the edge.
+    """
+    most = F.greatest(*[F.col(c) for c in ("at_start", "at_end", "shift_start", "shift_end")])
+    g = counts.groupBy("grp").agg(F.sum(F.greatest("at_start", "at_end") * F.log(F.length("bc"))).alias("score"), *[F.sum(c).alias(f"g_{c}") for c in ("at_start", "at_end", "shift_start", "shift_end")], F.avg(most).alias("mean"))
+    best = g.orderBy(F.desc("score"), "grp").limit(1)
+    end = F.greatest("g_at_end", "g_shift_end") > F.greatest("g_at_start", "g_shift_start")
+    shifted = F.when(end, F.col("g_shift_end") >= 1.2 * F.col("g_at_end")).otherwise(F.col("g_shift_start") >= 1.2 * F.col("g_at_start"))
+    best = best.select("grp", "mean", F.when(end, "e").otherwise("b").alias("end"), (shifted & (F.greatest("g_shift_start", "g_shift_end") > 0)).alias("shifted"))
+    n = F.when(F.col("end") == "e", F.when(F.col("shifted"), F.col("shift_end")).otherwise(F.col("at_end"))).otherwise(F.when(F.col("shifted"), F.col("shift_start")).otherwise(F.col("at_start")))
+    return counts.join(best, "grp").withColumn("n", n).where((F.col("n") > 0) & (F.col("n") >= F.col("mean") / factor)).select("bid", "bc", "grp", "end", "shifted", "n")
+
+
+def list_end(counts: DataFrame) -> DataFrame:
+    """One row for a given list of barcodes: the end at which its counts are greater, and whether any pair of ends is dual often enough (a thousandth of the counts)."""
+    return counts.agg(F.when(F.sum("at_end") > F.sum("at_start"), "e").otherwise("b").alias("end"), (F.sum("dual") * 1000 >= F.greatest(F.sum("at_start"), F.sum("at_end"))).alias("dual"), F.sum("at_start").alias("at_start"), F.sum("at_end").alias("at_end"))

@@ -89,20 +89,59 @@ def reject_reason(f: Filters, seq: Column | None = None, qual: Column | None = N
     return out
 
 
+@dataclass(frozen=True)
+class MateLimits:
+    """What a template of mates must pass: the least length of each mate, and that of a mate that nothing was cut from."""
+
+    min_length: tuple[int, ...] = (19, 19)
+    keep_length: int | None = None
+    low_complexity: float | None = None
+    homopolymer: float | None = None
+
+
+def template_reason(f: MateLimits, seqs: list[Column], trimmed: list[Column], quals: list[Column] | None = None, mean_quality: tuple[float | None, ...] = ()) -> Column:
+    """The first limit that a template of mates breaks, or null: one mate's failure is the template's.
+
+    ``trimmed`` are the bases cut from each mate. Scores of repeats are pooled over the mates.
+    """
+    out = None
+    for i, (s, t) in enumerate(zip(seqs, trimmed)):
+        least = F.lit(f.min_length[min(i, len(f.min_length) - 1)])
+        if f.keep_length is not None:
+            least = F.when(t == 0, f.keep_length).otherwise(least)
+        short = F.length(s) < least
+        out = F.when(short, f"short{i + 1}") if out is None else out.when(short, f"short{i + 1}")
+    steps = sum((F.greatest(F.length(s) - 1, F.lit(0)) for s in seqs[1:]), F.greatest(F.length(seqs[0]) - 1, F.lit(0)))
+    for limit, score, name in ((f.homopolymer, S.homopolymer_score, "homopolymer"), (f.low_complexity, S.low_complexity_score, "complexity")):
+        if limit is not None:
+            out = out.when(sum((score(s) for s in seqs[1:]), score(seqs[0])) >= F.floor(limit * steps), name)
+    for i, (q, least) in enumerate(zip(quals or [], mean_quality)):
+        if least is not None:
+            out = out.when(Q.mean(q) < least, f"quality{i + 1}")
+    return out
+
+
+def without_index_lanes(df: DataFrame, least: float = 11.0) -> DataFrame:
+    """Reads (file, seq) of the files whose mean read length is at least ``least``: shorter ones are barcode lanes."""
+    lanes = df.groupBy("file").agg(F.avg(F.length("seq")).alias("_mean")).where(F.col("_mean") < least).select("file")
+    return df.join(lanes, "file", "left_anti").select(*df.columns)
+
+
 def filtered(df: DataFrame, f: Filters, reason: str | None = None) -> DataFrame:
     """Reads within the limits; with ``reason`` all reads, and that column says why one is to go."""
     why = reject_reason(f, name=F.col("id") if "id" in df.columns else None)
     return df.withColumn(reason, why) if reason else df.where(why.isNull())
 
 
-def first_seen(df: DataFrame, first: int, order: tuple[str, ...] = ("rec_no",)) -> DataFrame:
-    """Of reads with equal first bases, the one that comes first.
+def first_seen(df: DataFrame, first: int, order: tuple[str, ...] | None = None) -> DataFrame:
+    """Of reads with equal first bases, the one that comes first: by file and rec_no, as rec_no counts within a file.
 
     A minimum and a join on it, both partial on the map side, so a very frequent prefix is not gathered.
     """
+    order = order or tuple(c for c in ("file", "rec_no") if c in df.columns)
     key = F.substring("seq", 1, first)
-    least = df.groupBy(key.alias("_k")).agg(F.min(F.struct(*order)).alias("_o")).select("_o")
-    return df.withColumn("_o", F.struct(*order)).join(least, "_o", "left_semi").drop("_o")
+    least = df.groupBy(key.alias("_k")).agg(F.min(F.struct(*order)).alias("_o"))
+    return df.withColumns({"_k": key, "_o": F.struct(*order)}).join(least, ["_k", "_o"], "left_semi").drop("_k", "_o")
 
 
 def duplicate_counts(df: DataFrame, first: int = 35) -> DataFrame:
@@ -126,8 +165,8 @@ def cycle_quality(df: DataFrame) -> DataFrame:
     base = [F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(f"n_{b.lower()}") for b in "ACGTN"]
     g = c.groupBy("cycle").agg(F.sum("n").alias("n"), F.min("q").alias("q_min"), F.max("q").alias("q_max"), F.sum(F.col("q") * F.col("n")).alias("q_sum"), quart.alias("quart"), *base)
     g = g.select("cycle", "n", "q_min", "q_max", "q_sum", (F.col("q_sum") / F.col("n")).alias("q_mean"), *[F.get("quart", i).alias(x) for i, x in enumerate(("q1", "median", "q3"))], *[f"n_{b.lower()}" for b in "ACGTN"])
-    edge = c.join(F.broadcast(g.select("cycle", "q1", "q3")), "cycle").where("q >= q1 - 1.5 * (q3 - q1) and q <= q3 + 1.5 * (q3 - q1)").groupBy("cycle").agg(F.min("q").alias("whisker_low"), F.max("q").alias("whisker_high"))
-    return g.join(F.broadcast(edge), "cycle")
+    edge = c.join(g.select("cycle", "q1", "q3"), "cycle").where("q >= q1 - 1.5 * (q3 - q1) and q <= q3 + 1.5 * (q3 - q1)").groupBy("cycle").agg(F.min("q").alias("whisker_low"), F.max("q").alias("whisker_high"))
+    return g.join(edge, "cycle")
 
 
 def quality_breakdown(df: DataFrame) -> DataFrame:
@@ -289,6 +328,11 @@ def clip_kernel(adapters: list[Adapter], percent: float = 10.0, inside: int = -1
     return F.pandas_udf(run, "start int, end int")
 
 
+def only_clipped(clipped: DataFrame) -> DataFrame:
+    """Of reads with clip_start and clip_end those that an adapter was found in."""
+    return clipped.where((F.col("clip_start") > 0) | (F.col("clip_end") > 0))
+
+
 def clip_adapters(df: DataFrame, adapters: list[Adapter], percent: float = 10.0) -> DataFrame:
     """Reads without adapters, and clip_start, clip_end."""
     if not adapters:
@@ -367,3 +411,11 @@ def compare_signatures(a: DataFrame, b: DataFrame) -> DataFrame:
     x = canon(a).withColumnRenamed("level", "x").join(canon(b).withColumnRenamed("level", "y"), "kmer", "full")
     x = x.na.fill(0.0, ["x", "y"])
     return x.agg(F.try_divide(F.sum(F.least("x", "y")), F.sum(F.greatest("x", "y"))).alias("similarity"))
+
+
+def quantile_distance(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the mean relative difference of two signatures' quantiles (arrays ``q`` of equal length), each scaled by its own greatest."""
+    x = a.select(F.col("q").alias("x")).crossJoin(b.select(F.col("q").alias("y")))  # one row each
+    scaled = lambda c: F.transform(c, lambda v: v / F.array_max(c))
+    d = F.zip_with(scaled(F.col("x")), scaled(F.col("y")), lambda p, q: F.abs(p - q))
+    return x.select(F.try_divide(F.aggregate(d, F.lit(0.0), lambda s, v: s + v), F.size(d).cast("double")).alias("distance"))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from seqlake.functions import seq as S
 from seqlake.operators import chunks
 
 INNER, LEFT, RIGHT, OUTER, ONLY_LEFT, ONLY_RIGHT, EXCEPT = "in", "le", "ri", "ou", "xl", "xr", "ex"
@@ -66,12 +67,19 @@ def points_in(points: DataFrame, intervals: DataFrame, width: int | None = None)
 
 
 def on_target(points: DataFrame, intervals: DataFrame, width: int | None = None) -> DataFrame:
-    """``points`` with a flag whether any interval holds them."""
+    """``points`` with a flag whether any interval holds them: each place is looked up once."""
     w = width or bin_width(intervals)
     i = intervals.select("chr", "beg", "en", F.explode(F.expr(f"sequence(beg div {w}, en div {w})")).alias("_bin"))
-    p = points.withColumn("_bin", F.expr(f"pos div {w}"))
-    cond = [p["chr"] == i["chr"], p["_bin"] == i["_bin"], p["pos"] >= i["beg"], p["pos"] <= i["en"]]
-    return p.join(i, cond, "left_semi").withColumn("on_target", F.lit(True)).unionByName(p.join(i, cond, "left_anti").withColumn("on_target", F.lit(False))).drop("_bin")
+    p = points.select("chr", "pos").distinct().withColumn("_bin", F.expr(f"pos div {w}"))
+    hit = p.join(i, [p["chr"] == i["chr"], p["_bin"] == i["_bin"], p["pos"] >= i["beg"], p["pos"] <= i["en"]], "left_semi")
+    return points.join(hit.select("chr", "pos", F.lit(True).alias("on_target")), ["chr", "pos"], "left").withColumn("on_target", F.coalesce("on_target", F.lit(False)))
+
+
+def at_amplicon_ends(reads: DataFrame, amplicons: DataFrame) -> DataFrame:
+    """Reads (chr, beg, en) with ``amplicon``: whether they begin and end within one base of an amplicon (chr, beg, en)."""
+    near = F.array(*[F.struct((F.col("beg") + i).alias("beg"), (F.col("en") + j).alias("en")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = amplicons.select("chr", F.inline(near)).distinct()
+    return reads.join(a.withColumn("_hit", F.lit(True)), ["chr", "beg", "en"], "left").withColumn("amplicon", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def overlaps(a: DataFrame, b: DataFrame, width: int | None = None) -> DataFrame:
@@ -101,6 +109,63 @@ def fragment_rows(intervals: DataFrame, key: str) -> DataFrame:
     return hit.groupBy("chr", "beg", "en").agg(F.array_sort(F.collect_list(key)).alias("rows"))
 
 
+class IntervalIndex:
+    """Tiles of intervals with the rows that cover them, built once, saved as Parquet and looked up by points or ranges.
+
+    ``save`` keeps what it was built from beside it, and ``load`` refuses an index of other options.
+    """
+
+    def __init__(self, tiles: DataFrame, options: str = ""):
+        self.tiles, self.options = tiles, options
+
+    @classmethod
+    def build(cls, intervals: DataFrame, key: str, options: str = "") -> IntervalIndex:
+        return cls(fragment_rows(intervals, key), options)
+
+    def save(self, path: str) -> None:
+        self.tiles.withColumn("options", F.lit(self.options)).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str, options: str = "") -> IntervalIndex:
+        d = spark.read.parquet(path)
+        if d.where(F.col("options") != options).limit(1).count():
+            raise ValueError("the index was built with other options")
+        return cls(d.drop("options"), options)
+
+    def lookup(self, points: DataFrame) -> DataFrame:
+        """Points (chr, pos) with ``rows``, the keys of the intervals that hold them."""
+        return points_in(points, self.tiles).drop("beg", "en")
+
+    def lookup_ranges(self, ranges: DataFrame, key: str) -> DataFrame:
+        """Ranges (chr, b_beg, b_en, a key) with ``rows``, the keys of the intervals that they meet, each once."""
+        hit = overlaps(self.tiles, ranges).groupBy("chr", "b_beg", "b_en", key).agg(F.flatten(F.collect_list("rows")).alias("rows"))
+        return hit.withColumn("rows", F.array_sort(F.array_distinct("rows")))
+
+
+def in_region(alignments: DataFrame, rname: str, beg: int, en: int) -> DataFrame:
+    """Alignments (rname, pos, cigar) that reach into a region: the names and starts prune files and row groups, the spans decide.
+
+    A table written by ``write_by_region`` reads only the bins that can hold such a start.
+    """
+    from seqlake.functions import cigar as C
+
+    d = alignments.where((F.col("rname") == rname) & (F.col("pos") <= en))
+    if "bin" in alignments.columns:
+        longest = alignments.where(F.col("rname") == rname).agg(F.max(C.reference_span(F.col("cigar")))).first()[0] or 1
+        d = d.where(F.col("bin").between((beg - longest) // REGION, en // REGION))
+    return d.where(F.col("pos") + C.reference_span(F.col("cigar")) - 1 >= beg)
+
+
+#: Positions of a partition of alignments.
+REGION = 1 << 20
+
+
+def write_by_region(alignments: DataFrame, path: str) -> None:
+    """Alignments as Parquet by name and bin of REGION positions, sorted by position: ``in_region`` reads a few files of it."""
+    d = alignments.withColumn("bin", F.floor(F.col("pos") / REGION))
+    d.repartition("rname", "bin").sortWithinPartitions("rname", "bin", "pos").write.partitionBy("rname", "bin").parquet(path)
+
+
 def sample_matrix(calls: DataFrame, samples: list[str], value: str = "value") -> DataFrame:
     """(chr, pos) x samples."""
     return calls.groupBy("chr", "pos").pivot("sample", samples).agg(F.first(value))
@@ -108,7 +173,7 @@ def sample_matrix(calls: DataFrame, samples: list[str], value: str = "value") ->
 
 def ranked(df: DataFrame, order: DataFrame, key: str = "chr") -> DataFrame:
     """Rows in a reference's order (key, rank), then pos."""
-    return df.join(F.broadcast(order), key, "left").orderBy(F.coalesce("rank", F.lit(1 << 30)), "pos").drop("rank")
+    return df.join(order, key, "left").orderBy(F.coalesce("rank", F.lit(1 << 30)), "pos").drop("rank")
 
 
 def gene_rollup(rows: DataFrame) -> DataFrame:
@@ -132,6 +197,19 @@ def contig_stats(contigs: DataFrame, least: int = 0) -> DataFrame:
     return base.crossJoin(nx)
 
 
+def repeated_kmers(contigs: DataFrame, k: int = 21) -> DataFrame:
+    """One row over contigs (seq): k-mers, distinct ones, and those that are seen more than once."""
+    n = contigs.select(F.explode(S.kmers(F.upper("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kmers"), F.count("*").alias("distinct"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated"))
+
+
+def scaled_rollup(rows: DataFrame, to: float = 1e6) -> DataFrame:
+    """``gene_rollup`` with counts of each library (column ``library``) scaled to ``to`` in all."""
+    total = rows.groupBy("library").agg(F.sum("count").alias("_t"))
+    d = rows.join(total, "library").withColumn("scaled", F.col("count") * to / F.col("_t"))
+    return d.groupBy("library", "gene").agg(F.sum("scaled").alias("scaled"), F.sum("count").alias("count"))
+
+
 def to_bed(gtf: DataFrame) -> DataFrame:
     """GTF rows (chr, feature, beg, en, strand, transcript_id) as BED12 lines' fields."""
     exon, cds = F.col("feature") == "exon", F.col("feature") == "CDS"

@@ -42,3 +42,26 @@ def write_table(df: DataFrame, path: str, header: bool = True) -> None:
     """Tab-separated text; Spark's commit makes it visible at once."""
     flat = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
     df.select(*flat).write.csv(path, sep="\t", header=header, quote="")
+
+
+def write_named(df: DataFrame, template: str, column: str, names: list[str]) -> dict[str, str]:
+    """Records of each named value of a column under ``template`` with % replaced by the value; ``n/a`` writes none. Returns the paths by value."""
+    if template == "n/a":
+        return {}
+    out = {v: template.replace("%", v) for v in names}
+    for v, path in out.items():
+        fastq_text(df.where(F.col(column) == v)).write.text(path)
+    return out
+
+
+def write_outcomes(df: DataFrame, column: str, outputs: dict[str, str]) -> None:
+    """Records by outcome (joined, unjoined mates, ...) to an explicit list of paths; outcomes without one are not written."""
+    for value, path in outputs.items():
+        fastq_text(df.where(F.col(column) == value)).write.text(path)
+
+
+def write_good_bad(df: DataFrame, good: str, bad: str, keep: str = "keep") -> None:
+    """Alignments as two Parquet tables by a flag; a null flag is bad."""
+    d = df.drop(keep)
+    d.where(df[keep]).write.parquet(good)
+    d.where(~F.coalesce(df[keep], F.lit(False))).write.parquet(bad)

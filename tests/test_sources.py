@@ -163,3 +163,111 @@ def test_keyed_joins(spark):
     assert n == {"in": 2, "le": 3, "ri": 3, "ou": 4, "xl": 1, "xr": 1, "ex": 2}
     assert [tuple(r) for r in T.join(a, b, "in", zip_duplicates=True).collect()] == [("2", "y", "p")]
     assert T.join_many([a, b, T.keyed(spark.createDataFrame([("2", "r")], "id string, u string"), "id")]).count() == 2
+
+
+def test_large_files_stream(spark, tmp_path):
+    """A file of many Arrow batches, in order, without its content as one value; and in the plan no content is read."""
+    n = 45_000
+    with gzip.open(tmp_path / "big.fq.gz", "wb", 1) as f:
+        for i in range(n):
+            f.write(b"@r%d\nACGT\n+\nIIII\n" % i)
+    d = files.read_reads(spark, str(tmp_path / "big.fq.gz"))
+    r = d.agg(F.count("*"), F.max("rec_no"), F.count_if(F.col("id") == F.concat(F.lit("@r"), "rec_no")), F.count("corrupt")).first()
+    assert tuple(r) == (n, n - 1, n, 0)
+    assert "ReadSchema: struct<path:string>" in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_several_files_are_zipped_by_name(spark, tmp_path):
+    from seqlake.operators import pairs as P, reads as R
+
+    for side in (1, 2):
+        (tmp_path / f"s{side}").mkdir()
+        for lane in "ab":
+            (tmp_path / f"s{side}/{lane}.fq").write_text("".join(f"@{lane}{i} {side}\nACGT{'ACGT'[i]}\n+\nIIIII\n" for i in range(3)))
+    one, two = (files.read_reads(spark, str(tmp_path / f"s{side}")) for side in (1, 2))
+    z = P.zip_mates(one, two)
+    assert z.count() == 6 and P.verify_ids(z, " ", 1).count() == 6
+    kept = R.first_seen(one, 5)  # b's records are copies of a's
+    assert sorted(r["id"] for r in kept.collect()) == ["@a0 1", "@a1 1", "@a2 1"]
+
+
+def test_reference(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    seq = {c: "".join(rng.choice("ACGT") for _ in range(n)) for c, n in (("c1", 1000), ("c2", 37))}
+    (tmp_path / "r.fa").write_text("".join(f">{c} x\n" + "\n".join(s[i : i + 60] for i in range(0, len(s), 60)) + "\n" for c, s in seq.items()))
+    ref = files.read_reference(spark, str(tmp_path / "r.fa"), 100)
+    assert ref.count() == 11 and [tuple(r) for r in files.contig_lengths(ref).orderBy("rank").collect()] == [("c1", 1000, 1), ("c2", 37, 2)]
+    ask = [("c1", 1, 5), ("c1", 95, 310), ("c1", 990, 2000), ("c2", -3, 4), ("c2", 30, 37), ("c3", 1, 2), ("c1", 100, 100), ("c1", 101, 200), ("c1", 101, 200)]
+    got = files.fetch(ref, spark.createDataFrame(ask, "contig string, beg long, en long"), 100).collect()
+    assert sorted(map(tuple, got)) == sorted((c, b, e, seq.get(c, "")[max(b, 1) - 1 : e]) for c, b, e in ask)
+
+
+def test_lines_and_intervals(spark, tmp_path):
+    (tmp_path / "i.tsv").write_text("head\nchr\tbeg\ten\nx\t1\t5\n# no\ny\t3\t9\n")
+    (tmp_path / "j.tsv").write_text("head\nother\nz\t2\t4\n")
+    got = files.read_intervals(spark, str(tmp_path / "*.tsv"), skip=2).orderBy("chr").collect()
+    assert [tuple(r)[:4] for r in got] == [("x", 1, 5, 2), ("y", 3, 9, 4), ("z", 2, 4, 2)]
+    assert [r["value"] for r in files.head(spark, str(tmp_path / "i.tsv"), 2).collect()] == ["head", "chr\tbeg\ten"]
+    assert [r["value"] for r in files.head(spark, str(tmp_path / "i.tsv"), size="16").collect()] == ["head", "chr\tbeg\ten"]
+    assert [files.size_of(x) for x in ("12", "4k", "1.5m")] == [12, 4096, 1572864]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        (tmp_path / "long.txt").write_text("".join(f"line {i}\n" for i in range(3000)))
+        d = files.numbered_lines(spark, str(tmp_path / "long.txt"))
+        assert d.count() == 3000 and d.where("value <> concat('line ', row)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {r["path"].rsplit("/", 1)[1]: r["lines"] for r in files.line_estimate(spark, str(tmp_path / "long.txt"), 4, 1000).collect()}
+    assert abs(got["long.txt"] - 3000) < 60
+    with gzip.open(tmp_path / "z.gz", "wb") as f:
+        f.write(b"".join(b"line %d\n" % i for i in range(50_000)))
+    assert abs(files.line_estimate(spark, str(tmp_path / "z.gz"), 4, 20_000).first()["lines"] - 50_000) < 5_000
+
+
+def test_small_parsers(spark, tmp_path):
+    (tmp_path / "s.stats").write_text("reads\t7\nnoise A:C\t0.25\nnoise A:G\t0.5\nplain\n")
+    values, rates = files.read_stats(spark, str(tmp_path / "s.stats"))
+    assert values["reads"] == "7" and sorted(map(tuple, rates.collect())) == [("noise", "A", "C", 0.25), ("noise", "A", "G", 0.5)]
+    d = spark.createDataFrame([("<a><t x='1'>one</t>\n<t>two\n</t><tt>no</tt></a>",)], "value string")
+    assert files.tagged(d, "t").first()["found"] == ["one", "two\n"]
+    (tmp_path / "d.csv").write_text("#c\nK;V\na;1\na;2\nb;3\n")
+    p = str(tmp_path / "d.csv")
+    assert sorted(map(tuple, files.read_delimited(spark, p, sep=";", key="k", skip="#").collect())) == [("a", "2"), ("b", "3")]
+    assert {r["k"]: len(r["rows"]) for r in files.read_delimited(spark, p, sep=";", key="k", multi=True, skip="#").collect()} == {"a": 2, "b": 1}
+    sam = spark.createDataFrame([("q", "AC", "II")], "qname string, seq string, qual string")
+    assert tuple(files.sam_as_reads(sam).first()) == ("@q", "AC", "+", "II")
+
+
+def test_named_outputs(spark, tmp_path):
+    d = spark.createDataFrame([("@a", "A", "I", "x", True), ("@b", "C", "I", "y", False), ("@c", "G", "I", None, None)], "id string, seq string, qual string, bc string, keep boolean")
+    assert sinks.write_named(d, "n/a", "bc", ["x"]) == {}
+    made = sinks.write_named(d, str(tmp_path / "o.%.fq"), "bc", ["x", "y"])
+    assert {v: files.read_reads(spark, p).first()["id"] for v, p in made.items()} == {"x": "@a", "y": "@b"}
+    sinks.write_outcomes(d, "bc", {"x": str(tmp_path / "only")})
+    assert files.read_reads(spark, str(tmp_path / "only")).count() == 1
+    sinks.write_good_bad(d, str(tmp_path / "g"), str(tmp_path / "b"))
+    assert [spark.read.parquet(str(tmp_path / x)).count() for x in "gb"] == [1, 2]
+
+
+def test_regions_prune_files(spark, tmp_path):
+    rows = [(f"q{i}", f"c{i % 2}", 1 + i * 40_000, "100M") for i in range(60)] + [("long", "c0", 5, "10M3000000N10M")]
+    d = spark.createDataFrame(rows, "qname string, rname string, pos int, cigar string")
+    T.write_by_region(d, str(tmp_path / "r"))
+    back = spark.read.parquet(str(tmp_path / "r"))
+    for beg, en in ((1_200_000, 1_300_000), (1, 10), (2_999_000, 2_999_999)):
+        want = {q for q, c, p, g in rows if c == "c0" and p <= en and p + (99 if g == "100M" else 3_000_019) >= beg}
+        assert {r["qname"] for r in T.in_region(back, "c0", beg, en).collect()} == want == {r["qname"] for r in T.in_region(d, "c0", beg, en).collect()}
+
+
+def test_interval_index(spark, tmp_path):
+    i = spark.createDataFrame([("x", 1, 5, "p"), ("x", 4, 9, "q"), ("y", 2, 2, "r")], "chr string, beg long, en long, name string")
+    T.IntervalIndex.build(i, "name", "v1").save(str(tmp_path / "i"))
+    with pytest.raises(ValueError):
+        T.IntervalIndex.load(spark, str(tmp_path / "i"), "v2")
+    x = T.IntervalIndex.load(spark, str(tmp_path / "i"), "v1")
+    p = spark.createDataFrame([("x", 4), ("x", 9), ("x", 10), ("y", 2)], "chr string, pos long")
+    assert {(r["chr"], r["pos"]): r["rows"] for r in x.lookup(p).collect()} == {("x", 4): ["p", "q"], ("x", 9): ["q"], ("y", 2): ["r"]}
+    r = spark.createDataFrame([("x", 5, 20, 1), ("y", 3, 4, 2)], "chr string, b_beg long, b_en long, id int")
+    assert [(r["id"], r["rows"]) for r in x.lookup_ranges(r, "id").collect()] == [(1, ["p", "q"])]
