@@ -288,11 +288,12 @@ def interval_fragments(spark, d):
     return T.fragments(view(spark, d, INTERVALS))
 
 
-_C, _O = "select c_custkey::varchar as k, c_name from customer", "select o_custkey::varchar as k, o_orderkey from orders"
+# Twice the customers' keys, so that both sides have rows that meet nothing.
+_C, _O = "select (c_custkey*2)::varchar as k, c_name from customer", "select o_custkey::varchar as k, o_orderkey from orders"
 
 
 def _sides(spark, d):
-    c = T.keyed(_t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
+    c = T.keyed(_t(spark, d, "customer").select((F.col("c_custkey") * 2).alias("c_custkey"), "c_name"), "c_custkey")
     return c, T.keyed(_t(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey")
 
 
@@ -338,10 +339,16 @@ def pivot_samples(spark, d):
     return T.sample_matrix(x, ["A", "N", "R"])
 
 
-@query(f"with a as ({ALLELES}), l as (select chr, pos, sum(n) as depth from a group by all) select count(*)::bigint as loci, quantile_cont(depth,0.25)::double as q1, quantile_cont(depth,0.5)::double as median, quantile_cont(depth,0.75)::double as q3, round(stddev_samp(depth),6) as sd from l")
+@query(f"""with a as (select *, sum(n) over (partition by chr, pos) as depth from ({ALLELES})), r as (select *, row_number() over (partition by chr, pos order by n desc, qual desc, base desc) as k, sum(qual) over (partition by chr, pos) as tq from a),
+l as (select chr, pos, any_value(depth)::double as depth, coalesce(max(n) filter (where k=2),0)/any_value(depth)::double as noise, coalesce(max(qual) filter (where k=2),0)/any_value(tq)::double as qnoise from r group by all),
+x as (select * from l order by depth desc, chr, pos limit 500)
+select count(*)::bigint as loci, quantile_cont(depth,0.25)::double as depth_q1, quantile_cont(depth,0.5)::double as depth_median, quantile_cont(depth,0.75)::double as depth_q3, round(avg(noise),6) as noise_mean, round(stddev_samp(noise),6) as noise_sd, round(avg(qnoise),6) as qnoise_mean, round(stddev_samp(qnoise),6) as qnoise_sd from x""")
 def noise_quartiles(spark, d):
-    x = view(spark, d, ALLELES).groupBy("chr", "pos").agg(F.sum("n").alias("depth"))
-    return x.agg(F.count("*").alias("loci"), F.percentile("depth", 0.25).alias("q1"), F.percentile("depth", 0.5).alias("median"), F.percentile("depth", 0.75).alias("q3"), R6(F.stddev_samp("depth")).alias("sd"))
+    """Noise of the deepest loci: the next allele's share of reads and of quality."""
+    a = view(spark, d, ALLELES).withColumn("rev", F.col("n") - F.col("fwd"))
+    a = a.join(a.groupBy("chr", "pos").agg(F.sum("n").alias("depth")), ["chr", "pos"])
+    s = variants.noise_stats(variants.noise(a, 500))
+    return s.withColumns({c: R6(F.col(c)) for c in s.columns if "noise" in c})
 
 
 @query(f"with a as ({ALLELES}) select chr, pos, base, n::bigint as n, round(exp(-3.0+n*ln(3.0)-lgamma(n+1)),9) as p from a")
@@ -416,11 +423,12 @@ def reads_head(spark, d):
     return _reads(spark, d).where("rec_no >= 5").orderBy("rec_no").limit(50).select("rec_no", "seq")
 
 
-@query(f"{W}, x as (select rec_no, round(avg(list_sum({Q33})/64.0) over (order by rec_no rows between unbounded preceding and 1 preceding),6)::double as before from reads) select rec_no, before from x")
+@query(f"""{W}, m as (select rec_no, rec_no%3 as file, list_sum({Q33})/64.0 as m, length(seq)-length(replace(seq,'N','')) as ns from reads),
+x as (select rec_no, m, ns, coalesce(64*count(*) over w,0) as b, avg(m) over w as mean, coalesce(stddev_samp(m) over w,0) as sd from m window w as (partition by file order by rec_no rows between unbounded preceding and 1 preceding))
+select rec_no, case when b<6400 then m<25 or ns>1 else m<least(25,mean-3*sd) end as junk from x""")
 def reads_running_quality(spark, d):
-    m = _reads(spark, d).select("rec_no", F.lit(0).alias("part"), F.lit(1).alias("n"), Q.mean(F.col("qual")).alias("m"))
-    r = chunks.running_sum(m, "part", "rec_no", "n", "m", width=1 << 16)
-    return r.select("rec_no", R6(F.try_divide(F.col("m_sum") - F.col("m"), F.col("n_sum") - 1)).alias("before"))
+    r = _reads(spark, d).withColumn("file", F.col("rec_no") % 3)
+    return R.running_quality(r, 6400, 25.0, width=1 << 10).select("rec_no", "junk")
 
 
 @query(f"""{W}, s as (select *, length(regexp_extract(seq,'^N*')) as a, length(regexp_extract(seq,'N*$')) as b from reads), i as (select *, substr(qual,a+1,64-a-b) as q from s),
