@@ -111,19 +111,42 @@ def flagstat(a: DataFrame) -> DataFrame:
     return a.agg(*[F.count_if(c).alias(n) for n, c in names.items()])
 
 
-def pileup(a: DataFrame) -> DataFrame:
+def pileup(a: DataFrame, marks: bool = False, reference: DataFrame | None = None) -> DataFrame:
     """(rname, pos, depth, bases, quals) from alignments: matched bases, lower case on the reverse strand, in order of the reads' starts.
 
+    With ``marks`` the bases are those of a pileup file: ``^`` and a mapping quality at a read's
+    first base, ``$`` after its last, ``*`` where bases are deleted, ``+`` and ``-`` with
+    length and sequence (N where it is not known) after the base before. With ``reference`` (rname, pos, ref)
+    bases that agree are ``.`` and ``,``, and the rows have ref.
     CIGARs are walked once a read; (rname, pos) is the shuffle key, so a contig is not one task.
     """
+    ops = C.operations(F.col("cigar"))
+    consumes = lambda x, kinds: F.when(F.lit(kinds).contains(x["op"]), x["len"]).otherwise(0)
     step = lambda s, x: F.struct(
-        (s["r"] + F.when(F.lit("MDN=X").contains(x["op"]), x["len"]).otherwise(0)).alias("r"), (s["q"] + F.when(F.lit("MIS=X").contains(x["op"]), x["len"]).otherwise(0)).alias("q"),
-        F.when(F.lit("M=X").contains(x["op"]), F.concat(s["out"], F.array(F.struct(s["r"].alias("r"), s["q"].alias("q"), x["len"].alias("len"))))).otherwise(s["out"]).alias("out"),
+        (s["r"] + consumes(x, "MDN=X")).alias("r"), (s["q"] + consumes(x, "MIS=X")).alias("q"),
+        F.concat(s["out"], F.array(F.struct(s["r"].alias("r"), s["q"].alias("q"), x["len"].alias("len"), x["op"].alias("op")))).alias("out"),
     )
-    zero = F.struct(F.lit(0).alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<r:int,q:int,len:int>>").alias("out"))
-    d = a.where(~FLAG(4) & (F.col("pos") > 0)).withColumn("run", F.explode(F.aggregate(C.operations(F.col("cigar")), zero, step, lambda s: s["out"])))
-    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("run.len") - 1)))
-    base = F.substr(F.col("seq"), F.col("run.q") + F.col("k") + 1, F.lit(1))
-    d = d.select("rname", (F.col("pos") + F.col("run.r") + F.col("k")).alias("at"), "pos", "qname", F.when(FLAG(16), F.lower(base)).otherwise(F.upper(base)).alias("b"), F.substr(F.col("qual"), F.col("run.q") + F.col("k") + 1, F.lit(1)).alias("q"))
-    g = d.groupBy("rname", F.col("at").alias("pos2")).agg(F.sort_array(F.collect_list(F.struct("pos", "qname", "b", "q"))).alias("x"))
-    return g.select("rname", F.col("pos2").alias("pos"), F.size("x").alias("depth"), F.array_join(F.transform("x", lambda y: y["b"]), "").alias("bases"), F.array_join(F.transform("x", lambda y: y["q"]), "").alias("quals"))
+    zero = F.struct(F.lit(0).alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<r:int,q:int,len:int,op:string>>").alias("out"))
+    d = a.where(~FLAG(4) & (F.col("pos") > 0)).withColumn("ops", F.aggregate(ops, zero, step, lambda s: s["out"])).withColumn("span", C.reference_span(F.col("cigar")))
+    d = d.select("*", F.posexplode("ops").alias("i", "run")).where(F.col("run.op").isin(["M", "=", "X", "D"] if marks else ["M", "=", "X"]) & (F.col("run.len") > 0))
+    d = d.withColumn("then", F.get("ops", F.col("i") + 1)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("run.len") - 1)))
+    deleted = F.col("run.op") == "D"
+    at = F.when(deleted, F.col("run.q") + 1).otherwise(F.col("run.q") + F.col("k") + 1)
+    base = F.substr(F.col("seq"), at, F.lit(1))
+    d = d.select("*", (F.col("pos") + F.col("run.r") + F.col("k")).alias("at"), base.alias("base"), F.substr(F.col("qual"), at, F.lit(1)).alias("q"), F.struct("pos", "qname", "flag", F.xxhash64("seq", "qual", "cigar")).alias("order"), deleted.alias("deleted"))
+    strand = lambda c: F.when(FLAG(16), F.lower(c)).otherwise(F.upper(c))
+    shown = strand(F.col("base"))
+    if reference is not None:
+        d = d.join(reference.select("rname", F.col("pos").alias("at"), "ref"), ["rname", "at"], "left")
+        shown = F.when(F.upper("base") == F.upper("ref"), F.when(FLAG(16), ",").otherwise(".")).otherwise(shown)
+    if marks:
+        place = F.col("run.r") + F.col("k")
+        last = F.col("k") == F.col("run.len") - 1
+        grown = F.concat(F.lit("+"), F.col("then.len").cast("string"), strand(F.substr(F.col("seq"), F.col("then.q") + 1, F.col("then.len"))))
+        lost = F.concat(F.lit("-"), F.col("then.len").cast("string"), strand(F.repeat(F.lit("N"), F.col("then.len"))))
+        after = F.when(last & (F.col("then.op") == "I"), grown).when(last & (F.col("then.op") == "D"), lost).otherwise("")
+        first = F.when(place == 0, F.concat(F.lit("^"), F.char(F.least("mapq", F.lit(93)) + 33))).otherwise("")
+        shown = F.concat(first, F.when(F.col("deleted"), "*").otherwise(shown), after, F.when(place == F.col("span") - 1, "$").otherwise(""))
+    key = ["rname", "at"] + (["ref"] if reference is not None else [])
+    g = d.select(*key, "order", shown.alias("b"), "q").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("order", "b", "q"))).alias("x"))
+    return g.select("rname", F.col("at").alias("pos"), *key[2:], F.size("x").alias("depth"), F.array_join(F.transform("x", lambda y: y["b"]), "").alias("bases"), F.array_join(F.transform("x", lambda y: y["q"]), "").alias("quals"))

@@ -492,3 +492,6 @@ c as (select transcript_id, min(beg) as tb, max(en) as te from g where feature='
 select transcript_id as name, b-1 as start, e as "end", coalesce(tb-1,b-1) as thick_start, coalesce(te,b-1) as thick_end, blocks::bigint as blocks, sizes, array_to_string(list_transform(begs, lambda y: (y-b)::varchar),',') as starts from x left join c using (transcript_id)""")
 def gene_bed(spark, d):
     return _long(T.to_bed(view(spark, d, _GTF)).select("name", "start", "end", "thick_start", "thick_end", "blocks", "sizes", "starts"))
+
+
+from seqlake.plans import calling  # noqa: E402, F401  more queries for QUERIES and ORACLES

@@ -18,6 +18,9 @@ POINTS = "select o_custkey%10 as chr, (o_orderkey*7)%2000 as pos, o_orderkey as
 ALIGNMENTS = f"""select 'r'||cast(rec_no%1000 as string) as qname, cast(case when rec_no%17=0 then 4 else (rec_no%2)*16 end + case when rec_no%13=0 then 256 else 0 end as int) as flag,
   'c'||cast(rec_no%10 as string) as rname, cast((rec_no*37)%5000+1 as int) as pos, cast((rec_no*7)%61 as int) as mapq,
   case when rec_no%5=0 then '30M2I32M' when rec_no%7=0 then '20M3D44M' else '64M' end as cigar, cast(rec_no%4 as int) as nm, seq, qual from ({READS})"""
+#: The same on 600 positions of each contig, for loci that many reads cover.
+DEEP = f"""select 'r'||cast(rec_no as string) as qname, cast(cast(floor(rec_no/10) as bigint)%2*16 as int) as flag, 'c'||cast(rec_no%10 as string) as rname, cast((rec_no*37)%500+1 as int) as pos, cast((rec_no*7)%61 as int) as mapq,
+  case when rec_no%3=0 then '30M2I32M' when rec_no%7=0 then '20M3D44M' else '64M' end as cigar, seq, qual from ({READS})"""
 ALLELES = """select l_suppkey as chr, l_partkey as pos, l_returnflag as base, count(*) as n, sum(cast(l_quantity as bigint)) as qual,
   sum(case when l_linestatus='F' then 1 else 0 end) as fwd from lineitem group by l_suppkey, l_partkey, l_returnflag"""
 

@@ -94,8 +94,8 @@ def test_alignments(spark, tmp_path):
 
 def test_pileup_calls(spark, tmp_path):
     (tmp_path / "p.txt").write_text("c1\t5\tA\t8\t^].^],^].^],^]T^]T^]t^]*\tIIIIIIII\nc1\t6\tC\t8\t..$.,+2AG,$$..-1t*\tIIIIIIII\nc1\t7\tC\t5\t.^+.,N<.\tIIIII+\n")
-    for chunk, halo in ((20_000, 2_000), (2, 5)):  # rows 5, 6 and 7 in chunks of their own give the same
-        c = V.calls(files.read_pileup(spark, str(tmp_path / "p.txt")), chunk=chunk, halo=halo)
+    for chunk in (20_000, 2, 1):  # rows 5, 6 and 7 in chunks of their own give the same
+        c = V.calls(files.read_pileup(spark, str(tmp_path / "p.txt")), chunk=chunk)
         got = {(r["pos"], r["base"]): (r["fwd"], r["rev"], r["starts"], r["mq_sum"], r["seqs"]) for r in c.collect()}
         assert got == {
             (5, "A"): (2, 2, 4, 240, []), (5, "T"): (2, 1, 3, 180, []), (5, "*"): (1, 0, 1, 60, []),
@@ -122,13 +122,56 @@ def test_limits_of_calls(spark):
     assert (r["fwd"], r["rev"], r["qual"]) == (19, 1, 1200 - 76 * 12)
 
 
-def test_spread_of_offsets():
-    from collections import Counter
+def plain_dispersion(own: dict, every: dict, length: float) -> tuple[float, float]:
+    d, depth, reach = sum(own.values()), sum(every.values()), max(every) + 1
+    e, share = d / length, d / depth
+    if len(own) == 1:
+        diversity = 0.0
+    else:
+        far = sum(int(abs(own.get(o, 0) - e)) ** 2 for o in range(reach)) - 2 * d
+        diversity = max(0.0, 1 - max(0.0, far) / max(1.0, (d - e) ** 2 - 2 * d))
+    mean = (d + 2 * share * reach) / (depth + 2 * reach)
+    cubes = [n * abs((own.get(o, 0) + 2 * share) / (n + 2) - mean) ** 3 for o, n in every.items()]
+    return diversity, max(0.0, 1 - (sum(max(0.0, c - share) for c in cubes) / (depth + 2 * reach)) ** (1 / 3) / share)
 
-    even, bunched = Counter(range(20)), Counter({5: 20})
-    assert V.spread(even, even, 20)[0] == 1.0 and V.spread(even, even, 20)[1] == 1.0
-    assert V.spread(bunched, even + bunched, 20)[0] == 0.0 and V.spread(Counter({5: 19, 6: 1}), even + bunched, 20)[0] < 0.2
-    assert V.spread(bunched, even + bunched, 20)[1] < 0.7
+
+def test_dispersion_of_offsets(spark):
+    import random
+
+    rng = random.Random(4)
+    loci = [{"T": {i: 1 for i in range(20)}}, {"T": {5: 20}, "A": {i: 1 for i in range(20)}}, {"T": {5: 19, 6: 1}, "A": {i: 2 for i in range(20)}}]
+    loci += [{b: {o: rng.randrange(1, 9) for o in rng.sample(range(30), rng.randrange(1, 12))} for b in ("A", "T", None)} for _ in range(40)]
+    rows = [("c", i, b, sum(o.values()), 0, list(o.items()), None if i % 5 == 4 else 20.0) for i, x in enumerate(loci) for b, o in x.items()]
+    d = spark.createDataFrame(rows, "chr string, pos int, base string, fwd int, rev int, offsets array<struct<o: int, n: int>>, length double")
+    out = {(r["pos"], r["base"]): (r["diversity"], r["agreement"]) for r in V.dispersed(d).collect()}
+    assert out[0, "T"] == (1.0, 1.0) and out[1, "T"][0] == 0.0 and out[1, "T"][1] < 0.7 and out[2, "T"][0] < 0.2
+    for i, x in enumerate(loci):
+        every: dict = {}
+        for o in x.values():
+            for k, n in o.items():
+                every[k] = every.get(k, 0) + n
+        for b, o in x.items():
+            if b is not None:
+                assert out[i, b] == pytest.approx(plain_dispersion(o, every, max(every) + 1 if i % 5 == 4 else 20.0))
+
+
+def test_long_reads_keep_their_start(spark):
+    """Reads over many chunks have the same quality and offsets for any chunk width."""
+    import random
+
+    rng = random.Random(8)
+    reads = sorted((rng.randrange(1, 300), rng.randrange(1, 250), rng.randrange(60), i) for i in range(60))
+    rows = []
+    for pos in range(1, 560):
+        text = "".join(("^" + chr(33 + q) if pos == s else "") + "ACGT"[i % 4] + ("$" if pos == s + n - 1 else "") for s, n, q, i in reads if s <= pos < s + n)
+        depth = sum(s <= pos < s + n for s, n, _, _ in reads)
+        if depth:
+            rows.append(("c", pos, "A", depth, text, "I" * depth))
+    d = spark.createDataFrame(rows, "chr string, pos int, ref string, depth int, bases string, quals string")
+    whole = {(r["pos"], r["base"]): r.asDict() for r in V.calls(d).collect()}
+    assert {(r["pos"], r["base"]): r.asDict() for r in V.calls(d, chunk=40).collect()} == whole
+    for (pos, base), r in whole.items():
+        assert r["mq_sum"] == sum(q for s, n, q, i in reads if s <= pos < s + n and "ACGT"[i % 4] == base)
 
 
 def test_intervals_and_gene_models(spark, tmp_path):
