@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seqlake.functions import cigar as C, qual as Q, seq as S
@@ -87,14 +88,29 @@ def mates(a: DataFrame) -> DataFrame:
 
 
 def nearest_mates(a: DataFrame, insert: float) -> DataFrame:
-    """Of the first and second reads' mappings on one reference, those that make a pair nearest to the usual insert: one for each first mapping."""
-    x = a.where(FLAG(64)).select("qname", "rname", F.col("pos").alias("p1"))
-    y = a.where(FLAG(128)).select("qname", "rname", F.col("pos").alias("p2"))
-    off = F.abs(F.abs(F.col("p2") - F.col("p1")) - insert)
-    w = Window.partitionBy("qname", "rname", "p1").orderBy("off", "p2")
-    u = Window.partitionBy("qname", "rname", "p2").orderBy("off", "p1")
-    d = x.join(y, ["qname", "rname"]).withColumn("off", off)
-    return d.withColumn("a", F.row_number().over(w)).where("a = 1").withColumn("b", F.row_number().over(u)).where("b = 1").drop("a", "b")
+    """(qname, rname, p1, p2, off): first and second reads' mappings on one reference paired nearest to the usual insert, each used once.
+
+    The nearest pair of a name is taken, then the nearest of what it leaves, and so on: in each
+    round a pair is taken that is the nearest for both of its mappings. A name has few mappings, so
+    its pairs are made in its own row.
+    """
+
+    def pick(ones: pd.Series, twos: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(ones, twos):
+            ranked = sorted((abs(abs(q - p) - insert), p, q, i, j) for i, p in enumerate(x) for j, q in enumerate(y))
+            used, found = (set(), set()), []
+            for off, p, q, i, j in ranked:
+                if i not in used[0] and j not in used[1]:
+                    used[0].add(i), used[1].add(j)
+                    found.append({"p1": int(p), "p2": int(q), "off": float(off)})
+            out.append(found)
+        return pd.Series(out)
+
+    side = lambda bit: F.sort_array(F.collect_list(F.when(FLAG(bit), F.col("pos"))))
+    g = a.groupBy("qname", "rname").agg(side(64).alias("x"), side(128).alias("y")).where("size(x) > 0 and size(y) > 0")
+    kernel = F.pandas_udf(pick, "array<struct<p1: int, p2: int, off: double>>")
+    return g.select("qname", "rname", F.inline(kernel("x", "y")))
 
 
 def expand_alternatives(a: DataFrame) -> DataFrame:
@@ -150,3 +166,42 @@ def pileup(a: DataFrame, marks: bool = False, reference: DataFrame | None = None
     key = ["rname", "at"] + (["ref"] if reference is not None else [])
     g = d.select(*key, "order", shown.alias("b"), "q").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("order", "b", "q"))).alias("x"))
     return g.select("rname", F.col("at").alias("pos"), *key[2:], F.size("x").alias("depth"), F.array_join(F.transform("x", lambda y: y["b"]), "").alias("bases"), F.array_join(F.transform("x", lambda y: y["q"]), "").alias("quals"))
+
+
+def index_stats(a: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(rname, length, mapped, unmapped) of every contig (name, length), and ``*`` for reads without a place."""
+    placed = F.when(F.col("rname").isNull() | (F.col("rname") == "*"), "*").otherwise(F.col("rname"))
+    n = a.groupBy(placed.alias("rname")).agg(F.count_if(~FLAG(4)).alias("mapped"), F.count_if(FLAG(4)).alias("unmapped"))
+    c = contigs.select(F.col("name").alias("rname"), F.col("length").cast("long").alias("length"))
+    d = c.join(n, "rname", "full").where(F.col("length").isNotNull() | (F.col("rname") == "*"))
+    return d.select("rname", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("mapped", F.lit(0)).alias("mapped"), F.coalesce("unmapped", F.lit(0)).alias("unmapped"))
+
+
+def proper_pairs(pairs: DataFrame, contigs: DataFrame, most: int, least: int = 0) -> DataFrame:
+    """Pairs (qname, rname, p1, p2, len1, len2, reverse1, reverse2) that are proper, the best of each name.
+
+    A pair is proper where both reads lie wholly within their reference, face each other, and
+    span ``least`` to ``most`` bases. Of a name's proper pairs the one with the fewest mismatches (nm) is
+    kept, then the shortest span and the first place.
+    """
+    d = pairs.join(contigs.select(F.col("name").alias("rname"), "length"), "rname")
+    end1, end2 = F.col("p1") + F.col("len1") - 1, F.col("p2") + F.col("len2") - 1
+    inside = (F.least("p1", "p2") >= 1) & (F.greatest(end1, end2) <= F.col("length"))
+    facing = F.when(F.col("p1") <= F.col("p2"), ~F.col("reverse1") & F.col("reverse2")).otherwise(F.col("reverse1") & ~F.col("reverse2"))
+    d = d.withColumn("span", F.greatest(end1, end2) - F.least("p1", "p2") + 1).where(inside & facing & F.col("span").between(least, most))
+    best = d.groupBy("qname").agg(F.min(F.struct("nm", "span", "rname", "p1", "p2")).alias("_b"))
+    return d.withColumn("_b", F.struct("nm", "span", "rname", "p1", "p2")).join(best, ["qname", "_b"], "left_semi").drop("_b", "length")
+
+
+def merged(*files: DataFrame) -> DataFrame:
+    """Alignments of several files in order of place."""
+    from functools import reduce
+
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), files).orderBy("rname", "pos", "qname")
+
+
+def by_natural_name(a: DataFrame) -> DataFrame:
+    """Alignments in order of names as numbers and text: r2 before r10. Runs of digits are compared by value."""
+    part = F.regexp_extract_all("qname", F.lit(r"(\d+|\D+)"), F.lit(1))
+    key = F.transform(part, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 24, "0")).otherwise(x))
+    return a.orderBy(key, "flag")

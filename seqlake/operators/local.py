@@ -66,3 +66,10 @@ def split_reads(df: DataFrame, adapter: str, least: int = 50) -> DataFrame:
 
     d = df.select("*", F.posexplode(F.pandas_udf(run, "array<struct<begin: int, len: int>>")("seq")).alias("part", "p"))
     return d.select("rec_no", "part", *[F.substr(F.col(c), F.col("p.begin") + 1, F.col("p.len")).alias(c) for c in ("seq", "qual")])
+
+
+def part_summary(parts: DataFrame) -> DataFrame:
+    """One row over parts of split reads (rec_no, part, seq): reads, parts, lengths, and quartiles of the parts of a read."""
+    per = parts.groupBy("rec_no").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases"), F.min(F.length("seq")).alias("short"), F.max(F.length("seq")).alias("long"))
+    q = F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return per.agg(F.count("*").alias("reads"), F.sum("n").alias("parts"), F.sum("bases").alias("bases"), F.min("short").alias("len_min"), F.max("long").alias("len_max"), F.get(q, 0).alias("q1"), F.get(q, 1).alias("median"), F.get(q, 2).alias("q3"))

@@ -276,3 +276,18 @@ def select_barcodes(counts: DataFrame, factor: float = 20.0) -> DataFrame:
 def list_end(counts: DataFrame) -> DataFrame:
     """One row for a given list of barcodes: the end at which its counts are greater, and whether any pair of ends is dual often enough (a thousandth of the counts)."""
     return counts.agg(F.when(F.sum("at_end") > F.sum("at_start"), "e").otherwise("b").alias("end"), (F.sum("dual") * 1000 >= F.greatest(F.sum("at_start"), F.sum("at_end"))).alias("dual"), F.sum("at_start").alias("at_start"), F.sum("at_end").alias("at_end"))
+
+
+def annotated(species: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Sequences (seq, ...) with ``name``: that of an equal pattern (name, seq), else of the first by name that the sequence holds, else null.
+
+    The patterns are a list of at most 1000 and become a literal of the plan.
+    """
+    listed = patterns.select("name", "seq").orderBy("name", "seq").limit(1001).collect()
+    if len(listed) > 1000:
+        raise ValueError("more than 1000 patterns")
+    if not listed:
+        return species.withColumn("name", F.lit(None).cast("string"))
+    known = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["seq"]).alias("seq")) for r in listed])
+    equal, inside = F.filter(known, lambda p: p["seq"] == F.col("seq")), F.filter(known, lambda p: F.contains(F.col("seq"), p["seq"]))
+    return species.withColumn("name", F.coalesce(F.get(equal, 0)["name"], F.get(inside, 0)["name"]))

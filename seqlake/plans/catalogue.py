@@ -495,3 +495,4 @@ def gene_bed(spark, d):
 
 
 from seqlake.plans import calling  # noqa: E402, F401  more queries for QUERIES and ORACLES
+from seqlake.plans import more  # noqa: E402, F401
