@@ -5,17 +5,22 @@
    become one representative.
 2. Representatives that agree on a band's minima share a bucket. In a bucket of at most
    ``BUCKET`` members, signatures are compared and a spanning forest of the pairs whose
-   estimate is not far below the threshold is kept. In a larger one the members whose signature
-   agrees with the first member's are linked to it. Where others are left over, the bucket is
-   dealt again by its band and each other band, as pairs of similar texts agree on a second
-   band too; what is still larger then is linked whole. So texts that share a band and little
-   else fall apart at once, and copies stay together, at a cost in proportion to the bucket.
+   estimate is not far below the threshold is kept. A larger one is linked whole to its first
+   member, unless the signatures of most of its members disagree with that one's: then those
+   that agree are linked, and the bucket is dealt again by its band and each other band, as
+   pairs of similar texts agree on a second band too; what is still larger then is linked
+   whole. So texts that share a band and little else fall apart at once, and copies stay
+   together, at a cost in proportion to the bucket.
 3. The candidate links themselves are checked on full shingle sets, a hub's text meeting its
    neighbours' in parts of ``HUB``. Components of these links are classes.
 4. In a candidate group of several classes the pairs of different classes are compared by an
    exact prefix filter: of a pair at the threshold, the rarest shingles of both sets have one
-   in common. Groups of at most ``BLOCK`` members are filtered in memory, many to a task; of
-   larger ones each shingle is a row, and those whose rare shingles meet are checked as in 3.
+   in common. Groups of at most ``BLOCK`` members are filtered in memory, many to a task. In a
+   larger one each shingle is a row, and members whose rare shingles meet are checked as in 3,
+   if that gives at most ``MEETINGS`` pairs a member: as with texts of one template. Where rare
+   shingles are common too, as in a group of copies each a little different, members of the
+   largest class and of all others are cut into blocks, and each pair of blocks that holds a
+   minor one is a task of its own. Both ways are exact, and no task grows with the group.
 5. Components of all confirmed links are the result.
 
 A pair at the threshold of 0.85 is missed by all bands with probability (1 - 0.85**6)**24,
@@ -160,11 +165,12 @@ def _bucket_links(least: float):
     return run
 
 
-def confirm(sets: list, ids: list, percent: int, forest: Forest) -> list[tuple[int, int]]:
+def confirm(sets: list, ids: list, percent: int, forest: Forest, left: set | None = None) -> list[tuple[int, int]]:
     """Links (a, b) with 100 * intersection >= percent * union that join what was apart, by an exact prefix filter.
 
     Of a pair, the ``percent`` share of the larger set must be common, so among the rarest
     ``size - ceil(percent * size / 100) + 1`` shingles of each there is a common one.
+    With ``left``, pairs on one side of it are another task's.
     """
     if len(sets) < 2:
         return []
@@ -185,7 +191,7 @@ def confirm(sets: list, ids: list, percent: int, forest: Forest) -> list[tuple[i
                     continue
                 seen.add(j)
                 m = int(counts[j])
-                if m * 100 < percent * n or forest.find(ids[i]) == forest.find(ids[j]):
+                if m * 100 < percent * n or left is not None and (ids[i] in left) == (ids[j] in left) or forest.find(ids[i]) == forest.find(ids[j]):
                     continue
                 other = inverse[ends[j] - m : ends[j]]
                 both = m + n - len(np.unique(np.concatenate((own, other))))
@@ -224,8 +230,8 @@ def _check(percent: int):
 
 
 def direct(links: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of the links (a, b) that hold on the full sets of ``texts`` (doc_id, text), a row for each."""
-    edges = table(links.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("id")).distinct(), "spokes")
+    """Those of the links (a, b) that hold on the full sets of ``texts`` (doc_id, text), a row for each; links of one ``a`` are checked together."""
+    edges = table(links.select(F.col("a").alias("hub"), F.col("b").alias("id")).distinct(), "spokes")
     parts = table(edges.groupBy("hub").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")), "hubs")
     spokes = edges.join(parts, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("id"))
@@ -236,12 +242,12 @@ def direct(links: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _verify(percent: int):
     def run(frames):
-        """(part, component, class, id, text) by part: links between the classes of each component."""
+        """(part, one, two, component, left, class, id, text) by the first three: links between classes, of which pairs on one side of ``left`` are left out where it is set."""
         import pyarrow as pa
 
-        for _, t in groups(frames, 1):
-            comp, kind, ids = (t.column(i).to_pylist() for i in (1, 2, 3))
-            values, n, _, _ = shingle_sets(t.column(4).cast(pa.large_binary()).to_pylist())
+        for _, t in groups(frames, 3):
+            comp, left, kind, ids = (t.column(i).to_pylist() for i in (3, 4, 5, 6))
+            values, n, _, _ = shingle_sets(t.column(7).cast(pa.large_binary()).to_pylist())
             parts = np.split(values, np.cumsum(n)[:-1])
             by: dict = {}
             for i, c in enumerate(comp):
@@ -251,7 +257,8 @@ def _verify(percent: int):
                 forest, first = Forest(), {}
                 for i in rows:
                     forest.join(first.setdefault(kind[i], ids[i]), ids[i])
-                links += confirm([parts[i] for i in rows], [ids[i] for i in rows], percent, forest)
+                side = {ids[i] for i in rows if left[i]} if left[rows[0]] is not None else None
+                links += confirm([parts[i] for i in rows], [ids[i] for i in rows], percent, forest, side)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -273,11 +280,11 @@ def _exploded(frames):
                 yield pa.RecordBatch.from_arrays([*[b.column(k).take(take) for k in range(3)], pa.array(n[i - lo]), pa.array(values[at : at + (1 << 18)].view(np.int64))], ["component", "class", "id", "n", "shingle"])
 
 
-def rare_meetings(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of different classes of a component (id, component, class) whose sets of rarest shingles meet.
+def rare_shingles(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(component, shingle, id, class, n) of each member's rarest shingles that members of different classes have, and ``of``, how many members have it so.
 
-    No pair that holds is left out: ``confirm`` says why. Shingles are ordered by how many
-    members of the component have them, so what a component has in common comes last.
+    Shingles are ordered by how many members of the component (id, component, class) have them,
+    so what a component has in common comes last. Two sets that hold have one of these in common, as ``confirm`` says.
     """
     rows = placed.join(texts.withColumnRenamed("doc_id", "id"), "id").select("component", "class", "id", "text")
     e = table(rows.mapInArrow(_exploded, "component long, class long, id long, n long, shingle long"), "shingles")
@@ -286,25 +293,64 @@ def rare_meetings(placed: DataFrame, texts: DataFrame, percent: int) -> DataFram
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rare = e.join(often, ["component", "shingle"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     rare = table(rare.where("c0 <> c1").select("component", "shingle", "id", "class", "n"), "rare")
+    return rare.join(rare.groupBy("component", "shingle").agg(F.count("*").alias("of")), ["component", "shingle"])
+
+
+def rare_meetings(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different classes that have a rare shingle in common and could hold by their sizes."""
+    rare = rare.where("of > 1").drop("of")
     other = rare.select("component", "shingle", F.col("id").alias("b"), F.col("class").alias("other"), F.col("n").alias("m"))
     met = rare.join(other, ["component", "shingle"]).where((F.col("id") < F.col("b")) & (F.col("class") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     return met.select(F.col("id").alias("a"), "b").distinct()
 
 
-def between(comp: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between different classes (id, component) of the same group of ``comp`` (id, component)."""
-    spark = comp.sparkSession
+#: A group's pairs are made by rare shingles where they give at most so many for each member, in blocks beyond.
+MEETINGS = 64
+
+
+def _classes(comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, component, class, size, of, major, most) of the members of groups of several classes."""
     placed = table(comp.join(classes.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id")), "classes")
-    stats = placed.groupBy("component").agg(F.count("*").alias("size"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("component", "size")
-    d = table(placed.join(stats, "component"), "placed")
-    bins = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    part = F.pmod(F.xxhash64("component"), F.lit(bins))
-    small = d.where(F.col("size") <= block).join(texts.withColumnRenamed("doc_id", "id"), "id").select(part.alias("part"), "component", "class", "id", "text")
-    found = small.repartition("part").sortWithinPartitions("part").mapInArrow(_verify(percent), "a long, b long")
-    large = d.where(F.col("size") > block).select("id", "component", "class")
+    count = placed.groupBy("component", "class").agg(F.count("*").alias("n"))
+    stats = count.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("of"), F.max_by("class", F.struct("n", "class")).alias("major"), F.max("n").alias("most")).where("of > 1")
+    return table(placed.join(stats, "component"), "placed")
+
+
+def _in_blocks(d: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between the classes of groups (``_classes``): small groups many to a task, of larger ones each pair of blocks that holds a minor class's members."""
+    here = lambda n: F.ceil(F.col(n) / block).cast("int")
+    minors, majors = F.greatest(F.ceil((F.col("size") - F.col("most")) / block).cast("int"), F.lit(1)), here("most")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    task = lambda kind, one, two, left: F.struct(F.lit(kind).alias("kind"), one.cast("int").alias("one"), two.cast("int").alias("two"), left.cast("boolean").alias("left"))
+    o = own(minors)
+    among = F.transform(upto(minors), lambda j: task(0, F.least(o, j), F.greatest(o, j), F.when(j != o, o < j)))
+    across = F.transform(upto(majors), lambda j: task(1, j, o, F.lit(False)))
+    facing = F.transform(upto(minors), lambda j: task(1, own(majors), j, F.lit(True)))
+    small = F.array(task(2, F.lit(0), F.lit(0), F.lit(None)))
+    tasks = F.when(F.col("size") <= block, small).when(F.col("class") == F.col("major"), facing).otherwise(F.concat(among, across))
+    bins = max(16, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+    rows = d.select("id", "component", "class", F.explode(tasks).alias("t"))
+    part = F.when(F.col("t.kind") == 2, -1 - F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component"))
+    one = F.col("t.one") * 2 + (F.col("t.kind") == 1).cast("int")
+    rows = table(rows.select(part.alias("part"), one.alias("one"), F.col("t.two").alias("two"), "component", F.col("t.left").alias("left"), "class", "id"), "tasks")
+    full = rows.join(texts.withColumnRenamed("doc_id", "id"), "id").select("part", "one", "two", "component", "left", "class", "id", "text")
+    return full.repartition("part", "one", "two").sortWithinPartitions("part", "one", "two").mapInArrow(_verify(percent), "a long, b long")
+
+
+def between(comp: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between different classes (id, component) of the same group of ``comp`` (id, component): all that join what is apart."""
+    d = _classes(comp, classes)
+    large = d.where(F.col("size") > block).select("id", "component", "class", "size")
     if large.isEmpty():
-        return found
-    return found.union(direct(table(rare_meetings(large, texts, percent), "meetings"), texts, percent))
+        return _in_blocks(d, texts, percent, block)
+    rare = table(rare_shingles(large, texts, percent), "rare-of")
+    pairs = rare.groupBy("component", "shingle").agg(F.first("of").alias("of")).groupBy("component").agg(F.sum(F.col("of") * (F.col("of") - 1) / 2).alias("pairs"))
+    few = table(large.groupBy("component").agg(F.first("size").alias("size")).join(pairs, "component", "left").where(F.coalesce("pairs", F.lit(0)) <= MEETINGS * F.col("size")).select("component"), "few")
+    rest = _in_blocks(d.join(few, "component", "left_anti"), texts, percent, block)
+    if few.isEmpty():
+        return rest
+    return rest.union(direct(rare_meetings(rare.join(few, "component", "left_semi"), percent), texts, percent))
 
 
 def _agree(least: float):
@@ -341,11 +387,14 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
     of_hub = large.select("hub").distinct().join(sketch.withColumnRenamed("id", "hub"), "hub").withColumnRenamed("sketch", "hub_sketch")
     judged = large.join(of_hub, "hub").join(sketch, "id").select("band", "hash", "hub", "id", "hub_sketch", "sketch")
     judged = table(judged.mapInArrow(_agree(least), "band int, hash long, hub long, id long, agree boolean"), "judged")
-    links = forest(member).union(judged.where("agree and id <> hub").select("hub", "id"))
-    # Buckets that have others: pairs with one of these agree on a second band too.
-    mixed = judged.where("not agree").select("band", "hash").distinct()
-    again = judged.join(mixed, ["band", "hash"], "left_semi").join(reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band2", "hash2")), "id").where("band <> band2")
-    again = shared(again.select("id", (F.lit(-1) - F.col("band") * BANDS - F.col("band2")).alias("band"), F.xxhash64("hash", "hash2").alias("hash")), "again")
+    unlike = judged.groupBy("band", "hash").agg(F.count_if(~F.col("agree")).alias("others"), F.count("*").alias("n")).where("2 * others > n").select("band", "hash")
+    # Copies with a few others among them stay together; of a bucket that mostly differs, the pairs that matter agree on a second band too.
+    links = forest(member).union(judged.join(unlike, ["band", "hash"], "left_anti").where("id <> hub").select("hub", "id"))
+    again = judged.join(unlike, ["band", "hash"], "left_semi")
+    links = links.union(again.where("agree and id <> hub").select("hub", "id"))
+    again = again.select("id", "band", "hash").join(reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band2", "hash2")), "id").where("band <> band2")
+    one, two = F.least(F.struct("band", "hash"), F.struct(F.col("band2").alias("band"), F.col("hash2").alias("hash"))), F.greatest(F.struct("band", "hash"), F.struct(F.col("band2").alias("band"), F.col("hash2").alias("hash")))
+    again = shared(again.select("id", (F.lit(-1) - one["band"] * BANDS - two["band"]).alias("band"), F.xxhash64(one, two).alias("hash")).distinct(), "again")
     return links.union(forest(again)).union(again.where(f"n > {BUCKET} and id <> hub").select("hub", "id"))
 
 

@@ -34,10 +34,11 @@ def edited(rng, base: list[str], n: int) -> str:
     return " ".join(w)
 
 
-@pytest.mark.parametrize("bucket", [4, 1024])
-def test_large_groups_in_blocks(spark, monkeypatch, bucket):
-    """Groups far larger than a block and a bucket, chains at the threshold, copies of all kinds."""
+@pytest.mark.parametrize("bucket, meetings", [(4, 64), (1024, 0), (1024, 10**6)])
+def test_large_groups_in_blocks(spark, monkeypatch, bucket, meetings):
+    """Groups far larger than a block and a bucket, chains at the threshold, copies of all kinds, by rare shingles and in blocks."""
     monkeypatch.setattr(minhash, "BUCKET", bucket)
+    monkeypatch.setattr(minhash, "MEETINGS", meetings)
     rng = random.Random(4)
     docs = []
     for g in range(3):
@@ -106,7 +107,7 @@ def test_a_template_gives_few_meetings(spark):
     rows = list(enumerate(texts))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     placed = spark.createDataFrame([(i, 0, i) for i, _ in rows], "id long, component long, class long")
-    met = {tuple(r) for r in minhash.rare_meetings(placed, d, 85).collect()}
+    met = {tuple(r) for r in minhash.rare_meetings(minhash.rare_shingles(placed, d, 85), 85).collect()}
     assert {(0, 400), (7, 401)} <= met and len(met) < 410
     held = {tuple(r) for r in minhash.direct(spark.createDataFrame(sorted(met), "a long, b long"), d, 85).collect()}
     assert held == {(0, 400), (7, 401)}
