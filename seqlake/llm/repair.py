@@ -1,11 +1,12 @@
 """Token ids in Re-Pair compressed shard files (Larsson and Moffat, 2000).
 
 A shard holds the documents of one range of doc_id, in order. Frequent pairs of neighbouring
-symbols within a document are replaced by new symbols, round after round; each round takes
-the pairs that occur often enough, many at a time, and replaces their occurrences from left
-to right. The file keeps the rules, each rule's expansion length, and for each document its
-first symbol and its number of ids, so any document, or any id in it, is found without
-expanding what comes before.
+symbols within a document are replaced by new symbols, round after round, until no pair
+occurs LEAST times or the rules that fit 16 bits beside the ids are used up; each round takes
+the most frequent pairs, at most half of the room that is left, and replaces their
+occurrences from left to right. The file keeps the rules, each rule's expansion length, and
+for each document its first symbol and its number of ids, so any document, or any id in it,
+is found without expanding what comes before.
 
 Layout, little endian: ``RPR1``; u32 number of terminals; u32 rules; u32 documents; u64
 symbols; u8 bytes of a symbol (2 or 4); rules (u32 left, u32 right); expansion lengths
@@ -21,19 +22,23 @@ import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seqlake.llm.shared import new_path, open_fs, ship, table
 
 MAGIC, HEAD = b"RPR1", "<4sIIIQB"
-TERMINALS, END = 50257, 0
-#: Rounds of replacement, rules of a shard (with the terminals they fit 16 bits), and occurrences that a pair needs.
-ROUNDS, RULES, LEAST = 4, 65536 - TERMINALS, 12
+END = 0
+#: Symbols of two bytes; rules that a shard may have where the ids alone need more; and occurrences that a pair needs to pay for its rule.
+NARROW, MOST_RULES, LEAST = 1 << 16, 1 << 15, 12
 #: Chunks whose ids a worker keeps, and ids that one file holds before the next begins.
 KEPT, FILE_IDS = 400_000, 1 << 21
 
+#: Pieces that are encoded together where they are met first, and bytes of text whose ids are made at a time when partitions are dealt.
+TOGETHER, PARTITION_BYTES = 64, 64 << 20
+#: Rules that the last round may take at once.
+LAST = 1024
+
 _CACHE: dict = {}
-_TWO_SPACES = re.compile(r"\s\s|\0")
 
 
 class _Known(dict):
@@ -53,7 +58,9 @@ class Encoder:
 
     The pre-tokeniser never joins a space that follows a non-space to what comes before it, and a
     single line break between non-spaces stands alone, so ids of the pieces cut there are the ids of
-    the text. A text with white space beside white space is encoded whole.
+    the text. A text with white space beside white space, or with a special token, is encoded whole.
+    Pieces are met TOGETHER in one call where each begins with a space and ends without one: their text is again
+    cut between them, and the bytes of the ids say where.
     """
 
     def __init__(self, path: str):
@@ -61,31 +68,56 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.terminals = self.t.get_vocab_size(with_added_tokens=True)
+        special = [re.escape(a.content) for a in self.t.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([r"\s\s", r"\0", *special]))
+        #: Bytes of each id: a byte-level vocabulary has a character for each.
+        self.bytes = np.zeros(self.terminals, np.int64)
+        for token, i in self.t.get_vocab(with_added_tokens=False).items():
+            self.bytes[i] = len(token)
         self.clear()
 
     def clear(self) -> None:
         self.known = _Known()
         self.flat, self.used, self.ends = np.empty(1 << 20, np.uint32), 0, [0]
 
+    def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after another, and their number by piece."""
+        joint = np.fromiter((s[:1] == " " and s[-1:] != " " and not s[-1:].isspace() for s in new), bool, len(new))
+        single = [s for s, j in zip(new, joint) if not j]
+        together = [s for s, j in zip(new, joint) if j]
+        got = [e.ids for e in self.t.encode_batch_fast(single, add_special_tokens=False)]
+        alone, own = np.array([x for ids in got for x in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
+        runs = ["".join(together[i : i + TOGETHER]) for i in range(0, len(together), TOGETHER)]
+        ids = np.array([x for e in self.t.encode_batch_fast(runs, add_special_tokens=False) for x in e.ids], np.uint32)
+        end = np.cumsum(np.fromiter((len(s.encode()) for s in together), np.int64, len(together)))
+        at = np.cumsum(self.bytes[ids]) if len(ids) else np.zeros(0, np.int64)
+        last = np.searchsorted(at, end)
+        if len(end) and (last[-1] >= len(at) or (at[last] != end).any()):
+            raise ValueError("ids that do not end where their pieces do")
+        stop = last + 1
+        counts = np.zeros(len(new), np.int64)
+        counts[~joint], counts[joint] = own, np.diff(np.concatenate(([0], stop)))
+        # Both kinds in the order of the pieces.
+        start = np.zeros(len(new), np.int64)
+        start[~joint], start[joint] = np.cumsum(own) - own, len(alone) + np.concatenate(([0], stop[:-1])) if len(stop) else 0
+        both, total = np.concatenate((alone, ids)), np.cumsum(counts)
+        return both[np.repeat(start - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)], counts
+
     def learn(self) -> None:
         new, self.known.new = self.known.new, []
-        got = [e.ids for e in self.t.encode_batch_fast(new, add_special_tokens=False)]
-        n = sum(map(len, got))
-        while self.used + n > len(self.flat):
+        ids, counts = self._pieces(new)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        at = self.used
-        for ids in got:
-            self.flat[at : at + len(ids)] = ids
-            at += len(ids)
-            self.ends.append(at)
-        self.used = at
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.ends += (self.used + np.cumsum(counts)).tolist()
+        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and their number by text."""
         whole, chunks, sizes = {}, [], np.zeros(len(texts), np.int64)
         for i, s in enumerate(texts):
-            if _TWO_SPACES.search(s):
+            if self.whole.search(s):
                 whole[i] = s
             else:
                 part = s.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
@@ -111,32 +143,41 @@ class Encoder:
         return ids, counts
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, terminals: int = TERMINALS, rounds: int = ROUNDS, most: int = RULES, least: int = LEAST):
-    """(symbols, symbols by document, rules) of documents' ids; no pair reaches over a document's end."""
+def room(terminals: int) -> int:
+    """Rules that a shard may have: with the terminals they fit two bytes, if that leaves any."""
+    return NARROW - terminals if terminals < NARROW else MOST_RULES
+
+
+def compress(ids: np.ndarray, counts: np.ndarray, terminals: int, most: int | None = None, least: int = LEAST):
+    """(symbols, symbols by document, rules) of documents' ids; no pair reaches over a document's end.
+
+    The rounds end when no pair occurs ``least`` times or there are ``most`` rules.
+    """
+    most = room(terminals) if most is None else most
     sym = ids.astype(np.uint32)
     last = np.zeros(len(sym), bool)
     last[np.cumsum(counts)[counts > 0] - 1] = True
-    doc = None
     rules: list = []
     held = np.cumsum(counts)  # end of each document in symbols
-    for _ in range(rounds):
-        room = most - sum(len(r) for r in rules)
-        if len(sym) < 2 or room <= 0:
-            break
+    made = 0
+    while made < most and len(sym) > 1:
         pair = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
         slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
         slot[last[:-1]] = 1 << 20
         often = np.bincount(slot, minlength=(1 << 20) + 1)
         often[1 << 20] = 0
-        hot = np.flatnonzero((often >= least)[slot])
-        if not len(hot):
+        left = most - made
+        take = left if left <= LAST else max(LAST, left // 2)  # the last rules are not worth a round each
+        # Slots that hold twice as many pairs as are taken, the fullest first; all that can hold one where those have none.
+        for bound in sorted({max(least, int(np.partition(often, -2 * take)[-2 * take])), least}, reverse=True):
+            hot = np.flatnonzero((often >= bound)[slot])
+            p, n = np.unique(pair[hot], return_counts=True)
+            p, n = p[n >= least], n[n >= least]
+            if len(p):
+                break
+        else:
             break
-        p, n = np.unique(pair[hot], return_counts=True)
-        p, n = p[n >= least], n[n >= least]
-        if not len(p):
-            break
-        keep = np.sort(np.argsort(-n, kind="stable")[: max(1, min(room, most // 3))])
-        p = p[keep]
+        p = p[np.sort(np.argsort(-n, kind="stable")[:take])]
         where = np.searchsorted(p, pair[hot])
         where[where == len(p)] = 0
         good = p[where] == pair[hot]
@@ -145,8 +186,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int = TERMINALS, ro
         first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - first) % 2 == 0
         at, rule = at[take], rule[take]
-        base = terminals + sum(len(r) for r in rules)
-        sym[at] = (base + rule).astype(np.uint32)
+        sym[at] = (terminals + made + rule).astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False
@@ -154,11 +194,12 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int = TERMINALS, ro
         held = held - gone[held]
         sym, last = sym[stay], last[stay]
         rules.append(np.stack((p >> np.uint64(32), p & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        made += len(p)
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return sym, np.diff(np.concatenate(([0], held))), rule
 
 
-def lengths(rule: np.ndarray, terminals: int = TERMINALS) -> np.ndarray:
+def lengths(rule: np.ndarray, terminals: int) -> np.ndarray:
     """Number of ids below each rule; a rule uses earlier ones only."""
     out = np.ones(terminals + len(rule), np.int64)
     todo = np.arange(len(rule))
@@ -171,7 +212,7 @@ def lengths(rule: np.ndarray, terminals: int = TERMINALS) -> np.ndarray:
     return out[terminals:]
 
 
-def expand(sym: np.ndarray, rule: np.ndarray, terminals: int = TERMINALS) -> np.ndarray:
+def expand(sym: np.ndarray, rule: np.ndarray, terminals: int) -> np.ndarray:
     """The ids of symbols."""
     n = lengths(rule, terminals)
     start = np.cumsum(n) - n
@@ -201,12 +242,14 @@ def expand(sym: np.ndarray, rule: np.ndarray, terminals: int = TERMINALS) -> np.
     return out
 
 
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    sym, per, rule = compress(ids, counts)
-    width = 2 if TERMINALS + len(rule) <= 65536 else 4
+def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, terminals: int) -> bytes:
+    if len(ids) and int(ids.max()) >= terminals:
+        raise ValueError(f"an id of {int(ids.max())}; the tokenizer has {terminals}")
+    sym, per, rule = compress(ids, counts, terminals)
+    width = 2 if terminals + len(rule) <= NARROW else 4
     first = np.concatenate(([0], np.cumsum(per))).astype("<u8")
     return b"".join((
-        struct.pack(HEAD, MAGIC, TERMINALS, len(rule), len(doc_ids), len(sym), width), rule.astype("<u4").tobytes(), lengths(rule).astype("<u4").tobytes(),
+        struct.pack(HEAD, MAGIC, terminals, len(rule), len(doc_ids), len(sym), width), rule.astype("<u4").tobytes(), lengths(rule, terminals).astype("<u4").tobytes(),
         np.asarray(doc_ids, "<i8").tobytes(), first.tobytes(), np.asarray(counts, "<u8").tobytes(), sym.astype("<u2" if width == 2 else "<u4").tobytes(),
     ))
 
@@ -255,9 +298,10 @@ def _write(tokenizer: str, folder: str):
 
         from seqlake.llm.words import batches
 
-        if "encoder" not in _CACHE:
-            _CACHE["encoder"] = Encoder(tokenizer)
-        enc, part = _CACHE["encoder"], TaskContext.get().partitionId()
+        if tokenizer not in _CACHE:
+            _CACHE.clear()  # one vocabulary at a time is kept
+            _CACHE[tokenizer] = Encoder(tokenizer)
+        enc, part = _CACHE[tokenizer], TaskContext.get().partitionId()
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         held: list = []
@@ -268,7 +312,7 @@ def _write(tokenizer: str, folder: str):
             doc, n, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
             name = f"part-{part:06d}-{len(rows):04d}-{uuid.uuid4().hex}.rpr"
             with fs.open_output_stream(f"{base}/{name}") as f:
-                f.write(pack(doc, n, ids))
+                f.write(pack(doc, n, ids, enc.terminals))
             rows.append((f"{folder}/{name}", part, len(rows), len(doc), int(n.sum())))
             held.clear()
 
@@ -295,19 +339,21 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     A null or empty text is the end id alone. Equal doc_ids keep their rows, in order of their
     texts; a null doc_id is left out, since it has no place in the order. No rows: no files.
-    ``start`` is the number of ids in all files before; the manifest has a row for a file.
+    ``start`` is the number of ids in all files before; the manifest has a row for a file, and
+    is a table. ``tokenizer`` is a path that every executor has. Partitions are as many as the
+    input's size asks for.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate, from the files' sizes
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PARTITION_BYTES, 1 << 17), 1)
     placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     files = table(placed.mapInArrow(_write(tokenizer, new_path(spark, "tokens")), "path string, part int, file int, docs long, ids long"), "manifest")
-    start, out = 0, []
-    for r in files.orderBy("part", "file").collect():  # a row for each file of some million ids
-        out.append((*r, start))
-        start += r["ids"]
-    return spark.createDataFrame(out, "path string, part int, file int, docs long, ids long, start long")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
+    parts = files.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return table(files.withColumn("_inside", inside).join(parts, "part").select("path", "part", "file", "docs", "ids", (F.col("_before") + F.col("_inside")).alias("start")), "starts")
 
 
 def _read(frames):
@@ -331,7 +377,10 @@ def _read(frames):
 
 
 def decode(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files that a manifest names."""
-    ship(manifest.sparkSession)
-    rows = manifest.select("path", "start").repartition(max(1, manifest.count()))
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files that a manifest names; several files a task where there are many."""
+    spark = manifest.sparkSession
+    ship(spark)
+    files = manifest.count()
+    tasks = max(1, min(files, int(spark.conf.get("spark.sql.shuffle.partitions"))), files // 16)
+    rows = manifest.select("path", "start").repartition(tasks)
     return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
