@@ -407,11 +407,15 @@ def grouped(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame
     # A text's node is a hash of its digest; its representative row is the first of those with equal words.
     alike = table(named.groupBy("digest").agg(F.min(F.struct("doc_id", "hash")).alias("rep")).select("digest", F.xxhash64("digest").alias("node"), "rep.doc_id", "rep.hash"), "alike")
     reps = named.join(alike.select("digest", "node", "doc_id", "hash"), ["doc_id", "hash", "digest"])
-    reps = table(reps.dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "bands", "sketch"), "reps")
+    reps = table(reps.select(F.col("node").alias("doc_id"), "bands", "sketch"), "reps")
+    # Rows that repeat a representative's doc_id and text: where there are none, nothing needs to be sorted for them.
+    repeated = not reps.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    once = (lambda x: x.dropDuplicates(["doc_id"])) if repeated else (lambda x: x)
+    reps = once(reps)
     links = table(candidates(reps, percent), "candidates")
     comp = table(components(links), "groups")
     wanted = comp.join(alike.withColumnRenamed("node", "id"), "id").select("id", "doc_id", "hash")
-    texts = table(d.join(wanted, ["doc_id", "hash"]).select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
+    texts = table(once(d.join(wanted, ["doc_id", "hash"]).select(F.col("id").alias("doc_id"), "text")), "texts")
     held = table(direct(links, texts, percent), "held")
     more = table(between(comp, table(components(held), "sure"), texts, percent, block), "more")
     label = table(components(held.union(more)), "labels")
