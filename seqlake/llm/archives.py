@@ -49,8 +49,12 @@ class BadRecord(ValueError):
     """A header line or a length that the format does not allow."""
 
 
-def read_arc(f):
-    """(offset, fields, block) of each record of an open ARC file; the version comes from its first record."""
+def read_arc(f, lenient: bool = False):
+    """(offset, fields, block) of each record of an open ARC file; the version comes from its first record.
+
+    A malformed header line or a file that ends inside a record raises BadRecord. ``lenient``
+    gives (offset, None, why) instead and goes on with the next line that is a header.
+    """
     version, offset = 0, 0
     while line := f.readline():
         if line == b"\n":
@@ -58,16 +62,25 @@ def read_arc(f):
             continue
         count = 10 if version == 2 or not version and len(line.split()) >= 10 else 5
         part = line.rstrip(b"\r\n").rsplit(b" ", count - 1)
-        if len(part) != count or not part[-1].isdigit():
-            raise BadRecord(f"at {offset}: {line[:80]!r}")
-        size = int(part[-1])
-        block = f.read(size)
-        if len(block) != size:
-            raise BadRecord(f"at {offset}: {len(block)} of {size} bytes")
-        if not version:
-            version = int(block.split(b" ", 1)[0] or b"0")
-            if version not in (1, 2):
-                raise BadRecord(f"version {version}")
+        why = None
+        if len(part) != count or not part[-1].isdigit() or lenient and not part[2].isdigit():
+            why = f"at {offset}: {line[:80]!r}"
+        else:
+            size = int(part[-1])
+            block = f.read(size)
+            if len(block) != size:
+                why = f"at {offset}: {len(block)} of {size} bytes"
+            elif not version:
+                first = block.split(b" ", 1)[0]
+                version = int(first) if first.isdigit() else 0
+                if version not in (1, 2):
+                    why = f"version {version}"
+        if why:
+            if not lenient:
+                raise BadRecord(why)
+            yield offset, None, why.encode()
+            offset += len(line)
+            continue
         names = ("url", "ip", "date", "type", "length") if count == 5 else ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "file", "length")
         yield offset, dict(zip(names, (p.decode("utf-8", "surrogatepass") for p in part))), block
         offset += len(line) + size
@@ -158,13 +171,16 @@ def _files(folder: str, suffix: str):
     return write, close
 
 
-def _to_arc(folder: str, version: int):
+def _to_arc(folder: str, of: int):
     def run(frames):
         """(page_id, url, html) to ARC files; each file once."""
         import pyarrow as pa
 
+        from pyspark import TaskContext
+
         write, close = _files(folder, ".arc.gz")
         seen: dict = {}
+        version = of or 1 + TaskContext.get().partitionId() % 2
         for b in frames:
             for page, url, html in zip(*(b.column(i).to_pylist() for i in range(3))):
                 body = (html or "").encode()
@@ -179,7 +195,10 @@ def _to_arc(folder: str, version: int):
 
 
 def write_arc(pages: DataFrame, version: int = 1) -> DataFrame:
-    """Legacy archives of ``pages`` (page_id, url, html): a manifest of their paths and records. Null html is an empty payload."""
+    """Legacy archives of ``pages`` (page_id, url, html): a manifest of their paths and records. Null html is an empty payload.
+
+    ``version`` is 1 or 2, or 0 for both, by turns of partitions.
+    """
     spark = pages.sparkSession
     ship(spark)
     rows = pages.select(pages["page_id"].cast("long"), pages["url"].cast("string"), pages["html"].cast("string"))
@@ -191,7 +210,14 @@ def page_of(head: bytes) -> int | None:
     return int(m[1]) if m else None
 
 
-def _index(frames):
+def _index(lenient: bool):
+    def run(frames):
+        yield from _indexed(frames, lenient)
+
+    return run
+
+
+def _indexed(frames, lenient: bool):
     """ARC paths to (path, offset, digest, bytes, page_id)."""
     import pyarrow as pa
 
@@ -200,8 +226,8 @@ def _index(frames):
         for path in b.column(0).to_pylist():
             rows: list = []
             with _opened(path) as f:
-                for offset, fields, block in read_arc(f):
-                    if fields["url"].startswith("filedesc://"):
+                for offset, fields, block in read_arc(f, lenient):
+                    if fields is None or fields["url"].startswith("filedesc://"):
                         continue
                     head, payload = split_http(block)
                     rows.append((path, offset, hashlib.sha256(payload).digest(), len(payload), page_of(head)))
@@ -209,7 +235,7 @@ def _index(frames):
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=pa.schema([("path", pa.string()), ("offset", pa.int64()), ("digest", pa.binary()), ("bytes", pa.int64()), ("page_id", pa.int64())]))
 
 
-def _convert(folder: str):
+def _convert(folder: str, lenient: bool):
     def run(frames):
         """(path, offset, first page, path and offset of the first, is it the first), sorted by path and offset, to WARC files."""
         import pyarrow as pa
@@ -221,7 +247,9 @@ def _convert(folder: str):
         for (path,), t in groups(frames, 1):
             of = {r[0]: r[1:] for r in zip(*(t.column(i).to_pylist() for i in range(1, 6)))}
             with _opened(path) as f:
-                for offset, fields, block in read_arc(f):
+                for offset, fields, block in read_arc(f, lenient):
+                    if fields is None:
+                        continue
                     short = path.rsplit("/", 1)[-1]
                     rid, date = record_id(short, offset), iso(fields["date"])
                     if fields["url"].startswith("filedesc://"):
@@ -245,19 +273,47 @@ def _convert(folder: str):
     return run
 
 
-def convert(arcs: DataFrame) -> DataFrame:
+def _damaged(frames):
+    import pyarrow as pa
+
+    for b in frames:
+        for path in b.column(0).to_pylist():
+            with _opened(path) as f:
+                rows = [(path, offset, why.decode("utf-8", "replace")) for offset, fields, why in read_arc(f, True) if fields is None]
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(("path", "offset", "why"), map(list, zip(*rows)))), schema=pa.schema([("path", pa.string()), ("offset", pa.int64()), ("why", pa.string())]))
+
+
+def damaged(arcs: DataFrame) -> DataFrame:
+    """(path, offset, why) of the header lines and records in a manifest's ARC files that the format does not allow."""
+    ship(arcs.sparkSession)
+    return _dealt(arcs.select("path")).mapInArrow(_damaged, "path string, offset long, why string")
+
+
+def _tasks(paths: DataFrame) -> int:
+    """Tasks over files of some megabytes: one a file, and several files a task where there are many."""
+    n = paths.count()
+    return max(1, min(n, int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))), n // 8)
+
+
+def _dealt(paths: DataFrame) -> DataFrame:
+    return paths.repartition(_tasks(paths))
+
+
+def convert(arcs: DataFrame, lenient: bool = False) -> DataFrame:
     """WARC files of the ARC files in a manifest (path); a manifest of their paths and records.
 
     Of records with equal payloads of at least LEAST_REVISIT bytes, that with the smallest
     page id (then path and offset) stays a response and the others become revisits that name
     it; they keep their HTTP head and the payload's digest. A malformed header line or a file
-    that ends inside a record raises BadRecord. No files: no files.
+    that ends inside a record raises BadRecord, or with ``lenient`` is left out: ``damaged``
+    lists what is. No files: no files.
     """
     spark = arcs.sparkSession
     ship(spark)
     paths = arcs.select("path")
-    spread = max(1, paths.count())
-    index = table(paths.repartition(spread).mapInArrow(_index, "path string, offset long, digest binary, bytes long, page_id long"), "arc-index")
+    spread = _tasks(paths)
+    index = table(paths.repartition(spread).mapInArrow(_index(lenient), "path string, offset long, digest binary, bytes long, page_id long"), "arc-index")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "offset")
     first = table(index.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("m")).where("n > 1").select("digest", "m"), "firsts")
     long_ones = index.join(first, "digest", "left")
@@ -266,7 +322,7 @@ def convert(arcs: DataFrame) -> DataFrame:
     rows = table(rows, "revisits")
     empty = paths.join(rows.select("path").distinct(), "path", "left_anti").select("path", *[F.lit(None).cast(t).alias(c) for c, t in (("offset", "long"), ("page", "long"), ("fp", "string"), ("fo", "long"), ("again", "boolean"))])
     placed = rows.union(empty).repartition(spread, "path").sortWithinPartitions("path", "offset")
-    return table(placed.mapInArrow(_convert(new_path(spark, "warc")), "path string, records long"), "warcs")
+    return table(placed.mapInArrow(_convert(new_path(spark, "warc"), lenient), "path string, records long"), "warcs")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string, block_bytes long"
@@ -298,4 +354,4 @@ def _read(frames):
 def read(warcs: DataFrame) -> DataFrame:
     """READ columns of every record but file descriptions, from the files that a manifest names."""
     ship(warcs.sparkSession)
-    return warcs.select("path").repartition(max(1, warcs.count())).mapInArrow(_read, READ)
+    return _dealt(warcs.select("path")).mapInArrow(_read, READ)

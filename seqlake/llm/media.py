@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from seqlake.llm.shared import new_path, open_fs, ship, table
 
 WIDTH, SHARD_BYTES, HEADER = 64, 32 << 20, 33
+#: Contents that a task remembers; one that it forgets is stored again, and the index has one place of it.
+KNOWN = 100_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -78,7 +80,7 @@ def feature(payload: bytes) -> str:
 
 def _store(folder: str):
     def run(frames):
-        """(doc_id, text) to tar shards; a row for each: doc_id, n_bytes, digest, path, offset, length. A content is written once by a task."""
+        """(doc_id, text) to tar shards; a row for each: doc_id, n_bytes, digest, path, offset, length. Of KNOWN contents each is written once by a task."""
         import pyarrow as pa
 
         fs, base = open_fs(folder)
@@ -93,6 +95,8 @@ def _store(folder: str):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 content = hashlib.sha256(raw).digest()
                 if content not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
                     data = encode(payload_of(text))
                     digest = hashlib.sha256(data)
                     if out is None or at > SHARD_BYTES:
@@ -132,11 +136,11 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _read(frames):
-    """(digest, path, offset, length) sorted by path and offset to metadata and features of the stored bytes."""
+    """(digest, path, offset, length) sorted by path and offset to digests and features of the stored bytes."""
     import pyarrow as pa
 
     at, f = None, None
-    names = ("digest", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    names = ("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     for b in frames:
         rows: list = []
         for digest, path, offset, length in zip(*(b.column(i).to_pylist() for i in range(4))):
@@ -145,11 +149,10 @@ def _read(frames):
                 at, f = path, fs.open_input_file(name)
             f.seek(offset)
             data = f.read(length)
-            width, height, _ = header(data[:HEADER])
             payload = decode(data)
-            rows.append((digest, width, height, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
+            rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
         if rows:
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=pa.schema(list(zip(names, kinds))))
 
 
@@ -176,8 +179,9 @@ def metadata(index: DataFrame) -> DataFrame:
 
 
 def features(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Every row with the digest and features of its media as read back."""
+    """Every row with its media's metadata, from header reads, and the digests and features of its stored bytes, read back whole."""
     ship(index.sparkSession)
     spread = index.select("digest", "path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
-    got = table(spread.mapInArrow(_read, "digest binary, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"), "media-features")
-    return rows.join(got, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    got = spread.mapInArrow(_read, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    got = table(got.join(metadata(index), "digest"), "media-features")
+    return rows.join(got, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")

@@ -20,9 +20,9 @@ def tokenizer() -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages to legacy archives, those to WARC, and the WARC files read back."""
+    """Pages to legacy archives of both versions, those to WARC, and the WARC files read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    back = archives.read(archives.convert(archives.write_arc(pages)))
+    back = archives.read(archives.convert(archives.write_arc(pages, 0)))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -40,7 +40,7 @@ def test_query(spark):
     assert result(op1_warc(spark, MEDIUM)) == expected(rows)
 
 
-@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("version", [0, 1, 2])
 def test_odd_rows(spark, version, monkeypatch):
     monkeypatch.setattr(archives, "FILE_BYTES", 2000)
     rng = random.Random(1)
@@ -84,3 +84,16 @@ def test_malformed_records(record):
         list(archives.read_arc(arc(1, record)))
     with pytest.raises(archives.BadRecord):
         list(archives.read_warc(io.BytesIO(b"nonsense\r\n\r\n")))
+
+
+def test_lenient_reading(spark, tmp_path):
+    """Damage is listed and left out; what is whole is converted."""
+    good = b"http://a/%d 1.2.3.4 19990101000000 text/html 5\nhello\n"
+    data = archives.arc_head(1, "f.arc") + good % 1 + b"nonsense\n" + good % 2 + b"http://a 1.2.3.4 1999 text/html 500\nhello\n"
+    (tmp_path / "f.arc").write_bytes(data)
+    arcs = spark.createDataFrame([(f"file://{tmp_path}/f.arc",)], "path string")
+    bad = archives.damaged(arcs).orderBy("offset").collect()
+    assert [r["offset"] for r in bad] == [data.index(b"nonsense"), data.rindex(b"http://a ")] and "of 500" in bad[1]["why"]
+    assert archives.read(archives.convert(arcs, lenient=True)).count() == 2
+    with pytest.raises(Exception, match="nonsense"):
+        archives.convert(arcs)

@@ -56,6 +56,24 @@ def test_odd_rows(spark, monkeypatch):
     assert media.features(none, empty).count() == 0 and media.metadata(empty).count() == 0
 
 
+def test_what_is_stored_and_its_feature():
+    """The stored form and the feature, written out for one payload."""
+    p = bytes(range(64)) * 9
+    data = media.encode(p)
+    rows = b"".join(b"\0" + p[i : i + 64] for i in range(0, len(p), 64))
+    chunk = lambda kind, x: len(x).to_bytes(4, "big") + kind + x + zlib.crc32(kind + x).to_bytes(4, "big")
+    assert data == b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (64).to_bytes(4, "big") + (9).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(rows, 3)) + chunk(b"IEND", b"")
+    # Every row climbs from 0 to 63: mean 31.5, deviation of 0..63, and the right half of all eight rows of areas is above the mean.
+    assert media.feature(p) == f"h9:m31.500:s{((64 * 64 - 1) / 12) ** 0.5:.3f}:{int('00001111' * 8, 2):016x}"
+
+
+def test_a_task_that_forgets(spark, monkeypatch):
+    monkeypatch.setattr(media, "KNOWN", 3)
+    rows = [(i, f"text {i % 7}") for i in range(60)]
+    kept, index = media.store(spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA).coalesce(1))
+    assert index.count() == 7 and result(media.features(kept, index)) == expected(rows)
+
+
 def test_shards_are_tar_files(spark):
     import tarfile
 
