@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from seqlake.functions import cigar as C, qual as Q, seq as S
 
@@ -68,8 +68,10 @@ def discordant(a: DataFrame, far: int = 1000) -> DataFrame:
 
 def ambiguity(a: DataFrame) -> DataFrame:
     """(rname, unique, ambiguous): reads by reference, ambiguous where their name has several mappings."""
-    n = a.where(~FLAG(4)).withColumn("n", F.count("*").over(Window.partitionBy("qname")))
-    return n.groupBy("rname").agg(F.count_if(F.col("n") == 1).alias("unique"), F.count_if(F.col("n") > 1).alias("ambiguous"))
+    g = a.where(~FLAG(4)).groupBy("qname", "rname").agg(F.count("*").alias("c"))
+    n = g.groupBy("qname").agg(F.sum("c").alias("n"))
+    g = g.join(n, "qname").groupBy("rname")
+    return g.agg(F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("c"))), F.lit(0)).alias("unique"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("c"))), F.lit(0)).alias("ambiguous"))
 
 
 def best_mapping(a: DataFrame, filters: DataFrame) -> DataFrame:
@@ -127,14 +129,10 @@ def flagstat(a: DataFrame) -> DataFrame:
     return a.agg(*[F.count_if(c).alias(n) for n, c in names.items()])
 
 
-def pileup(a: DataFrame, marks: bool = False, reference: DataFrame | None = None) -> DataFrame:
-    """(rname, pos, depth, bases, quals) from alignments: matched bases, lower case on the reverse strand, in order of the reads' starts.
+def _shown(a: DataFrame, deletions: bool) -> DataFrame:
+    """Every base that a mapped read shows: its columns, at (the position), base, q, run (of its operation), k (in that), then (the next operation), span, deleted, and order among reads.
 
-    With ``marks`` the bases are those of a pileup file: ``^`` and a mapping quality at a read's
-    first base, ``$`` after its last, ``*`` where bases are deleted, ``+`` and ``-`` with
-    length and sequence (N where it is not known) after the base before. With ``reference`` (rname, pos, ref)
-    bases that agree are ``.`` and ``,``, and the rows have ref.
-    CIGARs are walked once a read; (rname, pos) is the shuffle key, so a contig is not one task.
+    CIGARs are walked once a read.
     """
     ops = C.operations(F.col("cigar"))
     consumes = lambda x, kinds: F.when(F.lit(kinds).contains(x["op"]), x["len"]).otherwise(0)
@@ -144,12 +142,30 @@ def pileup(a: DataFrame, marks: bool = False, reference: DataFrame | None = None
     )
     zero = F.struct(F.lit(0).alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<r:int,q:int,len:int,op:string>>").alias("out"))
     d = a.where(~FLAG(4) & (F.col("pos") > 0)).withColumn("ops", F.aggregate(ops, zero, step, lambda s: s["out"])).withColumn("span", C.reference_span(F.col("cigar")))
-    d = d.select("*", F.posexplode("ops").alias("i", "run")).where(F.col("run.op").isin(["M", "=", "X", "D"] if marks else ["M", "=", "X"]) & (F.col("run.len") > 0))
+    d = d.select("*", F.posexplode("ops").alias("i", "run")).where(F.col("run.op").isin(["M", "=", "X", "D"] if deletions else ["M", "=", "X"]) & (F.col("run.len") > 0))
     d = d.withColumn("then", F.get("ops", F.col("i") + 1)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("run.len") - 1)))
     deleted = F.col("run.op") == "D"
     at = F.when(deleted, F.col("run.q") + 1).otherwise(F.col("run.q") + F.col("k") + 1)
     base = F.substr(F.col("seq"), at, F.lit(1))
-    d = d.select("*", (F.col("pos") + F.col("run.r") + F.col("k")).alias("at"), base.alias("base"), F.substr(F.col("qual"), at, F.lit(1)).alias("q"), F.struct("pos", "qname", "flag", F.xxhash64("seq", "qual", "cigar")).alias("order"), deleted.alias("deleted"))
+    return d.select("*", (F.col("pos") + F.col("run.r") + F.col("k")).alias("at"), base.alias("base"), F.substr(F.col("qual"), at, F.lit(1)).alias("q"), F.struct("pos", "qname", "flag", F.xxhash64("seq", "qual", "cigar")).alias("order"), deleted.alias("deleted"))
+
+
+def base_sums(a: DataFrame) -> DataFrame:
+    """(rname, pos, base, n, reverse, qual) from alignments: sums by base, which no depth makes long, where ``pileup`` has a string for each position."""
+    p = _shown(a, False)
+    return p.groupBy("rname", "at", F.upper("base").alias("base")).agg(F.count("*").alias("n"), F.count_if(FLAG(16)).alias("reverse"), F.sum(F.ascii("q") - 33).alias("qual")).withColumnRenamed("at", "pos")
+
+
+def pileup(a: DataFrame, marks: bool = False, reference: DataFrame | None = None) -> DataFrame:
+    """(rname, pos, depth, bases, quals) from alignments: matched bases, lower case on the reverse strand, in order of the reads' starts.
+
+    With ``marks`` the bases are those of a pileup file: ``^`` and a mapping quality at a read's
+    first base, ``$`` after its last, ``*`` where bases are deleted, ``+`` and ``-`` with
+    length and sequence (N where it is not known) after the base before. With ``reference`` (rname, pos, ref)
+    bases that agree are ``.`` and ``,``, and the rows have ref.
+    (rname, pos) is the shuffle key, so a contig is not one task.
+    """
+    d = _shown(a, marks)
     strand = lambda c: F.when(FLAG(16), F.lower(c)).otherwise(F.upper(c))
     shown = strand(F.col("base"))
     if reference is not None:

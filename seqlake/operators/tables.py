@@ -49,30 +49,41 @@ def join_many(tables: list[DataFrame], ops: str | list[str] = INNER) -> DataFram
     return reduce(lambda a, x: join(a, x[0], x[1]), zip(tables[1:], ops), tables[0])
 
 
-def bin_width(intervals: DataFrame) -> int:
-    """A width that cuts an average interval into about two: one small aggregate."""
-    mean = intervals.agg(F.avg(F.col("en") - F.col("beg") + 1)).first()[0]
-    return max(16, int(mean or 16))
+#: Bins of 2**7, 2**10, ... positions; beyond them one bin of all, as size WHOLE.
+SHIFTS, WHOLE = tuple(range(7, 35, 3)), 63
 
 
-def points_in(points: DataFrame, intervals: DataFrame, width: int | None = None) -> DataFrame:
+def own_bin(beg: Column, en: Column) -> Column:
+    """(shift, bin) of the smallest bin that holds an interval whole: one for each, however long it is."""
+    at = F.struct(F.lit(WHOLE).alias("shift"), F.lit(0).cast("long").alias("bin"))
+    for s in reversed(SHIFTS):
+        inside = F.struct(F.lit(s).alias("shift"), F.shiftright(beg, s).alias("bin"))
+        at = F.when(F.shiftright(beg, s) == F.shiftright(en, s), inside).otherwise(at)
+    return at
+
+
+def bins_above(at: Column, least: Column | None = None) -> Column:
+    """(shift, bin) of a position at every size of bins, or those from a size on."""
+    sizes = [F.struct(F.lit(s).alias("shift"), F.shiftright(at, s).alias("bin")) for s in SHIFTS]
+    every = F.array(*sizes, F.struct(F.lit(WHOLE).alias("shift"), F.lit(0).cast("long").alias("bin")))
+    return every if least is None else F.filter(every, lambda b: b["shift"] >= least)
+
+
+def points_in(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """Points (chr, pos) with the intervals (chr, beg, en) that hold them, both ends included.
 
-    Both sides meet on (chr, bin), an equi-join, with the bounds as the rest of the condition.
+    An interval lies in one bin, the smallest that holds it; a point looks in its bin of every
+    size. So both sides meet on (chr, size, bin), an equi-join, and a contig-long interval is one row like others.
     """
-    w = width or bin_width(intervals)
-    i = intervals.withColumn("_bin", F.explode(F.expr(f"sequence(beg div {w}, en div {w})")))
-    p = points.withColumn("_bin", F.expr(f"pos div {w}"))
-    return p.join(i, ["chr", "_bin"]).where("pos between beg and en").drop("_bin")
+    i = intervals.withColumn("_b", own_bin(F.col("beg").cast("long"), F.col("en").cast("long")))
+    p = points.withColumn("_b", F.explode(bins_above(F.col("pos").cast("long"))))
+    return p.join(i, ["chr", "_b"]).where("pos between beg and en").drop("_b")
 
 
-def on_target(points: DataFrame, intervals: DataFrame, width: int | None = None) -> DataFrame:
+def on_target(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """``points`` with a flag whether any interval holds them: each place is looked up once."""
-    w = width or bin_width(intervals)
-    i = intervals.select("chr", "beg", "en", F.explode(F.expr(f"sequence(beg div {w}, en div {w})")).alias("_bin"))
-    p = points.select("chr", "pos").distinct().withColumn("_bin", F.expr(f"pos div {w}"))
-    hit = p.join(i, [p["chr"] == i["chr"], p["_bin"] == i["_bin"], p["pos"] >= i["beg"], p["pos"] <= i["en"]], "left_semi")
-    return points.join(hit.select("chr", "pos", F.lit(True).alias("on_target")), ["chr", "pos"], "left").withColumn("on_target", F.coalesce("on_target", F.lit(False)))
+    hit = points_in(points.select("chr", "pos").distinct(), intervals.select("chr", "beg", "en")).select("chr", "pos").distinct()
+    return points.join(hit.withColumn("on_target", F.lit(True)), ["chr", "pos"], "left").withColumn("on_target", F.coalesce("on_target", F.lit(False)))
 
 
 def at_amplicon_ends(reads: DataFrame, amplicons: DataFrame) -> DataFrame:
@@ -82,12 +93,18 @@ def at_amplicon_ends(reads: DataFrame, amplicons: DataFrame) -> DataFrame:
     return reads.join(a.withColumn("_hit", F.lit(True)), ["chr", "beg", "en"], "left").withColumn("amplicon", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def overlaps(a: DataFrame, b: DataFrame, width: int | None = None) -> DataFrame:
-    """Pairs of intervals (chr, beg, en, aid) and (chr, b_beg, b_en, bid) that share a position, each once: in the first bin that both reach."""
-    w = width or bin_width(a)
-    x = a.withColumn("_bin", F.explode(F.expr(f"sequence(beg div {w}, en div {w})")))
-    y = b.withColumn("_bin", F.explode(F.expr(f"sequence(b_beg div {w}, b_en div {w})")))
-    return x.join(y, ["chr", "_bin"]).where(f"beg <= b_en and en >= b_beg and _bin = greatest(beg, b_beg) div {w}").drop("_bin")
+def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of intervals (chr, beg, en, aid) and (chr, b_beg, b_en, bid) that share a position, each once.
+
+    Of two that meet, the one in the smaller bin lies in the other's bin whole. So each side's own bins meet the
+    other's bins of that size and, in a second join, larger ones: a few rows for each interval, however long.
+    """
+    x = a.withColumn("_o", own_bin(F.col("beg").cast("long"), F.col("en").cast("long")))
+    y = b.withColumn("_o", own_bin(F.col("b_beg").cast("long"), F.col("b_en").cast("long")))
+    up = lambda d, at, above: d.withColumn("_b", F.explode(bins_above(F.col(at).cast("long"), F.col("_o.shift") + above))).drop("_o")
+    own = lambda d: d.withColumnRenamed("_o", "_b")
+    meet = lambda p, q: p.join(q, ["chr", "_b"]).where("beg <= b_en and en >= b_beg").drop("_b")
+    return meet(up(x, "beg", 0), own(y)).unionByName(meet(own(x), up(y, "b_beg", 1)))
 
 
 def fragments(intervals: DataFrame, width: int = chunks.WIDTH) -> DataFrame:

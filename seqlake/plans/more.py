@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqlake.functions import cigar as C, qual as Q, seq as S, sql as sql_functions, stats
 from seqlake.operators import alignments as A, local, pairs as P, reads as R, tables as T
-from seqlake.plans.catalogue import ADAPTERS, BARCODES, INTERVALS, POINTS, Q33, R6, W, _AD, _AL, _CLIP, _DX, _GTF, _LOW, _long, _reads, _t, query
+from seqlake.plans.catalogue import ADAPTERS, BARCODES, INTERVALS, POINTS, Q33, R6, W, _AD, _AL, _CLIP, _DX, _GTF, _LOW, _RUNS, _long, _reads, _t, query
 from seqlake.plans.calling import SHOWN, _pileup
 from seqlake.plans.derived import ALIGNMENTS, view
 from seqlake.sources import files, sinks
@@ -536,6 +536,12 @@ def alignment_index_stats(spark, d):
     return A.index_stats(view(spark, d, ALIGNMENTS), _contigs(spark))
 
 
+@query(f"""{_AL}, x as (select rname, pos, flag, unnest({_RUNS}) as r, seq, qual from a where flag&4=0), y as (select rname, pos+r[1]+k as pos, substr(seq,(r[2]+k+1)::int,1) as base, flag, ascii(substr(qual,(r[2]+k+1)::int,1))-33 as q from x, unnest(range(0,r[3])) u(k))
+select rname, pos::bigint as pos, base, count(*)::bigint as n, count(*) filter (where flag&16<>0)::bigint as reverse, sum(q)::bigint as qual from y group by all""")
+def alignment_base_sums(spark, d):
+    return _long(A.base_sums(view(spark, d, ALIGNMENTS)))
+
+
 # --- order and sets
 
 @query("select o_orderkey from orders order by case o_orderstatus when 'P' then 1 when 'F' then 2 else 1000 end, o_orderkey limit 200")

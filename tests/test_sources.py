@@ -314,3 +314,18 @@ def test_interval_index(spark, tmp_path):
     assert {(r["chr"], r["pos"]): r["rows"] for r in x.lookup(p).collect()} == {("x", 4): ["p", "q"], ("x", 9): ["q"], ("y", 2): ["r"]}
     r = spark.createDataFrame([("x", 5, 20, 1), ("y", 3, 4, 2)], "chr string, b_beg long, b_en long, id int")
     assert [(r["id"], r["rows"]) for r in x.lookup_ranges(r, "id").collect()] == [(1, ["p", "q"])]
+
+
+def test_intervals_of_any_length(spark):
+    """Short, long and contig-long intervals, some across zero, against all pairs; each is one row of its side."""
+    import random
+
+    rng = random.Random(6)
+    made = lambda n: [(c, b, b + rng.choice([0, 5, 100, 5000, 10**6, 3 * 10**9, 2**40]), i) for i in range(n) for c in [rng.choice("xy")] for b in [rng.randrange(-500, rng.choice([300, 10**4, 10**8]))]]
+    a, b = made(120), made(120)
+    x, y = spark.createDataFrame(a, "chr string, beg long, en long, aid int"), spark.createDataFrame(b, "chr string, b_beg long, b_en long, bid int")
+    want = sorted((i, j) for c, p, q, i in a for d, r, s, j in b if c == d and p <= s and q >= r)
+    assert sorted((r["aid"], r["bid"]) for r in T.overlaps(x, y).collect()) == want
+    pts = [(rng.choice("xy"), rng.randrange(-600, rng.choice([300, 10**8])), i) for i in range(100)]
+    hit = sorted((k, i) for c, p, k in pts for d, lo, hi, i in a if c == d and lo <= p <= hi)
+    assert sorted((r["pid"], r["aid"]) for r in T.points_in(spark.createDataFrame(pts, "chr string, pos long, pid int"), x).collect()) == hit
