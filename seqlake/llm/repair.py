@@ -31,7 +31,7 @@ END = 0
 #: Symbols of two bytes; rules that a shard may have where the ids alone need more; and occurrences that a pair needs to pay for its rule.
 NARROW, MOST_RULES, LEAST = 1 << 16, 1 << 15, 12
 #: Chunks whose ids a worker keeps, and ids that one file holds before the next begins.
-KEPT, FILE_IDS = 400_000, 1 << 21
+KEPT, FILE_IDS = 250_000, 1 << 20
 
 #: Pieces that are encoded together where they are met first, and bytes of text whose ids are made at a time when partitions are dealt.
 TOGETHER, PARTITION_BYTES = 64, 64 << 20
@@ -79,7 +79,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.known = _Known()
-        self.flat, self.used, self.ends = np.empty(1 << 20, np.uint32), 0, [0]
+        self.flat, self.used, self.ends = np.empty(1 << 20, np.uint32), 0, np.zeros(1, np.int64)
 
     def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after another, and their number by piece."""
@@ -110,7 +110,7 @@ class Encoder:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.ends += (self.used + np.cumsum(counts)).tolist()
+        self.ends = np.concatenate((self.ends, self.used + np.cumsum(counts)))
         self.used += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +128,7 @@ class Encoder:
         at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         if self.known.new:
             self.learn()
-        ends = np.asarray(self.ends)
-        first, n = ends[at], ends[at + 1] - ends[at]
+        first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
         stop = np.cumsum(n)
         ids = self.flat[np.repeat(first - (stop - n), n) + np.arange(int(n.sum()))]
         total = np.concatenate(([0], stop))
