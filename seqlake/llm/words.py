@@ -10,6 +10,8 @@ import numpy as np
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Powers that a worker keeps: of batches of a megabyte and a text beyond.
+KEPT_POWERS = 1 << 21
 _POWERS: list = [np.ones(1, U), np.ones(1, U)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -19,14 +21,17 @@ COEF = [U(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            p = np.full(size, U(b))
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
+    """BASE**i and BASE**-i modulo 2**64 for i < n; those of a usual batch are kept, a very long text's are not."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(1 << (n - 1).bit_length(), U(b))
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= KEPT_POWERS:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
