@@ -11,7 +11,7 @@ import pytest
 
 from seqlake.llm import langid, licenses, subword
 from seqlake.llm.queries import op5_quality, op6_licenses, op7_langid
-from tests.conftest import MEDIUM
+from tests.conftest import MEDIUM, SMALL
 
 
 def rest(i: int, n: int) -> int:
@@ -118,6 +118,18 @@ def test_quality_of_odd_rows(spark):
     assert subword.score(df.limit(0), margin, bias).count() == 0 and 0 <= subword.score(df, margin, bias).first()["score"] <= 1
 
 
+def test_quality_query_against_a_dense_model(spark):
+    """The query's scores are those of a model fitted to the learning fold alone, applied to the mean of each text's features."""
+    docs = {r[0]: r[1] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    labels = sorted((r[0], r[1], docs[r[0]]) for r in spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "quality").collect() if r[0] in docs and rest(r[0], 3) != 1 and r[1] in (0, 1))
+    model = subword.fit([t for _, _, t in labels], np.array([y for _, y, _ in labels]))
+    for r in op5_quality(spark, SMALL).collect():
+        (keys, n), = subword.bags([docs[r["doc_id"]]])
+        h = (model["emb"][keys] * (n / n.sum())[:, None]).sum(0) if len(keys) else np.zeros(subword.DIM)
+        z = h @ model["w"] + model["b"]
+        assert r["score"] == pytest.approx(float(1 / (1 + np.exp(z[0] - z[1]))), abs=1e-4)
+
+
 def test_scores_equal_the_model():
     """What scoring sums by distinct word is the mean embedding's softmax."""
     texts = ["one two two three", "Ünïcode words, words again again", "a", "x " * 300]
