@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqlake.llm.sampling import labelled_sample
-from seqlake.llm.shared import ship
+from seqlake.llm.shared import settled, ship
 from seqlake.llm.words import batches
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
@@ -211,7 +211,7 @@ def determined(rows: DataFrame, names: list[str], model: dict | None, least: flo
     rows with a letter stay.
     """
     ship(rows.sparkSession)
-    return rows.mapInArrow(_keep(rows.columns.index("text"), names, model, least), rows.schema)
+    return rows.mapInArrow(settled(_keep(rows.columns.index("text"), names, model, least)), rows.schema)
 
 
 def predict(docs: DataFrame, names: list[str], model: dict | None) -> DataFrame:
@@ -220,4 +220,4 @@ def predict(docs: DataFrame, names: list[str], model: dict | None) -> DataFrame:
     Only doc_id and text are read; repeated rows give repeated results, an empty table an empty one.
     """
     ship(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_apply(names, model), "doc_id long, lang_pred string, score double")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(settled(_apply(names, model)), "doc_id long, lang_pred string, score double")

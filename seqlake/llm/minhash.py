@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seqlake.llm.graph import components
-from seqlake.llm.shared import ship, table
+from seqlake.llm.shared import settled, ship, table
 from seqlake.llm.words import batches, mix, shingle_sets
 
 BANDS, ROWS, BUCKET, HUB, BLOCK = 24, 6, 1024, 256, 256
@@ -237,7 +237,7 @@ def direct(links: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("id"))
     wanted = table(spokes.union(hubs), "wanted")
     rows = wanted.join(texts.withColumnRenamed("doc_id", "id"), "id").select("hub", "part", "side", "id", "text")
-    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "side").mapInArrow(_check(percent), "a long, b long")
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "side").mapInArrow(settled(_check(percent)), "a long, b long")
 
 
 def _verify(percent: int):
@@ -287,7 +287,7 @@ def rare_shingles(placed: DataFrame, texts: DataFrame, percent: int) -> DataFram
     so what a component has in common comes last. Two sets that hold have one of these in common, as ``confirm`` says.
     """
     rows = placed.join(texts.withColumnRenamed("doc_id", "id"), "id").select("component", "class", "id", "text")
-    e = table(rows.mapInArrow(_exploded, "component long, class long, id long, n long, shingle long"), "shingles")
+    e = table(rows.mapInArrow(settled(_exploded), "component long, class long, id long, n long, shingle long"), "shingles")
     often = e.groupBy("component", "shingle").agg(F.count("*").alias("often"), F.min("class").alias("c0"), F.max("class").alias("c1"))
     order = Window.partitionBy("component", "id").orderBy("often", "shingle")
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -335,7 +335,7 @@ def _in_blocks(d: DataFrame, texts: DataFrame, percent: int, block: int) -> Data
     one = F.col("t.one") * 2 + (F.col("t.kind") == 1).cast("int")
     rows = table(rows.select(part.alias("part"), one.alias("one"), F.col("t.two").alias("two"), "component", F.col("t.left").alias("left"), "class", "id"), "tasks")
     full = rows.join(texts.withColumnRenamed("doc_id", "id"), "id").select("part", "one", "two", "component", "left", "class", "id", "text")
-    return full.repartition("part", "one", "two").sortWithinPartitions("part", "one", "two").mapInArrow(_verify(percent), "a long, b long")
+    return full.repartition("part", "one", "two").sortWithinPartitions("part", "one", "two").mapInArrow(settled(_verify(percent)), "a long, b long")
 
 
 def between(comp: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
@@ -402,7 +402,7 @@ def grouped(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame
     """``near_duplicates`` with ``hash``, of the text: it tells rows of one doc_id with different texts apart."""
     ship(docs.sparkSession)
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
-    signed = table(d.select("doc_id", "hash", "text").mapInArrow(sign, SIGNED), "signed")
+    signed = table(d.select("doc_id", "hash", "text").mapInArrow(settled(sign), SIGNED), "signed")
     named = signed.where("digest is not null and doc_id is not null")
     # A text's node is a hash of its digest; its representative row is the first of those with equal words.
     alike = table(named.groupBy("digest").agg(F.min(F.struct("doc_id", "hash")).alias("rep")).select("digest", F.xxhash64("digest").alias("node"), "rep.doc_id", "rep.hash"), "alike")

@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqlake.llm.shared import new_path, open_fs, ship, table
+from seqlake.llm.shared import new_path, open_fs, settled, ship, table
 
 MAGIC, HEAD = b"RPR1", "<4sIIIQB"
 END = 0
@@ -348,7 +348,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate, from the files' sizes
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PARTITION_BYTES, 1 << 17), 1)
     placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = table(placed.mapInArrow(_write(tokenizer, new_path(spark, "tokens")), "path string, part int, file int, docs long, ids long"), "manifest")
+    files = table(placed.mapInArrow(settled(_write(tokenizer, new_path(spark, "tokens"))), "path string, part int, file int, docs long, ids long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
     parts = files.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -382,4 +382,4 @@ def decode(manifest: DataFrame) -> DataFrame:
     files = manifest.count()
     tasks = max(1, min(files, int(spark.conf.get("spark.sql.shuffle.partitions"))), files // 16)
     rows = manifest.select("path", "start").repartition(tasks)
-    return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(settled(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")

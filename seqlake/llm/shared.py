@@ -61,6 +61,29 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def settle() -> None:
+    """Gives what a Python worker has freed back to the system: workers stay, and the next stage's tasks come on top."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def settled(run):
+    """A function of Arrow batches that settles when a task is through."""
+
+    def wrapped(frames):
+        yield from run(frames)
+        settle()
+
+    return wrapped
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path in it) of a URI: file, hdfs, s3 and gs work from any executor."""
     from pyarrow import fs
