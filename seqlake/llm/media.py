@@ -140,7 +140,7 @@ def _read(frames):
     import pyarrow as pa
 
     at, f = None, None
-    names = ("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    names = ("digest", "width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     for b in frames:
         rows: list = []
         for digest, path, offset, length in zip(*(b.column(i).to_pylist() for i in range(4))):
@@ -148,11 +148,13 @@ def _read(frames):
                 fs, name = open_fs(path)
                 at, f = path, fs.open_input_file(name)
             f.seek(offset)
+            head = header(f.read(HEADER))
+            f.seek(offset)
             data = f.read(length)
             payload = decode(data)
-            rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
+            rows.append((digest, *head, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
         if rows:
-            kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=pa.schema(list(zip(names, kinds))))
 
 
@@ -182,6 +184,6 @@ def features(rows: DataFrame, index: DataFrame) -> DataFrame:
     """Every row with its media's metadata, from header reads, and the digests and features of its stored bytes, read back whole."""
     ship(index.sparkSession)
     spread = index.select("digest", "path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
-    got = spread.mapInArrow(_read, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    got = table(got.join(metadata(index), "digest"), "media-features")
+    got = spread.mapInArrow(_read, "digest binary, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    got = table(got, "media-features")
     return rows.join(got, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
