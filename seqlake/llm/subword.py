@@ -39,7 +39,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(size) - size
     left = np.repeat(starts + size, size) - np.arange(len(data))  # bytes to the word's end
     word = np.repeat(np.arange(len(raw)), size)
-    place = (size.max(initial=0) - left).astype(np.uint64) if len(raw) else left
+    place = (np.repeat(size, size) - left).astype(np.uint64)  # in the word: what else is in the call has no part in a word's buckets
     whole = np.add.reduceat(mix(data + (place << np.uint64(8))), starts) if len(raw) else np.zeros(0, np.uint64)
     keys, owner = [mix(whole + size.astype(np.uint64))], [np.arange(len(raw))]
     for n in GRAMS:

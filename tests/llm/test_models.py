@@ -130,6 +130,15 @@ def test_quality_query_against_a_dense_model(spark):
         assert r["score"] == pytest.approx(float(1 / (1 + np.exp(z[0] - z[1]))), abs=1e-4)
 
 
+def test_features_of_a_word_depend_on_it_alone():
+    """A longer word in the same call changes no bucket, so training, scoring and every batch read the same features."""
+    words = ["a", "ab", "word", "\u00fcn\u00efcode"]
+    alone = [subword.features([w])[0].tolist() for w in words]
+    flat, n = subword.features([*words, "x" * 300])
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n))[: len(words)]] == alone
+    assert subword.features([])[0].tolist() == []
+
+
 def test_scores_equal_the_model():
     """What scoring sums by distinct word is the mean embedding's softmax."""
     texts = ["one two two three", "Ünïcode words, words again again", "a", "x " * 300]
