@@ -16,7 +16,6 @@ symbols; u8 bytes of a symbol (2 or 4); rules (u32 left, u32 right); expansion l
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -30,27 +29,30 @@ MAGIC, HEAD = b"RPR1", "<4sIIIQB"
 END = 0
 #: Symbols of two bytes; rules that a shard may have where the ids alone need more; and occurrences that a pair needs to pay for its rule.
 NARROW, MOST_RULES, LEAST = 1 << 16, 1 << 15, 12
-#: Chunks whose ids a worker keeps, and ids that one file holds before the next begins.
-KEPT, FILE_IDS = 250_000, 1 << 20
+#: Pieces whose ids a worker keeps and their bytes, and ids that one file holds before the next begins.
+KEPT, KEPT_BYTES, FILE_IDS = 250_000, 32 << 20, 1 << 20
 
-#: Pieces that are encoded together where they are met first, and bytes of text whose ids are made at a time when partitions are dealt.
-TOGETHER, PARTITION_BYTES = 64, 64 << 20
+#: Pieces that are encoded together where they are met first, bytes of text that are encoded at a time, and bytes of text whose ids are made at a time when partitions are dealt.
+TOGETHER, BATCH_BYTES, PARTITION_BYTES = 256, 4 << 20, 64 << 20
 #: Rules that the last round may take at once.
 LAST = 1024
+#: Slots that pairs are counted in, as a power of two, and what deals them.
+SLOT_BITS = 18
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: What may end a piece after a letter or digit, and is then a piece of its own: no letter, digit, space or apostrophe.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes that are letters or digits of ASCII.
+WORD = np.array([chr(i).isalnum() and i < 0x80 for i in range(256)])
+#: All that Python or the library takes for white space.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 _CACHE: dict = {}
 
 
-class _Known(dict):
-    """Numbers for chunks; a chunk asked for first gets the next number and waits to be encoded."""
-
-    def __init__(self):
-        self.new: list = []
-
-    def __missing__(self, chunk: str) -> int:
-        k = self[chunk] = len(self)
-        self.new.append(chunk)
-        return k
+def _gather(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs flat[first : first + n] one after another."""
+    stop = np.cumsum(n)
+    return flat[np.repeat(first - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
 
 
 class Encoder:
@@ -59,8 +61,10 @@ class Encoder:
     The pre-tokeniser never joins a space that follows a non-space to what comes before it, and a
     single line break between non-spaces stands alone, so ids of the pieces cut there are the ids of
     the text. A text with white space beside white space, or with a special token, is encoded whole.
-    Pieces are met TOGETHER in one call where each begins with a space and ends without one: their text is again
-    cut between them, and the bytes of the ids say where.
+    A piece is also cut between a letter or digit and the marks that end it, where the pre-tokeniser
+    always cuts. Pieces are met TOGETHER in one call where each begins with a space and ends without one: their text is again
+    cut between them, and the bytes of the ids say where. Texts are cut and their pieces numbered in Arrow, a batch at a time;
+    only a batch's distinct pieces come to Python.
     """
 
     def __init__(self, path: str):
@@ -69,8 +73,7 @@ class Encoder:
 
         self.t = Tokenizer.from_file(path)
         self.terminals = self.t.get_vocab_size(with_added_tokens=True)
-        special = [re.escape(a.content) for a in self.t.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", r"\0", *special]))
+        self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
         #: Bytes of each id: a byte-level vocabulary has a character for each.
         self.bytes = np.zeros(self.terminals, np.int64)
         for token, i in self.t.get_vocab(with_added_tokens=False).items():
@@ -78,66 +81,117 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known = _Known()
-        self.flat, self.used, self.ends = np.empty(1 << 20, np.uint32), 0, np.zeros(1, np.int64)
-
-    def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces one after another, and their number by piece."""
-        joint = np.fromiter((s[:1] == " " and s[-1:] != " " and not s[-1:].isspace() for s in new), bool, len(new))
-        single = [s for s, j in zip(new, joint) if not j]
-        together = [s for s, j in zip(new, joint) if j]
+        import pyarrow as pa
+
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.used, self.ends, self.met = np.empty(1 << 20, np.uint32), 0, np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def forget(self) -> None:
+        """Leaves the pieces met in several batches, if those are not too many."""
+        stay = np.flatnonzero(self.met > 1)
+        known, counts = self.known.take(stay), np.diff(self.ends)[stay]
+        if len(stay) > KEPT // 2 or known.nbytes > KEPT_BYTES // 2:
+            return self.clear()
+        ids = _gather(self.flat, self.ends[stay], counts)
+        self.clear()
+        self._add(known, ids, counts)
+        self.met[:] = 1
+
+    def _pieces(self, new) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of pieces one after another, and their number by piece."""
+        import pyarrow.compute as pc
+
+        joint = pc.and_not(pc.starts_with(new, " "), pc.match_substring_regex(new, WHITE + r"\z"))
+        single, together = new.filter(pc.invert(joint)).to_pylist(), new.filter(joint)
+        joint = joint.to_numpy(zero_copy_only=False)
+        edge = np.concatenate(([0], np.cumsum(pc.binary_length(together).to_numpy())))
         got = [e.ids for e in self.t.encode_batch_fast(single, add_special_tokens=False)]
         alone, own = np.array([x for ids in got for x in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
-        runs = ["".join(together[i : i + TOGETHER]) for i in range(0, len(together), TOGETHER)]
-        ids = np.array([x for e in self.t.encode_batch_fast(runs, add_special_tokens=False) for x in e.ids], np.uint32)
-        end = np.cumsum(np.fromiter((len(s.encode()) for s in together), np.int64, len(together)))
-        at = np.cumsum(self.bytes[ids]) if len(ids) else np.zeros(0, np.int64)
+        cut = edge[np.append(np.arange(0, len(together), TOGETHER), len(together))].tolist()
+        data, at = together.buffers()[2], int(np.frombuffer(together.buffers()[1], np.int64)[together.offset]) if len(together) else 0
+        runs = [data[at + lo : at + hi].to_pybytes().decode() for lo, hi in zip(cut, cut[1:])]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.t.encode_batch_fast(runs, add_special_tokens=False))])
+        end, at = edge[1:], np.cumsum(self.bytes[ids])
         last = np.searchsorted(at, end)
         if len(end) and (last[-1] >= len(at) or (at[last] != end).any()):
             raise ValueError("ids that do not end where their pieces do")
         stop = last + 1
-        counts = np.zeros(len(new), np.int64)
+        counts, start = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         counts[~joint], counts[joint] = own, np.diff(np.concatenate(([0], stop)))
         # Both kinds in the order of the pieces.
-        start = np.zeros(len(new), np.int64)
         start[~joint], start[joint] = np.cumsum(own) - own, len(alone) + np.concatenate(([0], stop[:-1])) if len(stop) else 0
-        both, total = np.concatenate((alone, ids)), np.cumsum(counts)
-        return both[np.repeat(start - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)], counts
+        return _gather(np.concatenate((alone, ids)), start, counts), counts
+
+    def _add(self, new, ids: np.ndarray, counts: np.ndarray) -> None:
+        import pyarrow as pa
 
-    def learn(self) -> None:
-        new, self.known.new = self.known.new, []
-        ids, counts = self._pieces(new)
+        self.known = pa.concat_arrays([self.known, new])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         self.flat[self.used : self.used + len(ids)] = ids
         self.ends = np.concatenate((self.ends, self.used + np.cumsum(counts)))
         self.used += len(ids)
+        self.met = np.concatenate((self.met, np.zeros(len(counts), np.int32)))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and their number by text."""
-        whole, chunks, sizes = {}, [], np.zeros(len(texts), np.int64)
-        for i, s in enumerate(texts):
-            if self.whole.search(s):
-                whole[i] = s
-            else:
-                part = s.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-                sizes[i] = len(part)
-                chunks += part
-        if len(self.known) > KEPT:
-            self.clear()
-        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        if self.known.new:
-            self.learn()
-        first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
-        stop = np.cumsum(n)
-        ids = self.flat[np.repeat(first - (stop - n), n) + np.arange(int(n.sum()))]
-        total = np.concatenate(([0], stop))
-        edge = np.concatenate(([0], np.cumsum(sizes)))
-        cut = total[edge]
-        counts = np.diff(cut)
+    def _runs(self, chunks) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of an Arrow array of distinct chunks one after another, and their number by chunk: those of its stem and of the marks after it."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(chunks):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        at = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+        stem = pc.binary_length(pc.utf8_rtrim(chunks, TAIL)).to_numpy()
+        end = at[:-1] + stem
+        data = np.frombuffer(chunks.buffers()[2] or b"\0", np.uint8)
+        c, before = data[np.maximum(end - 1, 0)], data[np.maximum(end - 2, 0)]
+        # A letter or digit of ASCII, or a letter of U+00C0 to U+023F.
+        letter = WORD[c] | ((c >= 0x80) & (c < 0xC0) & (before >= 0xC3) & (before <= 0xC8) & ~((before == 0xC3) & ((c == 0x97) | (c == 0xB7))))
+        edge = np.empty(2 * len(chunks) + 1, np.int64)
+        edge[::2], edge[1::2] = at, np.where((stem > 0) & letter, end, at[1:])
+        halves = pa.LargeStringArray.from_buffers(2 * len(chunks), pa.py_buffer(edge), chunks.buffers()[2]).dictionary_encode()
+        if len(self.known) > KEPT or self.known.nbytes > KEPT_BYTES:
+            self.forget()
+        distinct = halves.dictionary
+        k = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(k.is_null())
+        k = k.fill_null(-1).to_numpy().astype(np.int64)
+        k[k < 0] = len(self.known) + np.arange(len(new))
+        if len(new):
+            self._add(new, *self._pieces(new))
+        self.met[k] += 1
+        first, n, of = self.ends[k], self.ends[k + 1] - self.ends[k], halves.indices.to_numpy()
+        n = n[of]
+        return _gather(self.flat, first[of], n), n[::2] + n[1::2]
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, a list or an Arrow column, one after another, and their number by text; a null is an empty text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, WHITE + r"{2}|\x00")
+        for a in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        whole = {int(i): texts[int(i)].as_py() for i in odd}
+        if whole:
+            keep = np.ones(len(texts), bool)
+            keep[odd] = False
+            texts = pc.if_else(pa.array(keep), texts, pa.scalar(None, pa.large_string()))
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        sizes = pc.fill_null(cut.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        chunks = cut.flatten().dictionary_encode()
+        flat, n = self._runs(chunks.dictionary)
+        of = chunks.indices.to_numpy()
+        first, n = (np.cumsum(n) - n)[of], n[of]
+        ids = _gather(flat, first, n)
+        edge = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
+        counts = np.diff(edge)
         if whole:
             got = {i: np.array(e.ids, np.uint32) for i, e in zip(whole, self.t.encode_batch_fast(list(whole.values()), add_special_tokens=False))}
-            ids = np.concatenate([got[i] if i in got else ids[cut[i] : cut[i + 1]] for i in range(len(texts))])
+            ids = np.concatenate([got[i] if i in got else ids[edge[i] : edge[i + 1]] for i in range(len(texts))])
             counts = np.array([len(got[i]) if i in got else counts[i] for i in range(len(texts))])
         return ids, counts
 
@@ -150,25 +204,36 @@ def room(terminals: int) -> int:
 def compress(ids: np.ndarray, counts: np.ndarray, terminals: int, most: int | None = None, least: int = LEAST):
     """(symbols, symbols by document, rules) of documents' ids; no pair reaches over a document's end.
 
-    The rounds end when no pair occurs ``least`` times or there are ``most`` rules.
+    The rounds end when no pair occurs ``least`` times or there are ``most`` rules. A round that takes
+    every pair that occurs ``least`` times leaves none of their occurrences but under new symbols, so
+    the next one looks at the pairs with a new symbol only.
     """
     most = room(terminals) if most is None else most
-    sym = ids.astype(np.uint32)
+    # Two symbols of two bytes are a number of four.
+    kind, bits, mult = (np.uint32, 16, np.uint32(MIX >> np.uint64(32))) if terminals + most <= NARROW else (np.uint64, 32, MIX)
+    slots = lambda p: ((p * mult) >> kind(2 * bits - SLOT_BITS)).astype(np.int64)
+    sym = ids.astype(kind)
     last = np.zeros(len(sym), bool)
     last[np.cumsum(counts)[counts > 0] - 1] = True
     rules: list = []
+    of_slot = np.full(1 << SLOT_BITS, -1, np.int32)  # the rule of a slot's pair in this round
     held = np.cumsum(counts)  # end of each document in symbols
-    made = 0
+    made, since = 0, None  # rules, and those before the last round if that took all
     while made < most and len(sym) > 1:
-        pair = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        slot[last[:-1]] = 1 << 20
-        often = np.bincount(slot, minlength=(1 << 20) + 1)
-        often[1 << 20] = 0
+        inside = ~last[:-1]
+        if since is not None:
+            new = sym >= terminals + since
+            inside &= new[:-1] | new[1:]
+        here = np.flatnonzero(inside)
+        pair = (sym[here] << kind(bits)) | sym[here + 1]
+        slot = slots(pair)
+        often = np.bincount(slot, minlength=1 << SLOT_BITS)
         left = most - made
         take = left if left <= LAST else max(LAST, left // 2)  # the last rules are not worth a round each
         # Slots that hold twice as many pairs as are taken, the fullest first; all that can hold one where those have none.
-        for bound in sorted({max(least, int(np.partition(often, -2 * take)[-2 * take])), least}, reverse=True):
+        full = often[often >= least]
+        many = int(np.partition(full, -2 * take)[-2 * take]) if len(full) > 2 * take else least
+        for bound in sorted({many, least}, reverse=True):
             hot = np.flatnonzero((often >= bound)[slot])
             p, n = np.unique(pair[hot], return_counts=True)
             p, n = p[n >= least], n[n >= least]
@@ -176,26 +241,32 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int, most: int | No
                 break
         else:
             break
+        every = len(p) if bound == least else -1
         p = p[np.sort(np.argsort(-n, kind="stable")[:take])]
-        where = np.searchsorted(p, pair[hot])
-        where[where == len(p)] = 0
-        good = p[where] == pair[hot]
-        at, rule = hot[good], where[good]
+        of_slot[slots(p)] = np.arange(len(p))
+        p = p[of_slot[slots(p)] == np.arange(len(p))]  # one pair of a slot a round; another's turn comes
+        own = slots(p)
+        of_slot[own] = np.arange(len(p))
+        where = of_slot[slot[hot]]
+        of_slot[own] = -1
+        good = np.flatnonzero((where >= 0) & (p[where] == pair[hot]))
+        at, rule = here[hot[good]], where[good]
         run = np.concatenate(([True], np.diff(at) != 1))  # in a run of overlapping occurrences every other one is taken
         first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - first) % 2 == 0
         at, rule = at[take], rule[take]
-        sym[at] = (terminals + made + rule).astype(np.uint32)
+        sym[at] = (terminals + made + rule).astype(kind)
         last[at] = last[at + 1]
+        held = held - np.searchsorted(at + 1, held)
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False
-        gone = np.concatenate(([0], np.cumsum(~stay)))
-        held = held - gone[held]
+        stay = np.flatnonzero(stay)
         sym, last = sym[stay], last[stay]
-        rules.append(np.stack((p >> np.uint64(32), p & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        rules.append(np.stack((p >> kind(bits), p & kind((1 << bits) - 1)), 1).astype(np.uint32))
+        since = made if len(p) == every else None
         made += len(p)
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return sym, np.diff(np.concatenate(([0], held))), rule
+    return sym.astype(np.uint32), np.diff(np.concatenate(([0], held))), rule
 
 
 def lengths(rule: np.ndarray, terminals: int) -> np.ndarray:
@@ -215,18 +286,16 @@ def expand(sym: np.ndarray, rule: np.ndarray, terminals: int) -> np.ndarray:
     """The ids of symbols."""
     n = lengths(rule, terminals)
     start = np.cumsum(n) - n
-    flat = np.zeros(int(n.sum()), np.uint32)
-    todo = np.arange(len(rule))
-    for k in todo:  # a few thousand rules of a shard; each copies what its parts expand to
-        at = start[k]
-        for s in rule[k]:
-            if s < terminals:
-                flat[at] = s
-                at += 1
-            else:
-                j = s - terminals
-                flat[at : at + n[j]] = flat[start[j] : start[j] + n[j]]
-                at += n[j]
+    flat = np.arange(terminals, terminals + len(rule)).astype(np.uint32)
+    while len(at := np.flatnonzero(flat >= terminals)):  # all rules at once, as often as rules lie one in another
+        size = np.ones(len(flat), np.int64)
+        size[at] = 2
+        to = np.cumsum(size) - size
+        pairs = rule[flat[at].astype(np.int64) - terminals]
+        longer = np.empty(int(size.sum()), np.uint32)
+        longer[to] = flat
+        longer[to[at]], longer[to[at] + 1] = pairs[:, 0], pairs[:, 1]
+        flat = longer
     is_rule = sym >= terminals
     which = np.where(is_rule, sym.astype(np.int64) - terminals, 0)
     size = np.where(is_rule, n[which] if len(n) else 1, 1)
@@ -317,14 +386,20 @@ def _write(tokenizer: str, folder: str):
 
         for b in frames:
             text = b.column(1)
-            for lo, hi in batches(text):
-                ids, n = enc.encode([t or "" for t in text.slice(lo, hi - lo).to_pylist()])
+            for lo, hi in batches(text, BATCH_BYTES):
+                ids, n = enc.encode(text.slice(lo, hi - lo))
                 ids = np.insert(ids, np.cumsum(n), END)
-                held.append((b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False), n + 1, ids))
-                total += len(ids)
-                if total >= FILE_IDS:
-                    flush()
-                    total = 0
+                doc, n = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False), n + 1
+                ends = np.cumsum(n)
+                at = 0
+                while at < len(n):  # a file ends with the document that fills it
+                    begin = int(ends[at - 1]) if at else 0
+                    to = min(int(np.searchsorted(ends, begin + FILE_IDS - total)) + 1, len(n))
+                    held.append((doc[at:to], n[at:to], ids[begin : ends[to - 1]]))
+                    total, at = total + int(ends[to - 1]) - begin, to
+                    if total >= FILE_IDS:
+                        flush()
+                        total = 0
         if held:
             flush()
         if rows:

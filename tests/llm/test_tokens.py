@@ -66,6 +66,47 @@ def test_encoder_is_whole_text(texts):
     assert ids.tolist() == [x for w in whole for x in w]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet=" \n\t.,'-(s1a\u00e9\u00d7\u0436\u4e2d\u00b2\u00a0\u2003\u0301", max_size=20), max_size=5), max_size=4))
+def test_pieces_kept_and_forgotten_are_whole_text(encoder, batches):
+    """Marks after letters, digits and other signs, in batches between which pieces are forgotten, one after another with those left."""
+    encoder.clear()
+    kept, repair.KEPT = repair.KEPT, 6
+    try:
+        for texts in batches:
+            ids, n = encoder.encode(texts)
+            whole = [encoder.t.encode(t, add_special_tokens=False).ids for t in texts]
+            assert n.tolist() == [len(w) for w in whole]
+            assert ids.tolist() == [x for w in whole for x in w]
+    finally:
+        repair.KEPT = kept
+        encoder.clear()
+
+
+@pytest.mark.parametrize("texts", [[], [""], [None, ""], ["  "], ["a\0", "x<|endoftext|>"], [" "], ["\n"], ["\u00e9."], ["x" * 5000, None, "x" * 5000 + "."]])
+def test_small_and_odd_batches(encoder, texts):
+    ids, n = encoder.encode(texts)
+    whole = [encoder.t.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in whole] and ids.tolist() == [x for w in whole for x in w]
+
+
+def test_the_library_meets_a_word_once(encoder, monkeypatch):
+    """A word with other marks after it, or met again after the table was full, is not encoded again."""
+    import types
+
+    seen: list = []
+    t = encoder.t
+    monkeypatch.setattr(encoder, "t", types.SimpleNamespace(encode_batch_fast=lambda texts, **k: (seen.extend(texts), t.encode_batch_fast(texts, **k))[1]))
+    encoder.clear()
+    encoder.encode(["so wonder", "a wonder, a wonder. (wonder) wonder! wonder; wonder?"])
+    assert "".join(seen).count(" wonder") == 1
+    monkeypatch.setattr(repair, "KEPT", 30)
+    encoder.encode(["the wonder " + " ".join(f"w{i}" for i in range(40))])
+    encoder.encode(["the wonder"])
+    assert "".join(seen).count(" wonder") == 1 and "w0" not in encoder.known.to_pylist()
+    encoder.clear()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=60), min_size=1, max_size=6))
 def test_grammar_round_trip_and_random_access(docs):
@@ -111,6 +152,20 @@ def test_long_repeats_shrink_to_few_symbols():
     assert per.tolist() == [1] * 200 and repair.expand(sym, rule, 50257).tolist() == ids.tolist()
 
 
+def test_rounds_are_those_of_a_full_count():
+    """Rounds that look at new pairs alone find what a count of all pairs finds: nothing that pays is left, in either width."""
+    rng = np.random.default_rng(5)
+    ids = rng.choice(3000, 60_000, p=(w := 1 / np.arange(1, 3001)) / w.sum()).astype(np.uint32)
+    counts = np.full(60, 1000)
+    for terminals in (3000, 1 << 17):
+        sym, per, rule = repair.compress(ids, counts, terminals)
+        assert (repair.expand(sym, rule, terminals) == ids).all()
+        inside = np.ones(len(sym), bool)
+        inside[np.cumsum(per) - 1] = False
+        pair = (sym[:-1].astype(np.int64) << 32 | sym[1:])[inside[:-1]]
+        assert np.unique(pair, return_counts=True)[1].max() < repair.LEAST and len(rule) < repair.room(terminals)
+
+
 def test_ids_beyond_the_tokenizer_are_refused():
     with pytest.raises(ValueError):
         repair.pack(np.array([1]), np.array([1]), np.array([50257], np.uint32), 50257)
