@@ -33,7 +33,7 @@ NARROW, MOST_RULES, LEAST = 1 << 16, 1 << 15, 12
 KEPT, KEPT_BYTES, FILE_IDS = 250_000, 32 << 20, 1 << 20
 
 #: Pieces that are encoded together where they are met first, bytes of text that are encoded at a time, and bytes of text whose ids are made at a time when partitions are dealt.
-TOGETHER, BATCH_BYTES, PARTITION_BYTES = 256, 4 << 20, 64 << 20
+TOGETHER, BATCH_BYTES, PARTITION_BYTES = 256, 2 << 20, 64 << 20
 #: Rules that the last round may take at once.
 LAST = 1024
 #: Slots that pairs are counted in, as a power of two, and what deals them.
@@ -377,6 +377,7 @@ def _write(tokenizer: str, folder: str):
         total = 0
 
         def flush():
+            pa.default_memory_pool().release_unused()  # what encoding has freed, before what packing takes
             doc, n, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
             name = f"part-{part:06d}-{len(rows):04d}-{uuid.uuid4().hex}.rpr"
             with fs.open_output_stream(f"{base}/{name}") as f:
