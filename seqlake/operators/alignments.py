@@ -31,8 +31,11 @@ def insert_sizes(a: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame
     q = d.agg(F.percentile("tlen", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, low, high)]), F.col("n")).alias("q"))
     x = d.crossJoin(F.broadcast(q))
     w = F.when((F.col("tlen") >= F.get("q", 3)) & (F.col("tlen") <= F.get("q", 4)), F.col("n")).otherwise(0)
-    n, s, ss = F.sum(w), F.sum(w * F.col("tlen")), F.sum(w * F.col("tlen") * F.col("tlen"))
-    return x.agg(F.first(F.get("q", 0)).alias("q1"), F.first(F.get("q", 1)).alias("median"), F.first(F.get("q", 2)).alias("q3"), F.try_divide(s, n).alias("mean"), F.sqrt(F.try_divide(ss - s * s / n, n - 1)).alias("sd"))
+    off = F.col("tlen") - F.get("q", 1)  # from the median, as a double: squares of whole lengths leave 64 bits
+    n, s, ss = F.sum(w).cast("double"), F.sum(w * off), F.sum(w * off * off)
+    first = lambda i: F.first(F.get("q", i))
+    v = F.try_divide(ss - F.try_divide(s * s, n), n - 1)
+    return x.agg(first(0).alias("q1"), first(1).alias("median"), first(2).alias("q3"), (first(1) + F.try_divide(s, n)).alias("mean"), F.sqrt(F.when(v < 0, 0.0).otherwise(v)).alias("sd"))
 
 
 def multi_mapping(a: DataFrame) -> DataFrame:
