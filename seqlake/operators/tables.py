@@ -184,8 +184,8 @@ def write_by_region(alignments: DataFrame, path: str) -> None:
 
 
 def sample_matrix(calls: DataFrame, samples: list[str], value: str = "value") -> DataFrame:
-    """(chr, pos) x samples."""
-    return calls.groupBy("chr", "pos").pivot("sample", samples).agg(F.first(value))
+    """(chr, pos) x samples: sums of conditions, which keep a few numbers for a place, on the map side too."""
+    return calls.groupBy("chr", "pos").agg(*[F.max(F.when(F.col("sample") == x, F.col(value))).alias(x) for x in samples])
 
 
 def ranked(df: DataFrame, order: DataFrame, key: str = "chr") -> DataFrame:

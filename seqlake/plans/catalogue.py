@@ -335,7 +335,7 @@ def contig_n50(spark, d):
 
 @query("select l_suppkey as chr, l_partkey as pos, max(l_quantity) filter (where l_returnflag='A') as \"A\", max(l_quantity) filter (where l_returnflag='N') as \"N\", max(l_quantity) filter (where l_returnflag='R') as \"R\" from lineitem group by all")
 def pivot_samples(spark, d):
-    x = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("chr"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("sample")).agg(F.max("l_quantity").alias("value"))
+    x = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("chr"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("sample"), F.col("l_quantity").alias("value"))
     return T.sample_matrix(x, ["A", "N", "R"])
 
 

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from seqlake.operators import alignments as A, tables as T
 
 
+def test_samples_by_one_shuffle(spark):
+    calls = [("x", 1, "A", 3.0), ("x", 1, "A", 5.0), ("x", 1, "N", None), ("x", 2, "R", 1.0), ("x", 2, "Q", 9.0)]
+    m = T.sample_matrix(spark.createDataFrame(calls, "chr string, pos long, sample string, value double"), ["A", "N", "R"])
+    assert sorted(map(tuple, m.collect())) == [("x", 1, 5.0, None, None), ("x", 2, None, None, 1.0)]
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
 def test_insert_sizes_of_many_long_pairs(spark):
     # A sum whose square, and squares whose sum, leave 64 bits.
     d = spark.range(4000).select(F.lit(3).alias("flag"), (F.col("id") % 5 * 100_000_000 + 1_500_000_000).cast("int").alias("tlen"))
