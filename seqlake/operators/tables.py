@@ -86,11 +86,27 @@ def on_target(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return points.join(hit.withColumn("on_target", F.lit(True)), ["chr", "pos"], "left").withColumn("on_target", F.coalesce("on_target", F.lit(False)))
 
 
+#: Positions of a cell: with one more on either side, (CELL + 2) ** 2 places fit 64 bits.
+CELL = 6
+
+
 def at_amplicon_ends(reads: DataFrame, amplicons: DataFrame) -> DataFrame:
-    """Reads (chr, beg, en) with ``amplicon``: whether they begin and end within one base of an amplicon (chr, beg, en)."""
-    near = F.array(*[F.struct((F.col("beg") + i).alias("beg"), (F.col("en") + j).alias("en")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = amplicons.select("chr", F.inline(near)).distinct()
-    return reads.join(a.withColumn("_hit", F.lit(True)), ["chr", "beg", "en"], "left").withColumn("amplicon", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    """Reads (chr, beg, en) with ``amplicon``: whether they begin and end within one base of an amplicon (chr, beg, en).
+
+    Both bounds are dealt into cells of CELL positions. The amplicons at a cell's places and next to them are bits of a
+    number, summed on the map side; so an amplicon is two rows at most on average, and a read one.
+    """
+    cell = lambda c: F.floor(F.col(c) / CELL).cast("long")
+    touched = lambda c: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(1)), lambda i: F.floor((F.col(c) + i) / CELL).cast("long")))
+    place = lambda c, k: (F.col(c) - F.col(k) * CELL + 1).cast("int")  # 0 for the last position of the cell before
+    bit = (place("beg", "_b") * (CELL + 2) + place("en", "_e")).alias("_bit")
+    a = amplicons.select("chr", "beg", "en", F.explode(touched("beg")).alias("_b")).select("*", F.explode(touched("en")).alias("_e"))
+    a = a.groupBy("chr", "_b", "_e").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_hits"))
+    r = reads.withColumns({"_b": cell("beg"), "_e": cell("en")}).join(a, ["chr", "_b", "_e"], "left")
+    around = F.lit(sum(1 << (i * (CELL + 2) + j) for i in range(3) for j in range(3))).cast("long")
+    corner = ((F.col("beg") - F.col("_b") * CELL) * (CELL + 2) + F.col("en") - F.col("_e") * CELL).cast("int")
+    hit = F.col("_hits").bitwiseAND(F.call_function("shiftleft", around, corner)) != 0
+    return r.withColumn("amplicon", F.coalesce(hit, F.lit(False))).drop("_b", "_e", "_hits")
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from seqlake.operators import alignments as A, tables as T
 
 
+def test_amplicon_ends(spark):
+    rng = random.Random(5)
+    row = lambda: (rng.choice("xy"), rng.randrange(-14, 26), rng.randrange(-14, 26))
+    reads, amplicons = [(*row(), i) for i in range(600)], [row() for _ in range(60)]
+    a = spark.createDataFrame(amplicons, "chr string, beg long, en long")
+    out = T.at_amplicon_ends(spark.createDataFrame(reads, "chr string, beg long, en long, rid long"), a)
+    want = {i: any(c == k and abs(b - x) <= 1 and abs(e - y) <= 1 for k, x, y in amplicons) for c, b, e, i in reads}
+    assert {r["rid"]: r["amplicon"] for r in out.collect()} == want and out.columns == ["chr", "beg", "en", "rid", "amplicon"]
+    assert "Expand" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "inline" not in plan and "bit_or" in plan
+
+
 def test_samples_by_one_shuffle(spark):
     calls = [("x", 1, "A", 3.0), ("x", 1, "A", 5.0), ("x", 1, "N", None), ("x", 2, "R", 1.0), ("x", 2, "Q", 9.0)]
     m = T.sample_matrix(spark.createDataFrame(calls, "chr string, pos long, sample string, value double"), ["A", "N", "R"])
