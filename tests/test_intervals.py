@@ -11,6 +11,34 @@ from pyspark.sql import functions as F
 from seqlake.operators import alignments as A, tables as T
 
 
+def test_rows_in_bins_are_not_broadcast(spark, tmp_path):
+    spark.range(50_000).selectExpr("id % 10 as chr", "id % 2000 as pos", "id as pid").write.parquet(f"{tmp_path}/p")
+    spark.range(100_000).selectExpr("id % 10 as chr", "id as beg", "id + 30 as en", "id as iid").write.parquet(f"{tmp_path}/i")
+    points, intervals = spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/i")
+    ranges = points.selectExpr("chr", "pos as b_beg", "pos + 20 as b_en", "pid")
+    built = lambda d: [re.search("Build(Left|Right)", x)[1] for x in d._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+    assert built(T.points_in(points, intervals)) == ["Right"]
+    # The first join has the first side's rows in bins, the second the other's.
+    assert built(T.overlaps(ranges.selectExpr("chr", "b_beg as beg", "b_en as en", "pid as aid"), intervals.selectExpr("chr", "beg as b_beg", "en as b_en", "iid as bid"))) == ["Right", "Left"]
+
+
+def test_intervals_of_any_size(spark):
+    rng = random.Random(3)
+    at = lambda: (rng.choice("xy"), rng.randrange(-20, 5000))
+    spans = [(c, b, b + rng.choice([0, 1, 30, 200, 3000, 1 << 36]), i) for i, (c, b) in enumerate(at() for _ in range(120))]
+    points = [(*at(), i) for i in range(150)]
+    i, p = spark.createDataFrame(spans, "chr string, beg long, en long, iid long"), spark.createDataFrame(points, "chr string, pos long, pid long")
+    want = {(pid, iid) for c, pos, pid in points for k, b, e, iid in spans if c == k and b <= pos <= e}
+    got = [(r["pid"], r["iid"]) for r in T.points_in(p, i).collect()]
+    assert len(got) == len(want) and {*got} == want
+    both = T.overlaps(i, i.selectExpr("chr", "beg as b_beg", "en as b_en", "iid as bid"))
+    pairs = [(r["iid"], r["bid"]) for r in both.collect()]
+    want_pairs = {(x[3], y[3]) for x in spans for y in spans if x[0] == y[0] and x[1] <= y[2] and x[2] >= y[1]}
+    assert len(pairs) == len(want_pairs) and {*pairs} == want_pairs
+    found = {r["pid"]: r["rows"] for r in T.IntervalIndex.build(i, "iid").lookup(p).collect()}
+    assert found == {pid: sorted(x[1] for x in want if x[0] == pid) for pid in {x[0] for x in want}}
+
+
 def test_amplicon_ends(spark):
     rng = random.Random(5)
     row = lambda: (rng.choice("xy"), rng.randrange(-14, 26), rng.randrange(-14, 26))
