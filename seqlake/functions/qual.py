@@ -48,7 +48,7 @@ def adjust(qual: Column, add: int = 0, most: int | None = None, phred: int = 33,
 
     def one(x, i):
         for cycle, d in (by_cycle or {}).items():
-            x = x + F.when(i == (cycle - 1 if cycle > 0 else F.size(q) + cycle), d).otherwise(0)
+            x = x + F.when(i == (cycle - 1 if cycle > 0 else F.length(qual) + cycle), d).otherwise(0)
         x = F.greatest(x + add, F.lit(0))
         return F.least(x, F.lit(most)) if most is not None else x
 

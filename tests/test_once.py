@@ -22,3 +22,10 @@ def test_reads_are_made_once(spark):
     plan = optimized(more.signature_filter(spark, SMALL))
     assert plan.count("md5(") == 4 and "md5(" not in "".join(x for x in plan.splitlines() if "Filter" in x)
     assert optimized(catalogue._reads(spark, SMALL).where("seq like 'A%' and qual like 'J%'")).count("md5(") == 4
+
+
+def test_adjust_decodes_once(spark):
+    d = spark.createDataFrame([("+5J#",), ("",), ("I",)], "qual string")
+    plan = optimized(d.select(Q.adjust(F.col("qual"), 3, 38, by_cycle={2: -5, -1: -9}).alias("q")))
+    assert plan.count("ascii(") == 1
+    assert [r[0] for r in d.select(Q.adjust(F.col("qual"), 3, 38, by_cycle={2: -5, -1: -9})).collect()] == [".3G!", "", "C"]
