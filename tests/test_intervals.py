@@ -64,3 +64,13 @@ def test_insert_sizes_of_many_long_pairs(spark):
     assert r["median"] == 1_700_000_000 and r["mean"] == pytest.approx(1_700_000_000) and r["sd"] == pytest.approx(141_421_356.2373 * (4000 / 3999) ** 0.5)
     assert [*A.insert_sizes(d.where("false")).first()] == [None] * 5
     assert A.insert_sizes(d.limit(1)).first()["sd"] is None
+
+
+def test_frequent_keys_are_dealt_out(spark):
+    a = spark.range(900).selectExpr("case when id < 600 then 'x' when id < 890 then 'y' else 'z' end as k", "id % 500 as i")
+    b = spark.range(300).selectExpr("case when id < 200 then 'x' when id < 290 then 'w' else 'z' end as k", "id as j")
+    want = sorted(map(tuple, a.join(b, "k").collect()))
+    assert sorted(map(tuple, T.join_dealt(a, b, 50).collect())) == want
+    out = T.join_many([T.keyed(spark.range(9000).selectExpr("concat('x', id % 1) as k", "id as i"), "k"), T.keyed(spark.range(4000).selectExpr("concat('x', id % 1) as k", "id as j"), "k")])
+    per = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(per) == 36_000_000 and len(per) > 1
